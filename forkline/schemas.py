@@ -1,17 +1,10 @@
-"""One explicit schema per table; nothing is inferred.
+"""One explicit schema per table, as DDL text; nothing is inferred.
 
 Inference would turn the alias maps into structs with one field per table name.
 """
 
 from __future__ import annotations
 
-from pyspark.sql.types import StructType
-
-
-def _schema(ddl: str) -> StructType:
-    return StructType.fromDDL(ddl)
-
-
 _STEP = (
     "step: int, generated_token: string, generated_token_id: bigint, "
     "top5_tokens: array<string>, top5_token_ids: array<bigint>, top5_probs: array<double>"
@@ -32,47 +25,47 @@ STEP_TYPE = f"struct<{_STEP}>"
 META_TYPE = f"struct<{_META}>"
 SIGNATURE_TYPE = f"struct<{_SIGNATURE}>"
 
-SCHEMAS: dict[str, StructType] = {
-    "sft_samples": _schema("id string, instruction string, input string, output string"),
-    "qa_items": _schema(
+SCHEMAS: dict[str, str] = {
+    "sft_samples": ("id string, instruction string, input string, output string"),
+    "qa_items": (
         "id string, question string, answer string, "
         "forget_tail string, forget_part string, forget_mode string"
     ),
-    "predictions": _schema(_PREDICTION),
-    "divergences": _schema(
+    "predictions": (_PREDICTION),
+    "divergences": (
         f"{_PREDICTION}, normalized_predict string, normalized_label string, "
         "predict_aliases map<string,string>, label_aliases map<string,string>, "
         "prefix string, suffix string, semantic_divergence string, "
         f"divergence_meta {META_TYPE}, logits_top5 array<{STEP_TYPE}>"
     ),
-    "exec_results": _schema(
+    "exec_results": (
         f"{_PREDICTION}, exec_match boolean, error string, gold_sql string, "
         "`schema` string, nl string, db_id string"
     ),
-    "result_rows": _schema("index bigint, side string, vals array<string>"),
-    "run_status": _schema(
+    "result_rows": ("index bigint, side string, vals array<string>"),
+    "run_status": (
         "index bigint, pred_error string, gold_error string, pred_parse_error string, gold_parse_error string"
     ),
-    "forget_items": _schema(
+    "forget_items": (
         "id string, question string, answer string, db_id string, answer_source string, "
         "original_exec_match boolean, original_error string, forget_tail string, "
         "forget_mode string, forget_part string"
     ),
-    "split_items": _schema(
+    "split_items": (
         "id string, question string, answer string, answer_source string, "
         "original_exec_match boolean, original_error string"
     ),
-    "encoded": _schema(
+    "encoded": (
         "input_ids array<int>, attention_mask array<int>, labels array<int>, forget_mask array<int>"
     ),
-    "train_items": _schema("id string, query string, sql string, db_id string"),
-    "train_map": _schema("key string, db_id string"),
-    "token_loss": _schema(
+    "train_items": ("id string, query string, sql string, db_id string"),
+    "train_map": ("key string, db_id string"),
+    "token_loss": (
         "batch_id bigint, side string, sample_id bigint, pos bigint, label_id bigint, "
         "forget_mask int, nll double, ref_nll double"
     ),
-    "step_scores": _schema("step_id bigint, token_id bigint, score double"),
-    "token_vectors": _schema("token string, embedding array<double>"),
+    "step_scores": ("step_id bigint, token_id bigint, score double"),
+    "token_vectors": ("token string, embedding array<double>"),
 }
 
 # A label that is not scored, and what stands for an empty remainder.
