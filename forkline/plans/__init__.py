@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from forkline.plans import eval_queries, text_queries  # noqa: F401
+from forkline.plans import eval_queries, io_queries, text_queries, training_queries  # noqa: F401
 from forkline.plans.registry import ORACLES, QUERIES
 
 

@@ -44,7 +44,7 @@ SELECT l_orderkey AS index, side,
   CASE WHEN l_orderkey % 7 = 0 THEN NULL
        WHEN side = 'pred' AND l_orderkey % 5 = 0 THEN l_quantity + 1 ELSE l_quantity END AS quantity,
   CASE WHEN side = 'pred' AND l_orderkey % 13 = 0 AND l_linenumber = 1 THEN 'X' ELSE l_returnflag END AS flag
-FROM {lineitem} CROSS JOIN (SELECT 'pred' AS side UNION ALL SELECT 'gold' AS side) AS s
+FROM (SELECT *, 'pred' AS side FROM {lineitem} UNION ALL SELECT *, 'gold' AS side FROM {lineitem}) AS s
 """
 
 # Documents with a known outcome; where none is labelled the outcome is null.
