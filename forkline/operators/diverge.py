@@ -47,10 +47,13 @@ def divergence_step(pieces: Column, prefix: Column) -> Column:
     """
 
     def locate(text: Column, wanted: Column) -> Column:
-        size = F.length(wanted)
         found = F.instr(text, wanted)
-        first_end = F.when(found > 0, found + size - 1).otherwise(F.lit(2**31 - 1))
+        end = F.when(found > 0, found + F.length(wanted) - 1).otherwise(F.lit(2**31 - 1))
+        # Bound once: a lambda evaluates what it captures for every element.
+        sizes = F.struct(F.length(wanted).alias("size"), end.alias("end"))
+        return let(sizes, lambda bound: scan(text, wanted, bound["size"], bound["end"]))
 
+    def scan(text: Column, wanted: Column, size: Column, first_end: Column) -> Column:
         def step(state: Column, raw: Column) -> Column:
             def with_core(core: Column) -> Column:
                 blank = core == ""

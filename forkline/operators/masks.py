@@ -68,26 +68,24 @@ def forget_mask(
     visible token.  Else First marks the token where the tail's first occurrence begins,
     Whole the tokens of ``part`` from there; an unknown mode is First.
     """
+    # What a lambda captures is evaluated for every element, so positions are bound first.
     size = F.size(ids)
-    visible = F.array_position(
-        F.transform(F.slice(token_texts, start + 1, F.lit(LOOKAHEAD)), lambda t: strip(t) != ""), True
-    )
+    ahead = F.slice(token_texts, start + 1, F.lit(LOOKAHEAD))
+    visible = F.array_position(F.transform(ahead, lambda t: strip(t) != ""), True)
     content = start + F.greatest(visible - 1, F.lit(0)).cast("int")
     found = F.instr(answer, tail)
-
-    def by_tail(begin: Column) -> Column:
-        chars = found - 1
-        lead = _tokens_before(answer_tokens, chars)
-        covered = _tokens_before(answer_tokens, chars + F.length(F.coalesce(part, tail))) - lead
-        width = F.when(mode == "Whole", covered).otherwise(F.lit(1))
-        return let(begin + lead, lambda at: _ones(ids, at, at + width))
-
     usable = (found > 0) & F.endswith(answer, tail)
-    return (
-        F.when(tail.isNull(), _ones(ids, start, size))
-        .when(usable, let(content, by_tail))
-        .otherwise(let(content, lambda begin: _ones(ids, begin, size)))
+    lead = let(found - 1, lambda at: _tokens_before(answer_tokens, at))
+    part_end = let(
+        found - 1 + F.length(F.coalesce(part, tail)), lambda at: _tokens_before(answer_tokens, at)
+    )
+    begin = F.when(tail.isNull(), start).when(usable, content + lead).otherwise(content)
+    end = (
+        F.when(tail.isNull() | ~usable, size)
+        .when(mode == "Whole", content + part_end)
+        .otherwise(content + lead + 1)
     )
+    return let(F.struct(begin.alias("at"), end.alias("to")), lambda r: _ones(ids, r["at"], r["to"]))
 
 
 def encode_samples(

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from forkline.operators.diverge import diverge
 from forkline.operators.normalize import normalize_pairs
 from forkline.schemas import STEP_TYPE
+from forkline.session import spread
 
 # Each order is one pair: gold varies by customer, the kind of error by order key.
 SQL_PAIRS = """
@@ -88,7 +89,12 @@ def plain(sql: str) -> str:
 
 
 def sql_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    return derived(spark, sf, SQL_PAIRS)
+    return spark.sql(SQL_PAIRS, orders=spread(table(spark, sf, "orders"), "o_orderkey"))
+
+
+def texts(spark: SparkSession, sf: str, name: str, key: str) -> DataFrame:
+    """A table of long texts, shared among the cores."""
+    return spread(table(spark, sf, name), key)
 
 
 def result_rows(spark: SparkSession, sf: str) -> DataFrame:

@@ -77,8 +77,9 @@ def positions(spark: SparkSession, sf: str) -> DataFrame:
 )
 def streamed(spark: SparkSession, sf: str) -> DataFrame:
     """The orders file as a stream of pairs, appended to a table under a checkpoint."""
+    # A stream takes folders or patterns, and the table may be one file or a folder of files.
     orders = spark.readStream.schema(fx.table(spark, sf, "orders").schema).parquet(
-        f"{sf}/orders.parquet"
+        f"{sf}/orders.parque[t]"
     )
     pairs = spark.sql(fx.SQL_PAIRS, orders=orders)
     root = _folder(spark, "incremental")

@@ -82,7 +82,7 @@ def restored(spark: SparkSession, sf: str) -> DataFrame:
     f"SELECT doc_id, md5(trim(regexp_replace(text, '{o.SPACES}+', ' ', 'g'))) AS text_md5 FROM documents",
 )
 def collapsed(spark: SparkSession, sf: str) -> DataFrame:
-    return fx.table(spark, sf, "documents").select(
+    return fx.texts(spark, sf, "documents", "doc_id").select(
         "doc_id", F.md5(collapse_spaces(F.col("text"))).alias("text_md5")
     )
 
@@ -94,7 +94,7 @@ def collapsed(spark: SparkSession, sf: str) -> DataFrame:
 )
 def text_words(spark: SparkSession, sf: str) -> DataFrame:
     return (
-        fx.table(spark, sf, "documents")
+        fx.texts(spark, sf, "documents", "doc_id")
         .select("doc_id", words(F.col("text")).alias("w"))
         .select(
             "doc_id",
@@ -113,7 +113,7 @@ def text_words(spark: SparkSession, sf: str) -> DataFrame:
 def sql_tokens(spark: SparkSession, sf: str) -> DataFrame:
     """Tokens of whole raw pages: quotes, markup and operators of every kind."""
     return (
-        fx.table(spark, sf, "pages")
+        fx.texts(spark, sf, "pages", "page_id")
         .select("page_id", sqltext.tokens(F.col("html")).alias("w"))
         .select(
             "page_id",
@@ -204,7 +204,7 @@ _CHANGED = "left(text, CAST(floor(length(text) * 3 / 4) AS INT)) || '~' || subst
 )
 def document_characters(spark: SparkSession, sf: str) -> DataFrame:
     """First differing character of whole documents, up to 20,000 words."""
-    pairs = fx.table(spark, sf, "documents").select("doc_id", "text", F.expr(_CHANGED).alias("changed"))
+    pairs = fx.texts(spark, sf, "documents", "doc_id").select("doc_id", "text", F.expr(_CHANGED).alias("changed"))
     return pairs.select("doc_id", first_char_divergence(F.col("text"), F.col("changed")).alias("char_index"))
 
 
@@ -217,7 +217,7 @@ def document_characters(spark: SparkSession, sf: str) -> DataFrame:
 )
 def document_tokens(spark: SparkSession, sf: str) -> DataFrame:
     """First differing token of whole documents."""
-    pairs = fx.table(spark, sf, "documents").select(
+    pairs = fx.texts(spark, sf, "documents", "doc_id").select(
         "doc_id", F.col("text").alias("normalized_label"), F.expr(_CHANGED).alias("normalized_predict")
     )
     return token_divergence(pairs).select(

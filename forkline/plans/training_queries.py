@@ -153,24 +153,27 @@ _HEADER = (-7, -8)
 # One document is one answer; its token ids are word lengths.  The header stands after
 # doc_id % 50 words, except where there is none.
 _SAMPLES = f"""w AS (SELECT doc_id, regexp_extract_all(text, '{o.SPACES.replace("[", "[^", 1)}+') AS w FROM documents),
-h AS (SELECT doc_id, w, least(CAST(doc_id % 50 AS BIGINT), len(w)) AS at, doc_id % 9 <> 0 AS headed FROM w),
-e AS (SELECT doc_id, at, headed,
-    CASE WHEN headed THEN w[1:at] || ['<h1>', '<h2>'] || w[at+1:] ELSE w END AS texts,
-    w[at+1:] AS answer_words FROM h),
-q AS (SELECT *, len(answer_words) // 2 AS half, len(answer_words) // 4 AS part_words,
+h AS (SELECT doc_id, w, least(CAST(doc_id % 50 AS BIGINT), len(w)) AS start0, doc_id % 9 <> 0 AS headed FROM w),
+e AS (SELECT doc_id, start0, headed,
+    CASE WHEN headed THEN w[1:start0] || ['<h1>', '<h2>'] || w[start0+1:] ELSE w END AS texts,
+    w[start0+1:] AS answer_words FROM h),
+q AS (SELECT *, len(answer_words) // 2 AS half,
     list_transform(texts, lambda t: CASE t WHEN '<h1>' THEN -7 WHEN '<h2>' THEN -8 ELSE length(t) END)[1:3200] AS ids FROM e),
 m AS (SELECT *, len(ids) AS n,
-    CASE WHEN headed AND at + 2 <= len(ids) THEN at + 2 END AS hdr FROM q),
+    CASE WHEN headed AND start0 + 2 <= len(ids) THEN start0 + 2 END AS hdr FROM q),
 g AS (SELECT *, coalesce(hdr, n) AS start,
     array_to_string(answer_words, ' ') AS answer, array_to_string(answer_words[half+1:], ' ') AS tail0 FROM m),
 z AS (SELECT *, CASE WHEN doc_id % 7 = 0 THEN NULL WHEN doc_id % 11 = 0 THEN 'no such tail' ELSE tail0 END AS tail,
     CASE doc_id % 3 WHEN 0 THEN 'First' WHEN 1 THEN 'Whole' ELSE 'Other' END AS mode,
-    -- words that begin before the first occurrence of the tail
-    len(list_filter(range(len(answer_words)), lambda i: length(array_to_string(answer_words[1:i], ' ')) < instr(answer, tail0) - 1)) AS lead0
+    -- a word begins with the space before it: words that begin before the tail's first occurrence
+    CASE WHEN tail0 = '' OR instr(answer, tail0) = 1 THEN 0
+         ELSE 1 + length(left(answer, instr(answer, tail0) - 1)) - length(replace(left(answer, instr(answer, tail0) - 1), ' ', '')) END AS lead0,
+    left(answer, instr(answer, tail0) - 1 + length(tail0)) AS covered
     FROM g),
 k AS (SELECT *, CASE WHEN tail IS NULL OR tail = 'no such tail' THEN start ELSE start + lead0 END AS lo,
     CASE WHEN tail IS NULL OR tail = 'no such tail' THEN n
-         WHEN mode = 'Whole' THEN start + lead0 + (len(answer_words) - half) ELSE start + lead0 + 1 END AS hi FROM z),
+         WHEN mode = 'Whole' AND tail0 = '' THEN start
+         WHEN mode = 'Whole' THEN start + 1 + length(covered) - length(replace(covered, ' ', '')) ELSE start + lead0 + 1 END AS hi FROM z),
 enc AS (SELECT doc_id AS index, ids AS input_ids, list_transform(ids, lambda x: 1) AS attention_mask,
     list_transform(ids, lambda x, i: CASE WHEN hdr IS NOT NULL AND i - 1 < hdr THEN -100 ELSE x END) AS labels,
     list_transform(ids, lambda x, i: CASE WHEN i - 1 >= lo AND i - 1 < hi THEN 1 ELSE 0 END) AS forget_mask FROM k)"""
@@ -191,7 +194,7 @@ def _samples(spark: SparkSession, sf: str) -> DataFrame:
     )
     key = F.col("doc_id")
     return (
-        fx.table(spark, sf, "documents")
+        fx.texts(spark, sf, "documents", "doc_id")
         .select("doc_id", words(F.col("text")).alias("w"))
         .withColumn("at", at)
         .select(

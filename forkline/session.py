@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = 8, app: str = "forkline", **conf: str) -> SparkSession:
@@ -35,3 +35,17 @@ def scratch_root(spark: SparkSession) -> str:
         root = tempfile.mkdtemp(prefix="forkline-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Share a scan of few splits among all cores before costly work on each row.
+
+    A scan that already has a split per core, as any large table has, is left alone: no
+    shuffle is added at scale.
+    """
+    if df.isStreaming:
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, key)
