@@ -41,26 +41,24 @@ def starts_with_keyword(suffix: Column) -> Column:
     return F.coalesce(first_word(suffix).isin(*SQL_KEYWORDS), F.lit(False))
 
 
-def class_features(failed: DataFrame) -> DataFrame:
-    """``index, suffix, starts_clause, generated, matches`` per failed row, narrow."""
+def with_features(failed: DataFrame) -> DataFrame:
+    """Add ``starts_clause``, ``generated``, ``remainder`` and ``matches``; an empty
+    suffix becomes the end mark.  Narrow."""
     top = F.get("logits_top5", F.lit(0))
     suffix = text_or_empty(F.col("suffix"))
     candidates = F.coalesce(top["top5_tokens"], F.array().cast("array<string>"))
-    remainder = gold_remainder(text_or_empty(F.col("label")), text_or_empty(F.col("prefix")))
-    matching = let(
-        remainder,
-        lambda rest: F.filter(
-            F.transform(candidates, lambda t: strip(text_or_empty(t))),
-            lambda t: boundary_match(rest, t),
-        ),
-    )
-    return failed.select(
-        "index",
-        F.when(first_word(suffix).isNull(), F.lit(END_OF_TURN)).otherwise(suffix).alias("suffix"),
-        starts_with_keyword(suffix).alias("starts_clause"),
-        strip(text_or_empty(top["generated_token"])).alias("generated"),
-        matching.alias("matches"),
+    matching = F.filter(
+        F.transform(candidates, lambda t: strip(text_or_empty(t))),
+        lambda t: boundary_match(F.col("remainder"), t),
     )
+    return failed.withColumns(
+        {
+            "suffix": F.when(first_word(suffix).isNull(), F.lit(END_OF_TURN)).otherwise(suffix),
+            "starts_clause": starts_with_keyword(suffix),
+            "generated": strip(text_or_empty(top["generated_token"])),
+            "remainder": gold_remainder(text_or_empty(F.col("label")), text_or_empty(F.col("prefix"))),
+        }
+    ).withColumn("matches", matching)
 
 
 def pair_similarity(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
@@ -80,49 +78,62 @@ def pair_similarity(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
     )
 
 
-def class_flags(failed: DataFrame, vectors: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """``index, suffix, classes``: 1 next word is a clause word, 2 no candidate goes on
-    as gold does, 3 a candidate does but is unlike the token that was generated.
+def unlike_rows(
+    features: DataFrame, vectors: DataFrame, threshold: float = 0.8, salts: int = 16
+) -> DataFrame:
+    """``index`` of the rows with a matching candidate unlike the generated token.
 
-    A row without candidates is class 2.  Only the index, the short features and the
-    matching candidates move; one row per matching candidate, at most as many as there
-    are candidates.
+    Only (index, candidate, generated token) of matching candidates move, spread by the
+    pair and a salt, as one pair of common tokens may make up much of the table; the few
+    pairs that are unlike are repeated once per salt.
     """
-    features = class_features(failed)
-    exploded = features.select(
-        "index", "suffix", "starts_clause", "generated", F.explode_outer("matches").alias("a")
+    # explode_outer, then a filter: for a plain explode the optimizer copies the whole
+    # expression of the candidates into a filter below every projection.
+    matched = features.select(
+        "index", F.explode_outer("matches").alias("a"), F.col("generated").alias("b")
+    ).filter(F.col("a").isNotNull())
+    unlike = pair_similarity(matched, vectors).filter(F.col("similarity") < threshold)
+    salted = unlike.select("a", "b", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"))
+    spread = matched.withColumn("_salt", F.pmod(F.hash("index"), F.lit(salts)))
+    return spread.join(salted, ["a", "b", "_salt"], "left_semi").select("index").distinct()
+
+
+def _with_classes(features: DataFrame, vectors: DataFrame, threshold: float) -> DataFrame:
+    unlike = unlike_rows(features, vectors, threshold).withColumn("_unlike", F.lit(True))
+    flags = (
+        F.col("starts_clause"),
+        F.size("matches") == 0,
+        F.coalesce(F.col("_unlike"), F.lit(False)),
     )
-    # Rows without a match, often most of them, must not meet on one null key.
-    spread = F.when(F.col("a").isNull(), F.col("index").cast("string"))
-    matched = exploded.withColumn("b", F.coalesce(spread, F.col("generated"))).drop("generated")
-    similarity = pair_similarity(matched.filter(F.col("a").isNotNull()), vectors)
-    unlike = F.coalesce(F.col("similarity") < threshold, F.lit(False))
-    # max and any_value combine before the shuffle; the values of an index agree.
+    numbered = F.array(*[F.when(flag, F.lit(n)) for n, flag in enumerate(flags, 1)])
     return (
-        matched.join(similarity, ["a", "b"], "left")
-        .groupBy("index")
-        .agg(
-            F.any_value("suffix").alias("suffix"),
-            F.bool_or("starts_clause").alias("_c1"),
-            F.bool_and(F.col("a").isNull()).alias("_c2"),
-            F.bool_or(unlike).alias("_c3"),
-        )
-        .select("index", "suffix", _class_list("_c1", "_c2", "_c3").alias("classes"))
+        features.join(unlike, "index", "left")
+        .withColumn("classes", F.array_compact(numbered))
+        .drop("_unlike", "starts_clause", "generated", "remainder", "matches")
     )
 
 
-def _class_list(*flags: str) -> Column:
-    numbered = F.array(*[F.when(F.col(f), F.lit(n)) for n, f in enumerate(flags, 1)])
-    return F.array_compact(numbered)
+def class_flags(failed: DataFrame, vectors: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """``index, suffix, classes``: 1 next word is a clause word, 2 no candidate goes on
+    as gold does, 3 a candidate does but is unlike the token that was generated.
+
+    A row without candidates is class 2.
+    """
+    features = with_features(failed).select(
+        "index", "suffix", "starts_clause", "generated", "remainder", "matches"
+    )
+    return _with_classes(features, vectors, threshold)
 
 
 def classify(
     exec_results: DataFrame, divergences: DataFrame, vectors: DataFrame, threshold: float = 0.8
 ) -> DataFrame:
-    """Failed divergence rows with ``classes``; rows of no class have an empty list."""
+    """Failed divergence rows with ``classes``; rows of no class have an empty list.
+
+    Both joins are on ``index``: the wide rows are shuffled once.
+    """
     failed = failed_rows(join_divergences(exec_results, divergences))
-    flags = class_flags(failed, vectors, threshold)
-    return failed.drop("suffix").join(flags, "index")
+    return _with_classes(with_features(failed), vectors, threshold)
 
 
 def in_any_class(classified: DataFrame) -> DataFrame:

@@ -29,21 +29,31 @@ def compare_results(result_rows: DataFrame) -> DataFrame:
     )
 
 
-def exec_match(result_rows: DataFrame, status: DataFrame) -> DataFrame:
-    """``index, exec_match, error`` for every row of ``status``.
+def judge_runs(result_rows: DataFrame, status: DataFrame) -> DataFrame:
+    """``status`` with ``exec_match`` and ``error``.
 
     ``status`` says which runs failed; an index without rows on both sides matches, as
     empty equals empty, unless a run failed.
     """
     same = F.coalesce(F.col("same_rows"), F.lit(True))
     failed = F.coalesce(F.col("pred_error"), F.col("gold_error"))
-    return status.join(compare_results(result_rows), "index", "left").select(
-        "index",
-        (failed.isNull() & same).alias("exec_match"),
-        F.coalesce(failed, F.when(~same, F.lit("results differ"))).alias("error"),
+    return (
+        status.join(compare_results(result_rows), "index", "left")
+        .withColumns(
+            {
+                "exec_match": failed.isNull() & same,
+                "error": F.coalesce(failed, F.when(~same, F.lit("results differ"))),
+            }
+        )
+        .drop("same_rows")
     )
 
 
+def exec_match(result_rows: DataFrame, status: DataFrame) -> DataFrame:
+    """``index, exec_match, error`` for every row of ``status``."""
+    return judge_runs(result_rows, status).select("index", "exec_match", "error")
+
+
 def align_gold(gold: DataFrame, predictions: DataFrame) -> DataFrame:
     """Join gold and predictions on ``index``; an unmatched row on either side fails.
 
@@ -128,9 +138,7 @@ def evaluate_runs(looked_up: DataFrame, result_rows: DataFrame, status: DataFram
     not parsed: counted, but the run is still compared, and its error stays unless the
     comparison has one of its own.
     """
-    rows = looked_up.join(exec_match(result_rows, status), "index", "left").join(
-        status.select("index", "pred_parse_error", "gold_parse_error"), "index", "left"
-    )
+    rows = looked_up.join(judge_runs(result_rows, status), "index", "left")
     no_db = F.col("db_id").isNull()
     gold_bad = ~no_db & F.col("gold_parse_error").isNotNull()
     pred_bad = ~no_db & ~gold_bad & F.col("pred_parse_error").isNotNull()

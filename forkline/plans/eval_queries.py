@@ -180,9 +180,9 @@ def outcomes(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "accuracy",
-    f"""WITH {_COMPARED} SELECT count(*) AS total, count_if(exec_match) AS exec_correct,
-          round(count_if(exec_match) * 100.0 / count(*), 2) AS accuracy_pct, count_if(no_db_id) AS no_db_id,
-          count_if(parse_error) AS parse_error, count_if(exec_error) AS exec_error FROM outcome""",
+    f"""WITH {_COMPARED} SELECT count(*) AS total, CAST(count_if(exec_match) AS BIGINT) AS exec_correct,
+          round(count_if(exec_match) * 100.0 / count(*), 2) AS accuracy_pct, CAST(count_if(no_db_id) AS BIGINT) AS no_db_id,
+          CAST(count_if(parse_error) AS BIGINT) AS parse_error, CAST(count_if(exec_error) AS BIGINT) AS exec_error FROM outcome""",
 )
 def accuracy(spark: SparkSession, sf: str) -> DataFrame:
     return ev.accuracy(_outcomes(spark, sf))
@@ -191,9 +191,9 @@ def accuracy(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "outcome_filters",
     o.with_pairs(
-        """SELECT 'failed or unknown' AS rows_kept, count_if(exec_match IS DISTINCT FROM TRUE) AS n_rows FROM sql_pairs
-           UNION ALL SELECT 'failed', count_if(NOT exec_match) FROM sql_pairs
-           UNION ALL SELECT 'passed', count_if(exec_match) FROM sql_pairs"""
+        """SELECT 'failed or unknown' AS rows_kept, CAST(count_if(exec_match IS DISTINCT FROM TRUE) AS BIGINT) AS n_rows FROM sql_pairs
+           UNION ALL SELECT 'failed', CAST(count_if(NOT exec_match) AS BIGINT) FROM sql_pairs
+           UNION ALL SELECT 'passed', CAST(count_if(exec_match) AS BIGINT) FROM sql_pairs"""
     ),
 )
 def filters(spark: SparkSession, sf: str) -> DataFrame:
@@ -259,7 +259,11 @@ def classes(spark: SparkSession, sf: str) -> DataFrame:
         SELECT CAST(c AS INT) AS error_class, count(*) AS n_rows FROM g WHERE c IS NOT NULL GROUP BY 1""",
 )
 def sizes(spark: SparkSession, sf: str) -> DataFrame:
-    return cl.class_sizes(_classified(spark, sf))
+    """Sizes need the flags only, so the wide rows are not joined back."""
+    failed = ev.failed_rows(
+        ev.join_divergences(fx.exec_rows(spark, sf), fx.divergence_rows(spark, sf))
+    )
+    return cl.class_sizes(cl.class_flags(failed, fx.token_vectors(spark, sf)))
 
 
 @query(
@@ -278,9 +282,9 @@ def remainders(spark: SparkSession, sf: str) -> DataFrame:
     failed = ev.failed_rows(
         ev.join_divergences(fx.exec_rows(spark, sf), fx.divergence_rows(spark, sf))
     )
-    features = cl.class_features(failed).select("index", F.array_join("matches", "|").alias("matches"))
-    rest = failed.select("index", cl.gold_remainder(F.col("label"), F.col("prefix")).alias("remainder"))
-    return rest.join(features, "index")
+    return cl.with_features(failed).select(
+        "index", "remainder", F.array_join("matches", "|").alias("matches")
+    )
 
 
 _QUESTION = "'Orders of customer ' || CAST(cust AS STRING) || '?'"

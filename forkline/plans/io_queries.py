@@ -93,7 +93,7 @@ def streamed(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "summary_file",
-    """SELECT count(*) AS total, count_if(o_orderkey % 3 = 0) AS exec_correct FROM orders""",
+    """SELECT count(*) AS total, CAST(count_if(o_orderkey % 3 = 0) AS BIGINT) AS exec_correct FROM orders""",
 )
 def summary(spark: SparkSession, sf: str) -> DataFrame:
     """The report row, written and read back."""

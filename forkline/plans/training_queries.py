@@ -76,12 +76,12 @@ def split_documents(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "split_stats",
     f"""WITH {_PAIR_SPLIT}
-        SELECT (SELECT count(*) FROM sql_pairs) AS total_samples, count_if("set" = 'forget') AS forget_samples,
-          count_if("set" = 'retain') AS retain_samples,
-          count_if("set" = 'forget' AND answer_source = 'predict') AS forget_predict,
-          count_if("set" = 'forget' AND answer_source = 'label') AS forget_label,
-          count_if("set" = 'retain' AND answer_source = 'predict') AS retain_predict,
-          count_if("set" = 'retain' AND answer_source = 'label') AS retain_label,
+        SELECT (SELECT count(*) FROM sql_pairs) AS total_samples, CAST(count_if("set" = 'forget') AS BIGINT) AS forget_samples,
+          CAST(count_if("set" = 'retain') AS BIGINT) AS retain_samples,
+          CAST(count_if("set" = 'forget' AND answer_source = 'predict') AS BIGINT) AS forget_predict,
+          CAST(count_if("set" = 'forget' AND answer_source = 'label') AS BIGINT) AS forget_label,
+          CAST(count_if("set" = 'retain' AND answer_source = 'predict') AS BIGINT) AS retain_predict,
+          CAST(count_if("set" = 'retain' AND answer_source = 'label') AS BIGINT) AS retain_label,
           CAST(2000 AS BIGINT) AS forget_size_requested, CAST(7000 AS BIGINT) AS retain_size_requested,
           CAST(42 AS BIGINT) AS seed FROM split""",
 )
