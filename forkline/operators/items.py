@@ -16,9 +16,15 @@ def leading_part(tail: Column, default: str) -> Column:
     return F.coalesce(first_word(tail), F.nullif(F.left(tail, F.lit(1)), F.lit("")), F.lit(default))
 
 
-def forget_items(classified: DataFrame) -> DataFrame:
-    """One item per class of a row, in mode First.  Narrow: ``classes`` is exploded last."""
+def forget_items(classified: DataFrame, mode: str = "First") -> DataFrame:
+    """One item per class of a row.  Narrow: ``classes`` is exploded last.
+
+    First names the first word of the tail as the part, Whole the tail itself.
+    """
+    if mode not in ("First", "Whole"):
+        raise ValueError(f"mode must be First or Whole, not {mode!r}")
     tail = text_or_empty(F.col("suffix"))
+    part = tail if mode == "Whole" else leading_part(tail, END_OF_TURN)
     return classified.select(
         F.col("index").cast("string").alias("id"),
         question_strict(text_or_empty(F.col("prompt"))).alias("question"),
@@ -27,8 +33,8 @@ def forget_items(classified: DataFrame) -> DataFrame:
         F.lit("predict").alias("answer_source"),
         F.lit(False).alias("original_exec_match"),
         tail.alias("forget_tail"),
-        F.lit("First").alias("forget_mode"),
-        leading_part(tail, END_OF_TURN).alias("forget_part"),
+        F.lit(mode).alias("forget_mode"),
+        part.alias("forget_part"),
         F.explode("classes").alias("error_class"),
     )
 

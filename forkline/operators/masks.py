@@ -11,6 +11,8 @@ from forkline.schemas import UNSCORED
 MAX_LENGTH = 3200
 # How far past the header the first visible token is looked for.
 LOOKAHEAD = 10
+# What each array is padded with; the id to pad with belongs to the vocabulary.
+PADDING = {"input_ids": 0, "attention_mask": 0, "labels": UNSCORED, "forget_mask": 0}
 
 
 def truncate(ids: Column, max_length: int = MAX_LENGTH) -> Column:
@@ -88,6 +90,34 @@ def forget_mask(
     return let(F.struct(begin.alias("at"), end.alias("to")), lambda r: _ones(ids, r["at"], r["to"]))
 
 
+def encoded(sample: Column, header_ids: list[int], max_length: int, with_tail: bool) -> Column:
+    """Struct of input_ids, attention_mask, labels and forget_mask of one sample struct."""
+    header = F.array(*[F.lit(i) for i in header_ids])
+    nothing = F.lit(None).cast("string")
+
+    def build(ids: Column) -> Column:
+        return let(header_end(ids, header), lambda end: with_end(ids, end))
+
+    def with_end(ids: Column, end: Column) -> Column:
+        return F.struct(
+            ids.alias("input_ids"),
+            F.transform(ids, lambda _: F.lit(1)).alias("attention_mask"),
+            label_mask(ids, end).alias("labels"),
+            forget_mask(
+                ids,
+                sample["token_texts"],
+                F.coalesce(end, F.size(ids)),
+                text_or_empty(sample["answer"]),
+                sample["answer_tokens"],
+                sample["forget_tail"] if with_tail else nothing,
+                sample["forget_part"] if with_tail else nothing,
+                F.coalesce(sample["forget_mode"], F.lit("First")) if with_tail else F.lit("First"),
+            ).alias("forget_mask"),
+        )
+
+    return let(truncate(sample["input_ids"], max_length), build)
+
+
 def encode_samples(
     samples: DataFrame, header_ids: list[int], max_length: int = MAX_LENGTH
 ) -> DataFrame:
@@ -96,57 +126,68 @@ def encode_samples(
     Takes ``input_ids`` with the text of each in ``token_texts``, ``answer`` with its own
     ``answer_tokens``, and ``forget_tail``, ``forget_part``, ``forget_mode``.
     """
-    ids, end = F.col("input_ids"), F.col("_header_end")
-    header = F.array(*[F.lit(i) for i in header_ids])
-    return (
-        samples.withColumn("input_ids", truncate(ids, max_length))
-        .withColumn("_header_end", header_end(ids, header))
-        .withColumns(
-            {
-                "attention_mask": F.transform(ids, lambda _: F.lit(1)),
-                "labels": label_mask(ids, end),
-                "forget_mask": forget_mask(
-                    ids,
-                    F.col("token_texts"),
-                    F.coalesce(end, F.size(ids)),
-                    text_or_empty(F.col("answer")),
-                    F.col("answer_tokens"),
-                    F.col("forget_tail"),
-                    F.col("forget_part"),
-                    F.coalesce("forget_mode", F.lit("First")),
-                ),
-            }
-        )
-        .drop("_header_end")
+    sample = F.struct(*[F.col(c) for c in samples.columns])
+    rows = samples.withColumn("_e", encoded(sample, header_ids, max_length, with_tail=True))
+    return rows.withColumns({c: F.col(f"_e.{c}") for c in PADDING}).drop("_e")
+
+
+def build_masks(pairs: DataFrame, header_ids: list[int], max_length: int = MAX_LENGTH) -> DataFrame:
+    """Encode both sides of ``index, forget, retain``; a retain sample is scored whole."""
+    return pairs.withColumns(
+        {
+            side: encoded(F.col(side), header_ids, max_length, with_tail=side == "forget")
+            for side in ("forget", "retain")
+        }
+    )
+
+
+def _padded(fields: Column, longest: Column, pad_id: int) -> Column:
+    missing = F.greatest(longest - F.size(fields["input_ids"]), F.lit(0))
+    fill = PADDING | {"input_ids": pad_id}
+    return F.struct(
+        *[
+            F.concat(fields[name], F.array_repeat(F.lit(value), missing)).alias(name)
+            for name, value in fill.items()
+        ]
     )
 
 
+def _longest(ids: Column, max_length: int) -> Column:
+    return F.max(F.least(F.size(ids), F.lit(max_length))).over(Window.partitionBy("batch_id"))
+
+
 def batch_pad(
-    encoded: DataFrame, batch_size: int, pad_id: int, max_length: int = MAX_LENGTH
+    encoded_rows: DataFrame, batch_size: int, pad_id: int, max_length: int = MAX_LENGTH
 ) -> DataFrame:
     """Batches of consecutive ``index`` values, padded to the longest row of each.
 
     One shuffle by batch; a batch never holds more than ``batch_size`` rows.
     """
-    longest = F.max(F.least(F.size("input_ids"), F.lit(max_length))).over(
-        Window.partitionBy("batch_id")
-    )
-    fill = {"input_ids": pad_id, "attention_mask": 0, "labels": UNSCORED, "forget_mask": 0}
-    missing = F.greatest(F.col("_longest") - F.size("input_ids"), F.lit(0))
-    batched = encoded.withColumn("batch_id", batch_of(F.col("index"), batch_size))
+    fields = F.struct(*[F.col(c) for c in PADDING])
     return (
-        batched.withColumn("_longest", longest)
-        .withColumn("_missing", missing)
-        .withColumns(
-            {
-                name: F.concat(F.col(name), F.array_repeat(F.lit(value), F.col("_missing")))
-                for name, value in fill.items()
-            }
-        )
-        .drop("_longest", "_missing")
+        encoded_rows.withColumn("batch_id", batch_of(F.col("index"), batch_size))
+        .withColumn("_longest", _longest(F.col("input_ids"), max_length))
+        .withColumn("_p", _padded(fields, F.col("_longest"), pad_id))
+        .withColumns({c: F.col(f"_p.{c}") for c in PADDING})
+        .drop("_p", "_longest")
     )
 
 
+def batch_pad_pairs(
+    masked: DataFrame, batch_size: int, pad_id: int, max_length: int = MAX_LENGTH
+) -> DataFrame:
+    """Pad each side of encoded pairs to its own longest row; retain needs no forget mask.
+
+    Both maxima come from the one shuffle by batch.
+    """
+    rows = masked.withColumn("batch_id", batch_of(F.col("index"), batch_size))
+    sides = ("forget", "retain")
+    rows = rows.withColumns({f"_{s}": _longest(F.col(f"{s}.input_ids"), max_length) for s in sides})
+    padded = {s: _padded(F.col(s), F.col(f"_{s}"), pad_id) for s in sides}
+    padded["retain"] = padded["retain"].dropFields("forget_mask")
+    return rows.withColumns(padded).drop("_forget", "_retain")
+
+
 def batch_of(index: Column, batch_size: int) -> Column:
     """Fixed-size batches in row order."""
     return F.floor(index / F.lit(batch_size)).cast("bigint")

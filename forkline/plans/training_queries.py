@@ -263,6 +263,32 @@ def padded(spark: SparkSession, sf: str) -> DataFrame:
     return _digests(masks.batch_pad(rows, batch_size=8, pad_id=0))
 
 
+_PAIR_ARRAYS = [f"forget.{c}" for c in _ARRAYS] + [f"retain.{c}" for c in _ARRAYS[:3]]
+
+
+@query(
+    "batch_pad_pairs",
+    f"""WITH {_SAMPLES}, b AS (SELECT *, index // 2 AS batch_id, max(len(input_ids)) OVER (PARTITION BY index // 2) AS longest FROM enc),
+        p AS (SELECT index, batch_id,
+          input_ids || list_transform(range(longest - len(input_ids)), lambda i: 9) AS input_ids,
+          attention_mask || list_transform(range(longest - len(input_ids)), lambda i: 0) AS attention_mask,
+          labels || list_transform(range(longest - len(input_ids)), lambda i: -100) AS labels,
+          forget_mask || list_transform(range(longest - len(input_ids)), lambda i: 0) AS forget_mask FROM b)
+        SELECT index, batch_id, {', '.join(f"md5(array_to_string({c.split('.')[1]}, ',')) AS {c.replace('.', '_')}" for c in _PAIR_ARRAYS)} FROM p""",
+)
+def padded_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """Each document as forget sample with its tail and as retain sample without."""
+    samples = _samples(spark, sf)
+    fields = [F.col(c) for c in samples.columns if c != "index"]
+    pairs = samples.select("index", F.struct(*fields).alias("forget"), F.struct(*fields).alias("retain"))
+    rows = masks.batch_pad_pairs(masks.build_masks(pairs, list(_HEADER)), batch_size=2, pad_id=9)
+    digests = [
+        F.md5(F.array_join(F.col(c).cast("array<string>"), ",")).alias(c.replace(".", "_"))
+        for c in _PAIR_ARRAYS
+    ]
+    return rows.select("index", "batch_id", *digests)
+
+
 @query(
     "mask_coverage",
     f"""WITH {_SAMPLES}, c AS (SELECT index, len(list_filter(labels[2:], lambda x: x <> -100)) AS scored,
