@@ -44,7 +44,7 @@ def _clause_tokens(sql: Column) -> Column:
         return (
             F.when(token == "!=", "<>")
             .when(token == "==", "=")
-            .when(plain & (upper.isin(*_WORDS) | (following == "(")), upper)
+            .when(upper.isin(*_WORDS) | ((following == "(") & plain), upper)
             .otherwise(token)
         )
 
@@ -117,7 +117,7 @@ def _render(tokens: Column, names: Column) -> Column:
         owner = F.substring_index(last_two, ".", 1)
         number = F.array_position(names, owner)
         table = F.when(number > 0, F.concat(F.lit("T"), number.cast("string"))).otherwise(owner)
-        dotted = F.rlike(token, F.lit(r"\A[A-Za-z_][^.]*\."))
+        dotted = F.contains(token, F.lit(".")) & F.rlike(token, F.lit(r"\A[A-Za-z_][^.]*\."))
         return F.when(
             dotted, F.concat(table, F.lit("."), F.substring_index(last_two, ".", -1))
         ).otherwise(token)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import os
 import tempfile
 
@@ -28,13 +29,14 @@ def local_session(cores: int | str = 8, app: str = "forkline", **conf: str) -> S
     return spark
 
 
+@functools.cache
+def _own_scratch() -> str:
+    return tempfile.mkdtemp(prefix="forkline-")
+
+
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a local one only where none is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="forkline-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    """The shared folder the cluster names; a local one only where none is set, as in tests."""
+    return spark.conf.get("spark.checkpoint.dir", None) or _own_scratch()
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:

@@ -40,6 +40,24 @@ def test_edges(spark):
     assert all(r.logits_top5 == [] and r.semantic_divergence is None for r in rows)
 
 
+def test_known_offsets(spark):
+    """Raw offset, word index and first word of the four ways the pair fixture diverges."""
+    label = "SELECT T1.o_orderstatus FROM orders AS T1 WHERE T1.o_custkey = 899"
+    cases = [
+        (label.replace("o_orderstatus", "o_totalprice"), 7, 1, "T1.o_totalprice"),
+        (label + " ORDER BY T1.o_totalprice", 67, 10, "ORDER"),
+        (label.replace("899", "900"), 63, 9, "900"),
+        (label.split(" WHERE")[0] + " GROUP BY T1.o_orderstatus", 42, 6, "GROUP"),
+    ]
+    rows = diverged(spark, [(c[0], label) for c in cases])
+    got = [
+        (r.predict, r.divergence_meta.orig_pred_char, r.divergence_meta.orig_pred_token_index, r.suffix.split()[0])
+        for r in rows
+    ]
+    assert got == cases
+    assert rows[1].prefix == label
+
+
 def test_reasons(spark):
     df = spark.createDataFrame(
         [("a b", "a b"), ("a 'B'", "a 'b'"), ("A b c", "a b"), ("x", "")],

@@ -39,4 +39,3 @@ def test_query(spark, duck, name):
     assert sorted(result.columns) == sorted(columns)
     ours = as_rows(result.columns, [tuple(r) for r in result.collect()])
     assert ours == as_rows(columns, relation.fetchall())
-    assert ours
