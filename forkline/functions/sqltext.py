@@ -245,6 +245,8 @@ def fence_dropped(sql: Column) -> Column:
 
     Qualifying columns changes no token count, so token ``i`` that lies outside the
     fences is token ``i`` of the normalised text, and its raw offset is known exactly.
+    Only a text that defines an alias with a dot behind it, ``FROM t a.b``, which is no
+    SQL, may be off by a token.
     """
     fenced = F.regexp_replace(sql, _ALIAS_DEFINITION, f"$1$2{OPEN}$3{CLOSE}")
     return let(fenced, lambda t: _without_select_aliases(t, f"$1{OPEN}$2{CLOSE}"))

@@ -226,3 +226,31 @@ def test_one_replacement_equals_a_callback(spark):
     dropped = F.regexp_replace(F.col("a"), sqltext._ALIAS_DEFINITION, "$1$2")
     got = one(spark, texts, text.collapse_spaces(dropped))
     assert got == [" ".join(ref.sub(each, t).split()) for t in texts]
+
+
+def test_survivors_are_the_normalised_tokens(spark):
+    """Outside the fences lie as many tokens as the normalised text has, in its order."""
+    words_ = [
+        "SELECT", "a", "T1.b", "AS", "x", ",", "FROM", "orders", "AS", "T1", "JOIN", "u", "v", "ON", "v.k", "=",
+        "'AS q'", "CAST", "(", "INT", ")", "WHERE", "1.5", "count", "*", "select", "from", "s.t", "\n",
+    ]
+    rng = random.Random(29)
+    texts = [" ".join(rng.choice(words_) for _ in range(rng.randrange(1, 30))) for _ in range(1500)]
+    # An alias that a dot follows at its own definition is no SQL, and is left out.
+    dotted = re.compile(r"(?i)\b(FROM|JOIN)\s+[\w.]+\s+(AS\s+)?\w+\.")
+    texts = [t for t in texts if not dotted.search(t)]
+    assert len(texts) > 800
+    survivors = F.filter(
+        F.transform(
+            sqltext.covering_pieces(sqltext.fence_dropped(F.col("a"))),
+            lambda p: F.regexp_replace(p["token"], sqltext.FENCED, ""),
+        ),
+        lambda t: t != "",
+    )
+    normal = sqltext.tokens(sqltext.remove_aliases(F.col("a")))
+    got = evaluate(spark, [(t, None) for t in texts], survivors, normal)
+    for source, (kept, tokens) in zip(texts, got, strict=True):
+        assert len(kept) == len(tokens), source
+        for k, t in zip(kept, tokens, strict=True):
+            # a qualified name may carry its table in place of its alias
+            assert k == t or k.split(".")[-1] == t.split(".")[-1], source
