@@ -84,17 +84,25 @@ def unlike_rows(
     """``index`` of the rows with a matching candidate unlike the generated token.
 
     Only (index, candidate, generated token) of matching candidates move, spread by the
-    pair and a salt, as one pair of common tokens may make up much of the table; the few
-    pairs that are unlike are repeated once per salt.
+    pair and a salt, as one pair of common tokens may make up much of the table.  The
+    shuffled rows serve twice, for the distinct pairs and for the join; the few pairs
+    that are unlike are repeated once per salt.
     """
     # explode_outer, then a filter: for a plain explode the optimizer copies the whole
     # expression of the candidates into a filter below every projection.
     matched = features.select(
         "index", F.explode_outer("matches").alias("a"), F.col("generated").alias("b")
     ).filter(F.col("a").isNotNull())
-    unlike = pair_similarity(matched, vectors).filter(F.col("similarity") < threshold)
+    tasks = int(features.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = matched.withColumn("_salt", F.pmod(F.hash("index"), F.lit(salts))).repartition(
+        tasks, "a", "b", "_salt"
+    )
+    # Naming the index keeps the columns of both uses equal, so the shuffle is done once.
+    pairs = spread.groupBy("a", "b", "_salt").agg(F.max("index").alias("_any"))
+    unlike = pair_similarity(pairs.filter(F.col("_any").isNotNull()), vectors).filter(
+        F.col("similarity") < threshold
+    )
     salted = unlike.select("a", "b", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"))
-    spread = matched.withColumn("_salt", F.pmod(F.hash("index"), F.lit(salts)))
     return spread.join(salted, ["a", "b", "_salt"], "left_semi").select("index").distinct()
 
 
