@@ -35,8 +35,18 @@ def _own_scratch() -> str:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a local one only where none is set, as in tests."""
-    return spark.conf.get("spark.checkpoint.dir", None) or _own_scratch()
+    """The shared folder named in ``spark.checkpoint.dir``.
+
+    A local master without one gets a temporary folder. On a cluster executors do not
+    share such a folder, so there the setting is required.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root:
+        return root
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
+    return _own_scratch()
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
