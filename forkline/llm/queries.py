@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from forkline.llm import quality, urls
+from forkline.llm import decontaminate, licenses, packing, quality, simhash, urls
 
 QUERIES = {
+    "op1_decontamination": decontaminate.op1_decontamination,
+    "op2_license_scans": licenses.op2_license_scans,
     "op3_quality_rules": quality.op3_quality_rules,
     "op5_url_filters": urls.op5_url_filters,
+    "op7_simhash": simhash.op7_simhash,
+    "op8_best_fit_packing": packing.op8_best_fit_packing,
 }
 ORACLES = {
+    "op1_decontamination": decontaminate.OP1_SQL,
     "op3_quality_rules": quality.OP3_SQL,
     "op5_url_filters": urls.OP5_SQL,
 }
