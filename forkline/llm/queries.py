@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from forkline.llm import decontaminate, licenses, packing, quality, simhash, urls
+from forkline.llm import decontaminate, licenses, packing, quality, simhash, tokenfile, urls
 
 QUERIES = {
     "op1_decontamination": decontaminate.op1_decontamination,
     "op2_license_scans": licenses.op2_license_scans,
     "op3_quality_rules": quality.op3_quality_rules,
     "op5_url_filters": urls.op5_url_filters,
+    "op6_token_files": tokenfile.op6_token_files,
     "op7_simhash": simhash.op7_simhash,
     "op8_best_fit_packing": packing.op8_best_fit_packing,
 }
