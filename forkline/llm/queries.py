@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from forkline.llm import decontaminate, licenses, packing, quality, simhash, tokenfile, urls
+from forkline.llm import decontaminate, licenses, linecrf, packing, pii, quality, simhash, tokenfile, urls
 
 QUERIES = {
     "op1_decontamination": decontaminate.op1_decontamination,
@@ -12,6 +12,8 @@ QUERIES = {
     "op6_token_files": tokenfile.op6_token_files,
     "op7_simhash": simhash.op7_simhash,
     "op8_best_fit_packing": packing.op8_best_fit_packing,
+    "op9_pii": pii.op9_pii,
+    "op10_quality_classifier": linecrf.op10_quality_classifier,
 }
 ORACLES = {
     "op1_decontamination": decontaminate.OP1_SQL,
