@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from forkline.llm import decontaminate, licenses, linecrf, packing, pii, quality, simhash, tokenfile, urls
+from forkline.llm import decontaminate, licenses, linecrf, packing, pii, quality, recurrent, simhash, tokenfile, urls
 
 QUERIES = {
     "op1_decontamination": decontaminate.op1_decontamination,
     "op2_license_scans": licenses.op2_license_scans,
     "op3_quality_rules": quality.op3_quality_rules,
+    "op4_lm_scoring": recurrent.op4_lm_scoring,
     "op5_url_filters": urls.op5_url_filters,
     "op6_token_files": tokenfile.op6_token_files,
     "op7_simhash": simhash.op7_simhash,
