@@ -27,12 +27,14 @@ classes. Repeated rows score alike, and an empty table gives an empty result.
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -297,23 +299,27 @@ def count_tokens(training: DataFrame, text: str = "text", head: int = HEAD) -> C
     return Corpus(counts, words, numbers, sums["n"], sums["kinds"])
 
 
-_NUMBERS: dict[int, dict[bytes, int]] = {}
+_NUMBERS: dict[str, dict[bytes, int]] = {}
 
 
-def _numbers(shared) -> dict[bytes, int]:
-    """The head's words by rank, made once per worker."""
-    key = shared.id if hasattr(shared, "id") else id(shared)
-    if key not in _NUMBERS:
+def _numbers(head: tuple[str, Broadcast]) -> dict[bytes, int]:
+    """The head's words by rank, made once per worker; ``head``: a name of its own, and the words."""
+    name, words = head
+    if name not in _NUMBERS:
         _NUMBERS.clear()
-        _NUMBERS[key] = {w: k for k, w in enumerate(shared.value)}
-    return _NUMBERS[key]
+        _NUMBERS[name] = {w: k for k, w in enumerate(words.value)}
+    return _NUMBERS[name]
 
 
-def _trained(flat: np.ndarray, shared, buckets: int):
+def _share(spark: SparkSession, corpus: Corpus) -> tuple[str, Broadcast]:
+    return uuid.uuid4().hex, spark.sparkContext.broadcast(corpus.words)
+
+
+def _trained(flat: np.ndarray, head: tuple[str, Broadcast], buckets: int):
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        numbers = _numbers(shared)
+        numbers = _numbers(head)
         weights, seen, adam = flat, 0, [np.zeros_like(flat), np.zeros_like(flat), np.zeros(1)]
         for batch in batches:
             parts, size = [], 0
@@ -340,7 +346,7 @@ def fit(training: DataFrame, corpus: Corpus, text: str = "text") -> np.ndarray:
     """The weights after all rounds."""
     spark = training.sparkSession
     flat = initial(corpus.numbers[:REST], corpus.rest[0])
-    shared = spark.sparkContext.broadcast(corpus.words)
+    head = _share(spark, corpus)
     schema = "bucket int, tokens bigint, weights binary"
     # Hashes of whole texts deal documents to rounds.
     turn = F.pmod(F.xxhash64(F.coalesce(F.col(text), F.lit(""))), F.lit(sum(SHARES)))
@@ -349,7 +355,7 @@ def fit(training: DataFrame, corpus: Corpus, text: str = "text") -> np.ndarray:
         part = training.select(F.col(text).alias("text"), turn.alias("turn")).filter((F.col("turn") >= begin) & (F.col("turn") < begin + share)).select("text")
         begin += share
         buckets = max(1, int(np.sqrt(len(part.inputFiles()) or 1)))
-        copies = part.mapInPandas(_trained(flat, shared, buckets), schema)
+        copies = part.mapInPandas(_trained(flat, head, buckets), schema)
         sums = copies.groupBy("bucket").applyInPandas(_summed, schema).collect()
         tokens = sum(r["tokens"] for r in sums)
         if tokens:
@@ -357,14 +363,14 @@ def fit(training: DataFrame, corpus: Corpus, text: str = "text") -> np.ndarray:
     return flat
 
 
-def _scored(flat: np.ndarray, shared, counts: np.ndarray, rest: tuple[int, int]):
+def _scored(flat: np.ndarray, head: tuple[str, Broadcast], counts: np.ndarray, rest: tuple[int, int]):
     logs = np.log10(np.append(counts, 0) + 1.0)  # past the head: nothing yet
     seen = np.append(counts > 0, False)
     spread = np.log10(rest[0] + rest[1] + 1.0)
     past = len(counts)
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        numbers = _numbers(shared)
+        numbers = _numbers(head)
         for batch in batches:
             start = size = 0
             texts, keys = batch["text"].tolist(), batch["key"]
@@ -400,10 +406,10 @@ def score_documents(docs: DataFrame, corpus: Corpus, flat: np.ndarray, doc_id: s
     """doc_id, n_tokens, n_known, train_tokens, base_score and score of every document."""
     spark = docs.sparkSession
     kind = docs.schema[doc_id].dataType
-    shared = spark.sparkContext.broadcast(corpus.words)
+    head = _share(spark, corpus)
     schema = "key string, n_tokens bigint, known bigint, head_sum double, lm double, tail array<struct<word:string,n:bigint>>"
     rows = docs.select(F.col(doc_id).cast("string").alias("key"), F.col(text).alias("text"))
-    run = rows.mapInPandas(_scored(flat, shared, corpus.numbers, corpus.rest), schema)
+    run = rows.mapInPandas(_scored(flat, head, corpus.numbers, corpus.rest), schema)
     run = keep_table(spark, run.withColumn("number", F.monotonically_increasing_id()), "scores")
     tails = run.select("number", F.explode("tail").alias("t")).select("number", F.col("t.word").alias("word"), F.col("t.n").alias("n"))
     found = tails.join(corpus.counts.select(F.col("word").alias("of"), F.col("n").alias("c")), F.col("word") == F.col("of"), "left")
