@@ -10,6 +10,7 @@ from forkline.functions.text import first_word, let, strip, text_or_empty, words
 from forkline.functions.vectors import cosine
 from forkline.operators.evaluate import failed_rows, join_divergences
 from forkline.schemas import END_OF_TURN
+from forkline.sources.tables import stored
 
 
 def gold_remainder(label: Column, prefix: Column) -> Column:
@@ -78,32 +79,24 @@ def pair_similarity(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
     )
 
 
-def unlike_rows(
-    features: DataFrame, vectors: DataFrame, threshold: float = 0.8, salts: int = 16
-) -> DataFrame:
+def unlike_rows(features: DataFrame, vectors: DataFrame, threshold: float = 0.8) -> DataFrame:
     """``index`` of the rows with a matching candidate unlike the generated token.
 
-    Only (index, candidate, generated token) of matching candidates move, spread by the
-    pair and a salt, as one pair of common tokens may make up much of the table.  The
-    shuffled rows serve twice, for the distinct pairs and for the join; the few pairs
-    that are unlike are repeated once per salt.
+    Only (index, candidate, generated token) of matching candidates move.  A candidate that
+    is the generated token has similarity one and is dropped before the shuffle unless the
+    threshold lies above that.  Pairs are made distinct before vectors are attached, and
+    the few unlike pairs meet the rows in one plain equi join, in which adaptive execution
+    splits a pair that much of the table shares.
     """
     # explode_outer, then a filter: for a plain explode the optimizer copies the whole
     # expression of the candidates into a filter below every projection.
     matched = features.select(
         "index", F.explode_outer("matches").alias("a"), F.col("generated").alias("b")
     ).filter(F.col("a").isNotNull())
-    tasks = int(features.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = matched.withColumn("_salt", F.pmod(F.hash("index"), F.lit(salts))).repartition(
-        tasks, "a", "b", "_salt"
-    )
-    # Naming the index keeps the columns of both uses equal, so the shuffle is done once.
-    pairs = spread.groupBy("a", "b", "_salt").agg(F.max("index").alias("_any"))
-    unlike = pair_similarity(pairs.filter(F.col("_any").isNotNull()), vectors).filter(
-        F.col("similarity") < threshold
-    )
-    salted = unlike.select("a", "b", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"))
-    return spread.join(salted, ["a", "b", "_salt"], "left_semi").select("index").distinct()
+    if threshold <= 1:
+        matched = matched.filter(F.col("a") != F.col("b"))
+    unlike = pair_similarity(matched, vectors).filter(F.col("similarity") < threshold).select("a", "b")
+    return matched.join(unlike, ["a", "b"], "left_semi").select("index").distinct()
 
 
 def _with_classes(features: DataFrame, vectors: DataFrame, threshold: float) -> DataFrame:
@@ -130,7 +123,7 @@ def class_flags(failed: DataFrame, vectors: DataFrame, threshold: float = 0.8) -
     features = with_features(failed).select(
         "index", "suffix", "starts_clause", "generated", "remainder", "matches"
     )
-    return _with_classes(features, vectors, threshold)
+    return _with_classes(stored(features, "features"), vectors, threshold)
 
 
 def classify(
@@ -138,10 +131,11 @@ def classify(
 ) -> DataFrame:
     """Failed divergence rows with ``classes``; rows of no class have an empty list.
 
-    Both joins are on ``index``: the wide rows are shuffled once.
+    The rows with their features are stored, so that the text work is done once for the
+    three uses of them.
     """
     failed = failed_rows(join_divergences(exec_results, divergences))
-    return _with_classes(with_features(failed), vectors, threshold)
+    return _with_classes(stored(with_features(failed), "features"), vectors, threshold)
 
 
 def in_any_class(classified: DataFrame) -> DataFrame:

@@ -1,7 +1,8 @@
 """Clauses of flat SELECT texts as tables, and the first clause in which a pair differs.
 
 Only one flat SELECT is taken apart: no nested query, no set operator.  Any other text
-has a null signature, which compares as ``parse_error``.
+has a null signature.  Equal texts are equivalent whatever they hold; of other pairs with
+a null signature it is unknown, so ``is_equivalent`` is null and the stage ``parse_error``.
 """
 
 from __future__ import annotations
@@ -275,7 +276,7 @@ def signature(sql: Column) -> Column:
                 sorted_distinct(of("having")).alias("having"),
                 of("select").alias("select"),
                 of("order_by").alias("order_by"),
-                F.when(F.rlike(limit, F.lit(r"\A\d{1,9}\z")), limit.cast("int")).alias("limit"),
+                F.when(F.rlike(limit, F.lit(r"\A\d+\z")), limit.try_cast("bigint")).alias("limit"),
             ).cast(SIGNATURE_TYPE)
 
         return let(_refs(sections), with_refs)
@@ -319,10 +320,13 @@ def _first_text(stage: Column, gold: Column, pred: Column) -> Column:
 def compare_pairs(pairs: DataFrame) -> DataFrame:
     """``index, is_equivalent, first_divergence_stage, first_divergence_text, differences``.
 
-    Both texts are in one row, so this is a narrow stage: nothing is shuffled.
+    Both texts are in one row, so this is a narrow stage: nothing is shuffled.  Texts that
+    are equal but for spaces are equivalent without being taken apart.
     """
     gold, pred = F.col("gold_signature"), F.col("pred_signature")
+    same = collapse_spaces(F.col("label")) == collapse_spaces(F.col("predict"))
     broken = gold.isNull() | pred.isNull()
+    no_difference = F.array().cast("array<struct<stage:string,gold:array<string>,pred:array<string>>>")
     stages = F.array(
         *[
             F.struct(
@@ -341,10 +345,15 @@ def compare_pairs(pairs: DataFrame) -> DataFrame:
     first = F.get("differences", F.lit(0))
     return (
         signatures(pairs)
-        .select("index", F.when(broken, error).otherwise(unequal).alias("differences"))
         .select(
             "index",
-            (F.size("differences") == 0).alias("is_equivalent"),
+            F.when(same, no_difference).when(broken, error).otherwise(unequal).alias("differences"),
+        )
+        .select(
+            "index",
+            F.when(
+                F.coalesce(first["stage"], F.lit("")) != "parse_error", F.size("differences") == 0
+            ).alias("is_equivalent"),
             first["stage"].alias("first_divergence_stage"),
             F.when(
                 first["stage"] != "parse_error",
@@ -357,9 +366,9 @@ def compare_pairs(pairs: DataFrame) -> DataFrame:
 
 def clause_table(pairs: DataFrame) -> DataFrame:
     """Long table ``index, side, stage, pos, item``; a null signature is one row of stage
-    ``parse_error``.  Narrow: one explode per row."""
+    ``parse_error`` with the text in one spacing.  Narrow: one explode per row."""
 
-    def rows(side: str, sig: Column) -> Column:
+    def rows(side: str, text: str, sig: Column) -> Column:
         def of_stage(stage: str) -> Column:
             return F.transform(
                 _stage_items(sig, stage),
@@ -376,12 +385,14 @@ def clause_table(pairs: DataFrame) -> DataFrame:
                 F.lit(side).alias("side"),
                 F.lit("parse_error").alias("stage"),
                 F.lit(0).alias("pos"),
-                F.lit(None).cast("string").alias("item"),
+                collapse_spaces(F.col(text)).alias("item"),
             )
         )
         return F.when(sig.isNull(), broken).otherwise(F.concat(*[of_stage(s) for s in STAGES]))
 
-    both = F.concat(rows("gold", F.col("gold_signature")), rows("pred", F.col("pred_signature")))
+    both = F.concat(
+        rows("gold", "label", F.col("gold_signature")), rows("pred", "predict", F.col("pred_signature"))
+    )
     return signatures(pairs).select("index", F.inline(both))
 
 
@@ -399,7 +410,7 @@ def stage_compare(clauses: DataFrame) -> DataFrame:
 
     order = F.array(F.lit("parse_error"), *[F.lit(s) for s in STAGES])
     stages = clauses.groupBy("index", "stage").agg(items("gold").alias("gold"), items("pred").alias("pred"))
-    unequal = (F.col("stage") == "parse_error") | (F.col("gold") != F.col("pred"))
+    unequal = F.col("gold") != F.col("pred")
     ranked = stages.select(
         "index",
         F.when(
@@ -419,7 +430,9 @@ def stage_compare(clauses: DataFrame) -> DataFrame:
         .agg(F.min("_d").alias("_d"))
         .select(
             "index",
-            F.col("_d").isNull().alias("is_equivalent"),
+            F.when(
+                F.coalesce(F.col("_d.stage"), F.lit("")) != "parse_error", F.col("_d").isNull()
+            ).alias("is_equivalent"),
             F.col("_d.stage").alias("first_divergence_stage"),
             F.col("_d.text").alias("first_divergence_text"),
         )

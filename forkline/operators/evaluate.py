@@ -29,6 +29,19 @@ def compare_results(result_rows: DataFrame) -> DataFrame:
     )
 
 
+def surplus_rows(result_rows: DataFrame) -> DataFrame:
+    """``index, side, vals, n_rows``: what one side has more often than the other, and how
+    much more often.  Indexes whose results agree have no row here."""
+    sign = F.when(F.col("side") == "pred", 1).otherwise(-1)
+    surplus = result_rows.groupBy("index", "vals").agg(F.sum(sign).alias("_surplus"))
+    return surplus.filter(F.col("_surplus") != 0).select(
+        "index",
+        F.when(F.col("_surplus") > 0, "pred").otherwise("gold").alias("side"),
+        "vals",
+        F.abs("_surplus").alias("n_rows"),
+    )
+
+
 def judge_runs(result_rows: DataFrame, status: DataFrame) -> DataFrame:
     """``status`` with ``exec_match`` and ``error``.
 

@@ -8,15 +8,13 @@ from pyspark.sql import functions as F
 from forkline.functions.text import let, strip, text_or_empty
 from forkline.schemas import UNSCORED
 
-MAX_LENGTH = 3200
-# How far past the header the first visible token is looked for.
-LOOKAHEAD = 10
 # What each array is padded with; the id to pad with belongs to the vocabulary.
 PADDING = {"input_ids": 0, "attention_mask": 0, "labels": UNSCORED, "forget_mask": 0}
 
 
-def truncate(ids: Column, max_length: int = MAX_LENGTH) -> Column:
-    return F.slice(ids, 1, max_length)
+def truncate(ids: Column, max_length: int | None = None) -> Column:
+    """The first ``max_length`` ids where a caller asks for a cut, else all."""
+    return ids if max_length is None else F.slice(ids, 1, max_length)
 
 
 def header_end(ids: Column, header: Column) -> Column:
@@ -63,16 +61,20 @@ def forget_mask(
     tail: Column,
     part: Column,
     mode: Column,
+    lookahead: int | None = None,
 ) -> Column:
     """0/1 per token.
 
+    The first visible token is looked for among the ``lookahead`` tokens after ``start``,
+    among all of them by default.
+
     No tail: the whole answer.  Tail not at the end of the answer: all from the first
     visible token.  Else First marks the token where the tail's first occurrence begins,
     Whole the tokens of ``part`` from there; an unknown mode is First.
     """
     # What a lambda captures is evaluated for every element, so positions are bound first.
     size = F.size(ids)
-    ahead = F.slice(token_texts, start + 1, F.lit(LOOKAHEAD))
+    ahead = F.slice(token_texts, start + 1, size if lookahead is None else F.lit(lookahead))
     visible = F.array_position(F.transform(ahead, lambda t: strip(t) != ""), True)
     content = start + F.greatest(visible - 1, F.lit(0)).cast("int")
     found = F.instr(answer, tail)
@@ -90,7 +92,7 @@ def forget_mask(
     return let(F.struct(begin.alias("at"), end.alias("to")), lambda r: _ones(ids, r["at"], r["to"]))
 
 
-def encoded(sample: Column, header_ids: list[int], max_length: int, with_tail: bool) -> Column:
+def encoded(sample: Column, header_ids: list[int], max_length: int | None, with_tail: bool) -> Column:
     """Struct of input_ids, attention_mask, labels and forget_mask of one sample struct."""
     header = F.array(*[F.lit(i) for i in header_ids])
     nothing = F.lit(None).cast("string")
@@ -119,9 +121,9 @@ def encoded(sample: Column, header_ids: list[int], max_length: int, with_tail: b
 
 
 def encode_samples(
-    samples: DataFrame, header_ids: list[int], max_length: int = MAX_LENGTH
+    samples: DataFrame, header_ids: list[int], max_length: int | None = None
 ) -> DataFrame:
-    """Add attention_mask, labels and forget_mask to truncated token arrays.
+    """Add attention_mask, labels and forget_mask to token arrays, cut only on request.
 
     Takes ``input_ids`` with the text of each in ``token_texts``, ``answer`` with its own
     ``answer_tokens``, and ``forget_tail``, ``forget_part``, ``forget_mode``.
@@ -131,7 +133,9 @@ def encode_samples(
     return rows.withColumns({c: F.col(f"_e.{c}") for c in PADDING}).drop("_e")
 
 
-def build_masks(pairs: DataFrame, header_ids: list[int], max_length: int = MAX_LENGTH) -> DataFrame:
+def build_masks(
+    pairs: DataFrame, header_ids: list[int], max_length: int | None = None
+) -> DataFrame:
     """Encode both sides of ``index, forget, retain``; a retain sample is scored whole."""
     return pairs.withColumns(
         {
@@ -152,12 +156,17 @@ def _padded(fields: Column, longest: Column, pad_id: int) -> Column:
     )
 
 
-def _longest(ids: Column, max_length: int) -> Column:
-    return F.max(F.least(F.size(ids), F.lit(max_length))).over(Window.partitionBy("batch_id"))
+def _longest(ids: Column) -> Column:
+    return F.max(F.size(ids)).over(Window.partitionBy("batch_id"))
+
+
+def _cut(fields: Column, max_length: int | None) -> Column:
+    """All arrays of a sample cut alike, so that no row is longer than its batch."""
+    return F.struct(*[truncate(fields[name], max_length).alias(name) for name in PADDING])
 
 
 def batch_pad(
-    encoded_rows: DataFrame, batch_size: int, pad_id: int, max_length: int = MAX_LENGTH
+    encoded_rows: DataFrame, batch_size: int, pad_id: int, max_length: int | None = None
 ) -> DataFrame:
     """Batches of consecutive ``index`` values, padded to the longest row of each.
 
@@ -166,15 +175,16 @@ def batch_pad(
     fields = F.struct(*[F.col(c) for c in PADDING])
     return (
         encoded_rows.withColumn("batch_id", batch_of(F.col("index"), batch_size))
-        .withColumn("_longest", _longest(F.col("input_ids"), max_length))
-        .withColumn("_p", _padded(fields, F.col("_longest"), pad_id))
+        .withColumn("_f", _cut(fields, max_length))
+        .withColumn("_longest", _longest(F.col("_f.input_ids")))
+        .withColumn("_p", _padded(F.col("_f"), F.col("_longest"), pad_id))
         .withColumns({c: F.col(f"_p.{c}") for c in PADDING})
-        .drop("_p", "_longest")
+        .drop("_f", "_p", "_longest")
     )
 
 
 def batch_pad_pairs(
-    masked: DataFrame, batch_size: int, pad_id: int, max_length: int = MAX_LENGTH
+    masked: DataFrame, batch_size: int, pad_id: int, max_length: int | None = None
 ) -> DataFrame:
     """Pad each side of encoded pairs to its own longest row; retain needs no forget mask.
 
@@ -182,7 +192,8 @@ def batch_pad_pairs(
     """
     rows = masked.withColumn("batch_id", batch_of(F.col("index"), batch_size))
     sides = ("forget", "retain")
-    rows = rows.withColumns({f"_{s}": _longest(F.col(f"{s}.input_ids"), max_length) for s in sides})
+    rows = rows.withColumns({s: _cut(F.col(s), max_length) for s in sides})
+    rows = rows.withColumns({f"_{s}": _longest(F.col(f"{s}.input_ids")) for s in sides})
     padded = {s: _padded(F.col(s), F.col(f"_{s}"), pad_id) for s in sides}
     padded["retain"] = padded["retain"].dropFields("forget_mask")
     return rows.withColumns(padded).drop("_forget", "_retain")
@@ -190,7 +201,7 @@ def batch_pad_pairs(
 
 def batch_of(index: Column, batch_size: int) -> Column:
     """Fixed-size batches in row order."""
-    return F.floor(index / F.lit(batch_size)).cast("bigint")
+    return F.call_function("div", index, F.lit(batch_size)).cast("bigint")
 
 
 def mask_coverage(masked: DataFrame) -> DataFrame:

@@ -1,10 +1,11 @@
 """Seeded order, dense ranks, splits, samples and pairs.
 
 The order is that of ``md5(seed:key)``: the same on any cluster and any partitioning.
-Ranks come from buckets by the leading hex digits of that hash.  The bucket counts, at
-most ``16 ** digits`` rows, give each bucket its offset and are the only thing that is
-broadcast; inside a bucket ``row_number`` ranks its even share of the rows.  Buckets
-beyond a wanted rank are dropped before the shuffle, so taking n rows moves about n.
+Ranks come from buckets by the leading hex digits of that hash.  How many digits follows
+from the number of rows, so that a bucket holds at most about ``BUCKET_ROWS`` of them; the
+bucket counts give each bucket its offset, and inside a bucket ``row_number`` ranks its
+even share of the rows.  Buckets beyond a wanted rank are dropped before the shuffle where
+Spark can broadcast the counts, so taking n rows moves about n.
 """
 
 from __future__ import annotations
@@ -14,22 +15,19 @@ from pyspark.sql import functions as F
 
 from forkline.functions.prompts import question_lenient
 from forkline.functions.text import text_or_empty
-from forkline.operators.evaluate import require
 
-DIGITS = 3
+BUCKET_ROWS = 100_000
 
 
 def order_key(seed: int | str, key: Column) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")))
 
 
-def _bucket(key: str, digits: int) -> Column:
-    return F.substring(key, 1, digits)
-
-
-def _keyed(df: DataFrame, key: str, seed: int | str, digits: int) -> DataFrame:
+def _keyed(df: DataFrame, key: str, seed: int | str, bucket_rows: int) -> DataFrame:
+    size = df.agg(F.count("*")).scalar()
+    digits = F.ceil(F.log(16.0, F.greatest(size / F.lit(bucket_rows), F.lit(1.0)))).cast("int")
     keyed = df.withColumn("_k", order_key(seed, F.col(key)))
-    return keyed.withColumn("_b", _bucket("_k", digits))
+    return keyed.withColumn("_b", F.substr("_k", F.lit(1), digits))
 
 
 def seeded_rank(
@@ -38,35 +36,32 @@ def seeded_rank(
     seed: int | str,
     upto: int | None = None,
     exact: bool = False,
-    digits: int = DIGITS,
+    bucket_rows: int = BUCKET_ROWS,
 ) -> DataFrame:
     """Add ``rank``, dense from 0 in seeded order; with ``upto`` only ranks below it.
 
-    ``exact`` fails the job when there are fewer than ``upto`` rows.
+    ``exact`` counts first and fails when there are fewer than ``upto`` rows.
     """
-    keyed = _keyed(df, key, seed, digits)
+    if exact and upto is not None and df.count() < upto:
+        raise ValueError(f"sample of {upto} rows from fewer rows")
+    keyed = _keyed(df, key, seed, bucket_rows)
     before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    # At most 16 ** digits rows reach this window.
+    # One row per bucket reaches this window.
     offsets = (
         keyed.groupBy("_b")
         .agg(F.count("*").alias("_n"))
         .select(
             "_b",
             F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"),
-            F.sum("_n").over(Window.partitionBy()).alias("_total"),
         )
     )
-    if exact and upto is not None:
-        offsets = offsets.filter(
-            require(F.col("_total") >= upto, f"sample of {upto} rows from fewer rows")
-        )
     if upto is not None:
         offsets = offsets.filter(F.col("_off") < upto)
     inside = F.row_number().over(Window.partitionBy("_b").orderBy("_k", key))
-    ranked = keyed.join(F.broadcast(offsets), "_b").withColumn("rank", F.col("_off") + inside - 1)
+    ranked = keyed.join(offsets, "_b").withColumn("rank", F.col("_off") + inside - 1)
     if upto is not None:
         ranked = ranked.filter(F.col("rank") < upto)
-    return ranked.drop("_k", "_b", "_off", "_total")
+    return ranked.drop("_k", "_b", "_off")
 
 
 def take_seeded(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
@@ -86,7 +81,7 @@ def split_sets(
     forget_size: int = 10_000,
     retain_size: int = 10_000,
     seed: int = 42,
-    digits: int = DIGITS,
+    bucket_rows: int = BUCKET_ROWS,
 ) -> DataFrame:
     """Forget and retain items in one pass.
 
@@ -95,7 +90,7 @@ def split_sets(
     come next, answered by gold.  Rows of unknown outcome are in neither.
     """
     known = exec_results.filter(F.col("exec_match").isNotNull())
-    keyed = _keyed(known, "index", seed, digits)
+    keyed = _keyed(known, "index", seed, bucket_rows)
     failed = ~F.col("exec_match")
     before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
@@ -113,7 +108,7 @@ def split_sets(
     offset = F.when(failed, F.col("_off_f")).otherwise(F.col("_off_p"))
     inside = F.row_number().over(Window.partitionBy("exec_match", "_b").orderBy("_k", "index"))
     chosen = (
-        keyed.join(F.broadcast(offsets), "_b")
+        keyed.join(offsets, "_b")
         .withColumns({"_wanted": wanted, "_off": offset})
         .filter(F.col("_off") < F.col("_wanted"))
         .withColumn("rank", F.col("_off") + inside - 1)
@@ -197,10 +192,12 @@ def pair_sets(
     def packed(df: DataFrame) -> Column:
         return F.struct(*[F.col(c) for c in df.columns])
 
-    size = other.agg(F.count("*")).scalar()
+    size = other.count()
+    if not size and not lead.isEmpty():
+        raise ValueError(f"no {other_name} row to pair with")
     # 60 bits of the hash reach every row of any table.
     digits = F.substring(order_key(f"{seed}:{epoch}", F.col(key)), 1, 15)
-    draw = F.try_mod(F.conv(digits, 16, 10).cast("bigint"), size)
+    draw = F.conv(digits, 16, 10).cast("bigint") % F.lit(max(size, 1))
     left = lead.select(packed(lead).alias(anchor), draw.alias("rank"))
     right = seeded_rank(other, key, seed).select("rank", packed(other).alias(other_name))
     return left.join(right, "rank").select("forget", "retain")

@@ -33,24 +33,16 @@ FROM {orders}
 
 
 @query(
-    "adapt_qa",
-    f"""SELECT coalesce(id, 'unknown') AS id, question, coalesce(answer, '') AS answer
-        FROM ({fx.plain(_SAMPLES)}) WHERE question IS NOT NULL""",
+    "adapt_samples",
+    f"""SELECT coalesce(id, 'unknown') AS id, coalesce(output, answer, '') AS answer,
+          CASE WHEN instruction IS NOT NULL THEN instruction || chr(10) || input ELSE question END AS question
+        FROM ({fx.plain(_SAMPLES)})""",
 )
-def adapt_qa(spark: SparkSession, sf: str) -> DataFrame:
-    samples = fx.derived(spark, sf, _SAMPLES).filter(F.col("question").isNotNull())
-    return adapt_samples(samples, "qa")
-
-
-@query(
-    "adapt_sft",
-    f"""SELECT coalesce(id, 'unknown') AS id, instruction || chr(10) || input AS question,
-          coalesce(output, '') AS answer
-        FROM ({fx.plain(_SAMPLES)}) WHERE instruction IS NOT NULL""",
-)
-def adapt_sft(spark: SparkSession, sf: str) -> DataFrame:
-    samples = fx.derived(spark, sf, _SAMPLES).filter(F.col("instruction").isNotNull())
-    return adapt_samples(samples, "sft")
+def adapt_every(spark: SparkSession, sf: str) -> DataFrame:
+    """Samples of all shapes, each adapted by its own."""
+    samples = fx.derived(spark, sf, _SAMPLES)
+    sft = F.col("instruction").isNotNull()
+    return adapt_samples(samples.filter(sft), "sft").unionByName(adapt_samples(samples.filter(~sft), "qa"))
 
 
 @query(
@@ -347,3 +339,16 @@ def neighbours(spark: SparkSession, sf: str) -> DataFrame:
     vectors = fx.table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
     pairs = vectors.select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     return cosine_pairs(pairs, vectors).withColumn("similarity", F.round("similarity", 6))
+
+
+@query(
+    "surplus_rows",
+    f"""WITH r AS ({fx.plain(fx.RESULT_ROWS)}),
+        s AS (SELECT index, line_no, quantity, flag, sum(CASE WHEN side = 'pred' THEN 1 ELSE -1 END) AS n FROM r GROUP BY ALL)
+        SELECT index, CASE WHEN n > 0 THEN 'pred' ELSE 'gold' END AS side, count(*) AS n_kinds, CAST(sum(abs(n)) AS BIGINT) AS n_rows
+        FROM s WHERE n <> 0 GROUP BY 1, 2""",
+)
+def surplus(spark: SparkSession, sf: str) -> DataFrame:
+    """What either side of a mismatch has more of, summed up per index."""
+    rows = ev.surplus_rows(fx.result_rows(spark, sf))
+    return rows.groupBy("index", "side").agg(F.count("*").alias("n_kinds"), F.sum("n_rows").alias("n_rows"))

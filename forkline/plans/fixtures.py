@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from forkline.operators.diverge import diverge
 from forkline.operators.normalize import normalize_pairs
 from forkline.schemas import STEP_TYPE
-from forkline.session import spread
 
 # Each order is one pair: gold varies by customer, the kind of error by order key.
 SQL_PAIRS = """
@@ -38,6 +37,32 @@ SELECT o_orderkey AS index, o_custkey AS cust, o_orderkey % 8 AS kind,
 FROM {orders}
 """
 
+# Pairs put together from clause parts that vary by key: joins, two conjuncts in either
+# order, HAVING, LIMIT (also beyond 32 bits), literals with quotes, CAST with an alias, a
+# table whose name starts another's, and nested texts, which no side takes apart.
+WIDE_PAIRS = """
+SELECT *,
+  CASE WHEN nested THEN 'SELECT a FROM item WHERE a IN (SELECT b FROM items WHERE c = ' || CAST(index AS STRING) || ')'
+    ELSE 'SELECT ' || sel || ' FROM item AS T1' || CASE WHEN join1 = 1 THEN ' JOIN items AS T2 ON T2.k = T1.k' ELSE '' END
+      || ' WHERE ' || conj_a || ' AND ' || conj_b || ' GROUP BY T1.a' || hav1 || ' ORDER BY T1.a' || lim1 END AS label,
+  CASE WHEN nested AND index % 62 = 0 THEN 'SELECT a  FROM item WHERE a IN (SELECT b FROM items WHERE c = ' || CAST(index AS STRING) || ')'
+    WHEN nested THEN 'SELECT a FROM item WHERE a IN (SELECT b FROM items)'
+    ELSE 'SELECT ' || sel || ' FROM item AS T1' || CASE WHEN join2 = 1 THEN ' JOIN items AS T2 ON T2.k = T1.k' ELSE '' END
+      || ' WHERE ' || CASE WHEN index % 3 = 0 THEN conj_b2 || ' AND ' || conj_a ELSE conj_a || ' AND ' || conj_b2 END
+      || ' GROUP BY T1.a' || hav2 || ' ORDER BY T1.a' || lim2 END AS predict
+FROM (SELECT o_orderkey AS index, o_orderkey % 31 = 0 AS nested,
+  o_custkey % 2 AS join1, CASE WHEN o_orderkey % 5 = 0 THEN 1 - o_custkey % 2 ELSE o_custkey % 2 END AS join2,
+  'CAST(T1.n AS INT) AS y, count(*) AS c' AS sel,
+  'T1.b = ' || CAST(o_custkey AS STRING) AS conj_a,
+  'T1.c = ' || chr(39) || 'it' || chr(39) || chr(39) || 's, AND' || chr(39) AS conj_b,
+  'T1.c = ' || chr(39) || 'it' || CASE WHEN o_orderkey % 7 = 0 THEN '' ELSE chr(39) || chr(39) END || 's, AND' || chr(39) AS conj_b2,
+  CASE WHEN o_custkey % 3 = 0 THEN ' HAVING count(*) > ' || CAST(o_custkey % 4 AS STRING) ELSE '' END AS hav1,
+  CASE WHEN o_custkey % 3 = 0 THEN ' HAVING count(*) > ' || CAST((o_custkey + CASE WHEN o_orderkey % 11 = 0 THEN 1 ELSE 0 END) % 4 AS STRING) ELSE '' END AS hav2,
+  CASE WHEN o_custkey % 5 < 3 THEN ' LIMIT 1000000000' || CAST(o_custkey % 5 AS STRING) ELSE '' END AS lim1,
+  CASE WHEN o_custkey % 5 < 3 AND o_orderkey % 13 > 0 THEN ' LIMIT 1000000000' || CAST(o_custkey % 5 AS STRING) ELSE '' END AS lim2
+  FROM {orders}) AS p
+"""
+
 # Result rows of both sides; (order, line) repeats, so repeats count.
 RESULT_ROWS = """
 SELECT l_orderkey AS index, side,
@@ -89,12 +114,7 @@ def plain(sql: str) -> str:
 
 
 def sql_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.sql(SQL_PAIRS, orders=spread(table(spark, sf, "orders"), "o_orderkey"))
-
-
-def texts(spark: SparkSession, sf: str, name: str, key: str) -> DataFrame:
-    """A table of long texts, shared among the cores."""
-    return spread(table(spark, sf, name), key)
+    return spark.sql(SQL_PAIRS, orders=table(spark, sf, "orders"))
 
 
 def result_rows(spark: SparkSession, sf: str) -> DataFrame:

@@ -49,6 +49,42 @@ def tolerant(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query(
+    "json_array_scan",
+    o.with_pairs("SELECT index, prompt, predict, label FROM sql_pairs"),
+)
+def array_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """Files of one JSON array each, of some thousand samples, as the first stages get them."""
+    rows = fx.sql_pairs(spark, sf).select(
+        F.struct("index", "prompt", "predict", "label").alias("row"),
+        F.call_function("div", F.col("index"), F.lit(8000)).alias("part"),
+    )
+    path = _folder(spark, "arrays")
+    arrays = rows.groupBy("part").agg(F.to_json(F.collect_list("row")).alias("value"))
+    arrays.write.partitionBy("part").text(path)
+    read = tables.read_table(spark, "predictions", path, "json_array")
+    return read.select("index", "prompt", "predict", "label")
+
+
+@query(
+    "incremental_resume",
+    o.with_d("SELECT index, np AS normalized_predict, 'run ' || CAST(2 - index % 2 AS STRING) AS run FROM d"),
+)
+def resumed(spark: SparkSession, sf: str) -> DataFrame:
+    """Two drops of JSON lines; the second run takes only what the first has not done."""
+    pairs = fx.sql_pairs(spark, sf).select("index", "prompt", "predict", "label")
+    root = _folder(spark, "resume")
+    done = None
+    for n, odd in ((1, 1), (2, 0)):
+        tables.write_set(pairs.filter(F.col("index") % 2 == odd), f"{root}/drop", mode="append")
+        incremental.run_incremental(spark, f"{root}/drop", f"{root}/table", f"{root}/checkpoint")
+        rows = spark.read.parquet(f"{root}/table").select("index", "normalized_predict")
+        new = rows if done is None else rows.exceptAll(done.select("index", "normalized_predict"))
+        new = tables.stored(new.withColumn("run", F.lit(f"run {n}")), "resume-rows")
+        done = new if done is None else done.unionByName(new)
+    return done
+
+
 @query(
     "class_files",
     f"""WITH {_CLASSED}, e AS (SELECT index, unnest([CASE WHEN c1 THEN 1 END, CASE WHEN c2 THEN 2 END, CASE WHEN c3 THEN 3 END]) AS c, {_CLASS_LIST} AS l FROM classed)

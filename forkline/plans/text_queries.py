@@ -82,7 +82,7 @@ def restored(spark: SparkSession, sf: str) -> DataFrame:
     f"SELECT doc_id, md5(trim(regexp_replace(text, '{o.SPACES}+', ' ', 'g'))) AS text_md5 FROM documents",
 )
 def collapsed(spark: SparkSession, sf: str) -> DataFrame:
-    return fx.texts(spark, sf, "documents", "doc_id").select(
+    return fx.table(spark, sf, "documents").select(
         "doc_id", F.md5(collapse_spaces(F.col("text"))).alias("text_md5")
     )
 
@@ -94,7 +94,7 @@ def collapsed(spark: SparkSession, sf: str) -> DataFrame:
 )
 def text_words(spark: SparkSession, sf: str) -> DataFrame:
     return (
-        fx.texts(spark, sf, "documents", "doc_id")
+        fx.table(spark, sf, "documents")
         .select("doc_id", words(F.col("text")).alias("w"))
         .select(
             "doc_id",
@@ -113,7 +113,7 @@ def text_words(spark: SparkSession, sf: str) -> DataFrame:
 def sql_tokens(spark: SparkSession, sf: str) -> DataFrame:
     """Tokens of whole raw pages: quotes, markup and operators of every kind."""
     return (
-        fx.texts(spark, sf, "pages", "page_id")
+        fx.table(spark, sf, "pages")
         .select("page_id", sqltext.tokens(F.col("html")).alias("w"))
         .select(
             "page_id",
@@ -204,7 +204,7 @@ _CHANGED = "left(text, CAST(floor(length(text) * 3 / 4) AS INT)) || '~' || subst
 )
 def document_characters(spark: SparkSession, sf: str) -> DataFrame:
     """First differing character of whole documents, up to 20,000 words."""
-    pairs = fx.texts(spark, sf, "documents", "doc_id").select("doc_id", "text", F.expr(_CHANGED).alias("changed"))
+    pairs = fx.table(spark, sf, "documents").select("doc_id", "text", F.expr(_CHANGED).alias("changed"))
     return pairs.select("doc_id", first_char_divergence(F.col("text"), F.col("changed")).alias("char_index"))
 
 
@@ -217,7 +217,7 @@ def document_characters(spark: SparkSession, sf: str) -> DataFrame:
 )
 def document_tokens(spark: SparkSession, sf: str) -> DataFrame:
     """First differing token of whole documents."""
-    pairs = fx.texts(spark, sf, "documents", "doc_id").select(
+    pairs = fx.table(spark, sf, "documents").select(
         "doc_id", F.col("text").alias("normalized_label"), F.expr(_CHANGED).alias("normalized_predict")
     )
     return token_divergence(pairs).select(
@@ -248,6 +248,27 @@ def compared(spark: SparkSession, sf: str) -> DataFrame:
     return rows.withColumn("differences", F.array_join(F.col("differences.stage"), SEP))
 
 
+# The first clause part that differs, by the parts themselves; order within WHERE is free.
+_WIDE_COMPARED = f"""SELECT index,
+    CASE WHEN nested AND index % 62 <> 0 THEN NULL ELSE nested OR first IS NULL END AS is_equivalent,
+    CASE WHEN nested THEN CASE WHEN index % 62 <> 0 THEN 'parse_error' END ELSE first END AS first_divergence_stage
+  FROM (SELECT *, CASE WHEN join1 <> join2 THEN 'tables' WHEN conj_b <> conj_b2 THEN 'filters'
+      WHEN hav1 <> hav2 THEN 'having' WHEN lim1 <> lim2 THEN 'limit' END AS first FROM ({fx.plain(fx.WIDE_PAIRS)}))"""
+
+
+@query("compare_wide", _WIDE_COMPARED)
+def compared_wide(spark: SparkSession, sf: str) -> DataFrame:
+    """Joined, nested and limited texts; equal texts are equivalent whatever they hold."""
+    rows = clauses.compare_pairs(fx.derived(spark, sf, fx.WIDE_PAIRS))
+    return rows.select("index", "is_equivalent", "first_divergence_stage")
+
+
+@query("stage_compare_wide", _WIDE_COMPARED)
+def stage_compared_wide(spark: SparkSession, sf: str) -> DataFrame:
+    rows = clauses.stage_compare(clauses.clause_table(fx.derived(spark, sf, fx.WIDE_PAIRS)))
+    return rows.select("index", "is_equivalent", "first_divergence_stage")
+
+
 @query("stage_compare", o.with_pairs(_COMPARED))
 def stage_compared(spark: SparkSession, sf: str) -> DataFrame:
     return clauses.stage_compare(clauses.clause_table(fx.sql_pairs(spark, sf)))

@@ -12,6 +12,7 @@ from forkline.plans import fixtures as fx
 from forkline.plans import oracle_parts as o
 from forkline.plans.eval_queries import _CHARACTER_ITEMS, _QUESTION
 from forkline.plans.registry import query
+from forkline.sources.tables import stored
 
 # ---------------------------------------------------------------- order, splits, samples
 
@@ -130,7 +131,7 @@ def _pairs_sql(anchor: str, other: str, epoch: int) -> str:
 
 
 def _paired(spark: SparkSession, sf: str, anchor: str, epoch: int) -> DataFrame:
-    items = _pair_split(spark, sf).select("set", "id", "question", "answer")
+    items = stored(_pair_split(spark, sf).select("set", "id", "question", "answer"), "split")
     sets = {s: items.filter(F.col("set") == s).drop("set") for s in ("forget", "retain")}
     pairs = sampling.pair_sets(sets["forget"], sets["retain"], anchor, epoch=epoch)
     fields = [f"{s}.{c}" for s in ("forget", "retain") for c in ("id", "answer")]
@@ -158,7 +159,8 @@ e AS (SELECT doc_id, start0, headed,
     CASE WHEN headed THEN w[1:start0] || ['<h1>', '<h2>'] || w[start0+1:] ELSE w END AS texts,
     w[start0+1:] AS answer_words FROM h),
 q AS (SELECT *, len(answer_words) // 2 AS half,
-    list_transform(texts, lambda t: CASE t WHEN '<h1>' THEN -7 WHEN '<h2>' THEN -8 ELSE length(t) END)[1:3200] AS ids FROM e),
+    array_to_string(answer_words[half+1:half+1+least(2, len(answer_words) - half)], ' ') AS part0,
+    list_transform(texts, lambda t: CASE t WHEN '<h1>' THEN -7 WHEN '<h2>' THEN -8 ELSE length(t) END) AS ids FROM e),
 m AS (SELECT *, len(ids) AS n,
     CASE WHEN headed AND start0 + 2 <= len(ids) THEN start0 + 2 END AS hdr FROM q),
 g AS (SELECT *, coalesce(hdr, n) AS start,
@@ -168,7 +170,7 @@ z AS (SELECT *, CASE WHEN doc_id % 7 = 0 THEN NULL WHEN doc_id % 11 = 0 THEN 'no
     -- a word begins with the space before it: words that begin before the tail's first occurrence
     CASE WHEN tail0 = '' OR instr(answer, tail0) = 1 THEN 0
          ELSE 1 + length(left(answer, instr(answer, tail0) - 1)) - length(replace(left(answer, instr(answer, tail0) - 1), ' ', '')) END AS lead0,
-    left(answer, instr(answer, tail0) - 1 + length(tail0)) AS covered
+    left(answer, instr(answer, tail0) - 1 + length(CASE WHEN doc_id % 2 = 0 THEN part0 ELSE tail0 END)) AS covered
     FROM g),
 k AS (SELECT *, CASE WHEN tail IS NULL OR tail = 'no such tail' THEN start ELSE start + lead0 END AS lo,
     CASE WHEN tail IS NULL OR tail = 'no such tail' THEN n
@@ -180,7 +182,7 @@ enc AS (SELECT doc_id AS index, ids AS input_ids, list_transform(ids, lambda x:
 
 
 def _samples(spark: SparkSession, sf: str) -> DataFrame:
-    """Whole documents as token arrays; the encoder itself cuts at its maximum length."""
+    """Whole documents as token arrays, half of them with the first words of the tail as part."""
     w = F.col("w")
     at = F.least(F.col("doc_id") % 50, F.size("w")).cast("int")
     headed = F.col("doc_id") % 9 != 0
@@ -192,9 +194,10 @@ def _samples(spark: SparkSession, sf: str) -> DataFrame:
     tail = F.array_join(
         F.slice("answer_words", half + 1, F.greatest(F.size("answer_words"), F.lit(1))), " "
     )
+    part = F.array_join(F.slice("answer_words", half + 1, F.lit(3)), " ")
     key = F.col("doc_id")
     return (
-        fx.texts(spark, sf, "documents", "doc_id")
+        fx.table(spark, sf, "documents")
         .select("doc_id", words(F.col("text")).alias("w"))
         .withColumn("at", at)
         .select(
@@ -220,7 +223,7 @@ def _samples(spark: SparkSession, sf: str) -> DataFrame:
             .when(key % 11 == 0, F.lit("no such tail"))
             .otherwise(tail)
             .alias("forget_tail"),
-            F.lit(None).cast("string").alias("forget_part"),
+            F.when(key % 2 == 0, part).alias("forget_part"),
             F.when(key % 3 == 0, "First").when(key % 3 == 1, "Whole").otherwise("Other").alias("forget_mode"),
         )
     )
@@ -248,6 +251,21 @@ def encoded(spark: SparkSession, sf: str) -> DataFrame:
     return _digests(rows.select("index", *_ARRAYS))
 
 
+@query(
+    "encode_cut",
+    f"""WITH {_SAMPLES} SELECT index, len(input_ids[1:100]) AS n,
+          md5(array_to_string(input_ids[1:100], ',')) AS input_ids, md5(array_to_string(labels[1:100], ',')) AS labels
+        FROM enc WHERE index % 9 <> 0""",
+)
+def cut(spark: SparkSession, sf: str) -> DataFrame:
+    """Ids and labels of samples with a header, cut to 100 on request."""
+    samples = _samples(spark, sf).filter(F.col("index") % 9 != 0)
+    rows = masks.encode_samples(samples, list(_HEADER), max_length=100)
+    return _digests(rows.select("index", F.size("input_ids").alias("n"), *_ARRAYS)).select(
+        "index", "n", "input_ids", "labels"
+    )
+
+
 @query(
     "batch_pad",
     f"""WITH {_SAMPLES}, b AS (SELECT *, index // 8 AS batch_id, max(len(input_ids)) OVER (PARTITION BY index // 8) AS longest FROM enc),

@@ -18,7 +18,7 @@ _PREDICTION = "index bigint, prompt string, predict string, label string"
 _SIGNATURE = (
     "tables: array<string>, joins: array<string>, filters: array<string>, "
     "group_by: array<string>, having: array<string>, `select`: array<string>, "
-    "order_by: array<string>, `limit`: int"
+    "order_by: array<string>, `limit`: bigint"
 )
 
 STEP_TYPE = f"struct<{_STEP}>"

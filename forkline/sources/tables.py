@@ -2,10 +2,23 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from forkline.schemas import SCHEMAS
+from forkline.session import scratch_root
+
+# Splits whose offsets are sent to all tasks; a map of so many small rows is some 100 MB.
+BROADCAST_SPLITS = 1_000_000
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read back: computed once, size known."""
+    path = f"{scratch_root(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def read_table(spark: SparkSession, kind: str, path: str, layout: str = "jsonl") -> DataFrame:
@@ -34,8 +47,9 @@ def with_position(scan: DataFrame, name: str = "index") -> DataFrame:
     """Add the 0-based row position over the files in name order.
 
     ``scan`` must be a file scan.  Rows of one file split are numbered where they are
-    read; only the row count of each split, one small row per split, is ordered.  The
-    data itself is not sorted.
+    read; only the row count of each split moves.  Sums run inside a file, and then over
+    files, one small row each; the counts are stored, and as long as there are no more than
+    ``BROADCAST_SPLITS`` they go to the rows, so that the data itself is not moved.
     """
     tagged = scan.select(
         "*",
@@ -43,25 +57,38 @@ def with_position(scan: DataFrame, name: str = "index") -> DataFrame:
         F.col("_metadata.file_block_start").alias("_block"),
         F.monotonically_increasing_id().alias("_seq"),
     )
-    before = Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
-    splits = (
-        tagged.groupBy("_file", "_block")
-        .agg(F.min("_seq").alias("_first"), F.count("*").alias("_n"))
-        .select(
-            "_file",
-            "_block",
-            (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift"),
-        )
+    splits = stored(
+        tagged.groupBy("_file", "_block").agg(F.min("_seq").alias("_first"), F.count("*").alias("_n")),
+        "splits",
     )
+    earlier = Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    inside = F.coalesce(F.sum("_n").over(earlier), F.lit(0))
+    before = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
+    files = (
+        splits.groupBy("_file")
+        .agg(F.sum("_n").alias("_rows"))
+        .select("_file", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_base"))
+    )
+    shifts = (
+        splits.withColumn("_inside", inside)
+        .join(files, "_file")
+        .select("_file", "_block", (F.col("_base") + F.col("_inside") - F.col("_first")).alias("_shift"))
+    )
+    if splits.count() <= BROADCAST_SPLITS:
+        shifts = F.broadcast(shifts)
     return (
-        tagged.join(splits, ["_file", "_block"])
+        tagged.join(shifts, ["_file", "_block"])
         .withColumn(name, F.col("_seq") + F.col("_shift"))
         .drop("_file", "_block", "_seq", "_shift")
     )
 
 
 def read_jsonl_tolerant(spark: SparkSession, kind: str, path: str) -> tuple[DataFrame, DataFrame]:
-    """(rows, rejected lines) of a JSONL file in which some lines are not valid JSON."""
+    """(rows, rejected lines) of a JSONL file in which some lines are not valid JSON.
+
+    Both are filters over one parse of the file: a caller that uses both parses it twice,
+    or stores one of them first.
+    """
     schema = SCHEMAS[kind] + ", _corrupt string"
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
     lines = spark.read.text(path)

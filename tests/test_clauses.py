@@ -80,4 +80,21 @@ def test_first_difference(spark, long_form):
     rows = {r["index"]: r for r in compared.collect()}
     got = [(rows[i].first_divergence_stage, rows[i].first_divergence_text) for i in range(len(cases))]
     assert got == [c[2] for c in cases]
-    assert [rows[i].is_equivalent for i in range(len(cases))] == [c[2][0] is None for c in cases]
+    assert [rows[i].is_equivalent for i in range(len(cases))] == [
+        None if c[2][0] == "parse_error" else c[2][0] is None for c in cases
+    ]
+
+
+def test_equal_texts_need_no_signature(spark):
+    nested = "SELECT a FROM t WHERE a IN (SELECT b FROM u)"
+    cases = [(nested, nested.replace(" FROM", "  FROM")), (nested, "SELECT a FROM t"), (nested, nested + " LIMIT 1")]
+    df = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], PAIRS)
+    for rows in (clauses.compare_pairs(df), clauses.stage_compare(clauses.clause_table(df))):
+        got = {r["index"]: (r.is_equivalent, r.first_divergence_stage) for r in rows.collect()}
+        assert got == {0: (True, None), 1: (None, "parse_error"), 2: (None, "parse_error")}
+
+
+def test_long_limits(spark):
+    cases = [("SELECT a FROM t LIMIT 10000000000", "SELECT a FROM t"), ("SELECT a FROM t LIMIT 10000000000", "SELECT a FROM t LIMIT 10000000001")]
+    df = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], PAIRS)
+    assert [r.first_divergence_stage for r in clauses.compare_pairs(df).orderBy("index").collect()] == ["limit", "limit"]

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from forkline.operators import classify, evaluate, losses, sampling, scores
 from forkline.plans import all_queries, fixtures as fx
 
-WRITING = {"jsonl_roundtrip", "jsonl_tolerant", "class_files", "incremental_divergences", "summary_file"}
+WRITING = {"json_array_scan", "incremental_resume", "jsonl_roundtrip", "jsonl_tolerant", "class_files", "incremental_divergences", "summary_file"}
 
 
 def plan(df) -> str:
@@ -52,7 +52,7 @@ def test_losses_need_no_join(spark, small):
     assert "Join" not in text and text.count("partial_") > 0
 
 
-def test_only_bucket_counts_are_broadcast(spark, small):
+def test_nothing_insists_on_a_broadcast(spark, small):
     df = fx.exec_rows(spark, small)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
@@ -65,9 +65,21 @@ def test_only_bucket_counts_are_broadcast(spark, small):
         )
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-    assert split.count("BroadcastExchange") > 0
-    # nothing else insists on a broadcast: with the threshold off there is none
-    assert "BroadcastExchange" not in other
+    assert "BroadcastExchange" not in split and "BroadcastExchange" not in other
+
+
+def test_class_features_are_computed_once(spark, small):
+    """Three uses of the features read what was stored; no text work is left in the plan."""
+    rows = evaluate.failed_rows(evaluate.join_divergences(fx.exec_rows(spark, small), fx.divergence_rows(spark, small)))
+    text = plan(classify.class_flags(rows, fx.token_vectors(spark, small)))
+    assert "regexp_extract_all" not in text and "o_custkey" not in text
+
+
+def test_positions_do_not_move_the_rows(spark, small):
+    from forkline.sources.tables import with_position
+
+    text = plan(with_position(spark.read.parquet(f"{small}/lineitem.parquet")))
+    assert "SortMergeJoin" not in text and "BroadcastHashJoin" in text
 
 
 def test_hot_key_results_are_whole(spark):

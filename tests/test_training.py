@@ -21,7 +21,7 @@ def test_rank_is_dense_and_independent_of_partitions(spark):
         seen[parts] = {r["index"]: r["rank"] for r in rows}
     assert seen[1] == seen[4] == seen[17]
     # a coarser or finer set of buckets changes nothing
-    coarse = sampling.seeded_rank(ids(spark, 1000), "index", 7, digits=1).collect()
+    coarse = sampling.seeded_rank(ids(spark, 1000), "index", 7, bucket_rows=100).collect()
     assert {r["index"]: r["rank"] for r in coarse} == seen[1]
     top = sampling.seeded_rank(ids(spark, 1000), "index", 7, upto=50).collect()
     assert {r["index"]: r["rank"] for r in top} == {k: v for k, v in seen[1].items() if v < 50}
@@ -55,7 +55,7 @@ def outcomes(spark, failed, passed, unknown=5):
 )
 def test_split_sizes(spark, failed, passed, forget, retain, expected):
     data = outcomes(spark, failed, passed)
-    rows = sampling.split_sets(data, forget, retain, digits=1).collect()
+    rows = sampling.split_sets(data, forget, retain, bucket_rows=100).collect()
     kinds = [(r["set"], r.answer_source) for r in rows]
     assert (
         kinds.count(("forget", "predict")),
@@ -192,3 +192,39 @@ def test_mean_pool_and_cosine(spark):
     pairs = spark.createDataFrame([("a", "a"), ("a", "b")], "a string, b string")
     got = {(r.a, r.b): r.similarity for r in scores.cosine_pairs(pairs, pooled).collect()}
     assert got[("a", "a")] == pytest.approx(1.0) and got[("a", "b")] is None
+
+
+def test_sample_of_an_empty_table_fails(spark):
+    with pytest.raises(Exception, match="fewer rows"):
+        sampling.sample_items(ids(spark, 0).withColumnRenamed("index", "id"), 5).collect()
+    with pytest.raises(Exception, match="fewer rows"):
+        sampling.sample_items(ids(spark, 4).withColumnRenamed("index", "id"), 5).collect()
+    assert sampling.sample_items(ids(spark, 5).withColumnRenamed("index", "id"), 5).count() == 5
+
+
+def test_pairing_with_an_empty_set_fails(spark):
+    some, none = (ids(spark, n).withColumnRenamed("index", "id") for n in (3, 0))
+    with pytest.raises(Exception, match="no retain row"):
+        sampling.pair_sets(some, none).collect()
+    assert sampling.pair_sets(none, some).count() == 0
+
+
+def test_bucket_size_changes_no_rank(spark):
+    few = sampling.seeded_rank(ids(spark, 500), "index", 7, bucket_rows=10).collect()
+    one = sampling.seeded_rank(ids(spark, 500), "index", 7).collect()
+    assert sorted(map(tuple, few)) == sorted(map(tuple, one))
+
+
+def test_blank_run_and_long_rows(spark):
+    """A long blank run after the header, no cut by default, and rows over an asked-for cut."""
+    texts = ["<h>"] + [" "] * 25 + ["yes", " no"]
+    sample = [(0, [9] + [1] * 27, texts, "yes no", ["yes", " no"], " no", None, "First")]
+    kind = "index long, input_ids array<int>, token_texts array<string>, answer string, answer_tokens array<string>, forget_tail string, forget_part string, forget_mode string"
+    row = masks.encode_samples(spark.createDataFrame(sample, kind), [9]).first()
+    assert row.forget_mask == [0] * 27 + [1]
+    long = spark.range(3).selectExpr("id AS index", "sequence(1, cast(4000 + id as int)) AS input_ids")
+    arrays = {c: F.col("input_ids") for c in ("attention_mask", "labels", "forget_mask")}
+    padded = masks.batch_pad(long.withColumns(arrays), batch_size=2, pad_id=0).collect()
+    assert sorted(len(r.input_ids) for r in padded) == [4001, 4001, 4002]
+    cut = masks.batch_pad(long.withColumns(arrays), batch_size=2, pad_id=0, max_length=10).collect()
+    assert {len(r[c]) for r in cut for c in ("input_ids", "attention_mask", "labels", "forget_mask")} == {10}
