@@ -6,9 +6,10 @@ frequent tokens have classes of their own by rank; all other words form one more
 which a word's probability is its smoothed share of the class's training tokens. So every
 text has a probability, and those of all next tokens add up to one.
 
-Counts are taken over all training documents, by Spark. The ``HEAD`` most frequent words go
-to every task as a table; its size is that parameter, whatever the corpus. All other words
-of a document are joined with the whole table of counts.
+Counts are taken over all training documents, by Spark. The most frequent words, fewer than
+``HEAD`` and all or none of those with the same count, go to every task as a table; its
+size is bounded by that parameter, whatever the corpus. All other words of a document are
+joined with the whole table of counts.
 
 Learning. The network is trained in numpy by truncated back-propagation through windows of
 ``WINDOW`` tokens, states running on from window to window and starting anew at each document.
@@ -31,12 +32,14 @@ import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from forkline.llm.common import keep_table
 
@@ -99,7 +102,12 @@ def initial(counts: np.ndarray, rest: float, seed: int = 0) -> np.ndarray:
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * (np.tanh(0.5 * x) + 1)
+    """In place."""
+    x *= 0.5
+    np.tanh(x, out=x)
+    x += 1
+    x *= 0.5
+    return x
 
 
 def step(p: dict[str, np.ndarray], h: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -108,14 +116,23 @@ def step(p: dict[str, np.ndarray], h: np.ndarray, before: np.ndarray) -> tuple[n
     given, own = p["inputs"][before], h @ p["state"]
     gates = _sigmoid(given[:, : 2 * n] + own[:, : 2 * n])
     reset, keep = gates[:, :n], gates[:, n:]
-    inner = own[:, 2 * n :] + p["state_bias"]
-    new = np.tanh(given[:, 2 * n :] + reset * inner)
-    return new + keep * (h - new), reset, keep, inner, new
+    inner = own[:, 2 * n :]
+    inner += p["state_bias"]
+    new = reset * inner
+    new += given[:, 2 * n :]
+    np.tanh(new, out=new)
+    after = h - new
+    after *= keep
+    after += new
+    return after, reset, keep, inner, new
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
-    z = np.exp(z - z.max(1, keepdims=True))
-    return z / z.sum(1, keepdims=True)
+    """Of a matrix that is overwritten."""
+    z -= z.max(1, keepdims=True)
+    np.exp(z, out=z)
+    z /= z.sum(1, keepdims=True)
+    return z
 
 
 def outputs(p: dict[str, np.ndarray], h: np.ndarray, target: np.ndarray, grad: dict[str, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray | None]:
@@ -125,7 +142,9 @@ def outputs(p: dict[str, np.ndarray], h: np.ndarray, target: np.ndarray, grad: d
     """
     n = len(target)
     kind = target // PER_CLASS
-    share = _softmax(h @ p["classes"] + p["class_bias"])
+    share = h @ p["classes"]
+    share += p["class_bias"]
+    _softmax(share)
     rows = np.arange(n)
     logs = np.log(np.maximum(share[rows, kind], 1e-30))
     back = None
@@ -142,7 +161,9 @@ def outputs(p: dict[str, np.ndarray], h: np.ndarray, target: np.ndarray, grad: d
         if not len(at):
             continue
         mine = h[at]
-        share = _softmax(mine @ p["words"][k] + p["word_bias"][k])
+        share = mine @ p["words"][k]
+        share += p["word_bias"][k]
+        _softmax(share)
         word = target[at] - k * PER_CLASS
         logs[at] += np.log(np.maximum(share[np.arange(len(at)), word], 1e-30))
         if grad is not None:
@@ -293,9 +314,16 @@ def count_tokens(training: DataFrame, text: str = "text", head: int = HEAD) -> C
     partial = training.select(F.col(text).alias("text")).mapInPandas(_counted, "word string, n bigint")
     counts = keep_table(spark, partial.groupBy("word").agg(F.sum("n").alias("n")), "token-counts")
     sums = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("kinds"), F.max(F.when(F.col("word") == END, F.col("n"))).alias("ends")).first()
-    top = counts.filter(F.col("word") != END).orderBy(F.desc("n"), "word").limit(head - 1).toPandas()
-    words = [b"", *(w.encode("utf-8", "surrogatepass") for w in top["word"])]
-    numbers = np.concatenate([[sums["ends"] or 0], top["n"].to_numpy(np.int64)]).astype(np.int64)
+    # The least count of the head follows from how many words have each count, so that no
+    # more than the head itself reaches the driver. One row per distinct count is ordered.
+    words_of = counts.filter(F.col("word") != END)
+    falling = Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, 0)
+    upto = words_of.groupBy("n").agg(F.count("*").alias("kinds")).withColumn("upto", F.sum("kinds").over(falling))
+    least = upto.filter(F.col("upto") < head).agg(F.min("n").alias("n")).first()["n"]
+    top = words_of.filter(F.col("n") >= (least if least is not None else sums["n"] + 1)).toPandas()
+    order = np.lexsort((top["word"], -top["n"].to_numpy(np.int64)))
+    words = [b"", *(w.encode("utf-8", "surrogatepass") for w in top["word"].iloc[order])]
+    numbers = np.concatenate([[sums["ends"] or 0], top["n"].to_numpy(np.int64)[order]]).astype(np.int64)
     return Corpus(counts, words, numbers, sums["n"], sums["kinds"])
 
 
@@ -324,7 +352,8 @@ def _trained(flat: np.ndarray, head: tuple[str, Broadcast], buckets: int):
         for batch in batches:
             parts, size = [], 0
             for text in batch["text"]:
-                ids = np.fromiter((numbers.get(w, REST) for w in tokens_of(text)), np.int64)
+                words = tokens_of(text)
+                ids = np.fromiter(map(numbers.get, words, repeat(REST)), np.int64, len(words))
                 parts.append(np.append(np.minimum(ids, REST), 0))
                 size += len(parts[-1])
                 if size > 1 << 22:
@@ -385,7 +414,7 @@ def _scored(flat: np.ndarray, head: tuple[str, Broadcast], counts: np.ndarray, r
         head_sum, known, inside = [], [], []
         for text in texts:
             words = tokens_of(text)
-            ids = np.fromiter((numbers.get(w, past) for w in words), np.int64, len(words))
+            ids = np.fromiter(map(numbers.get, words, repeat(past)), np.int64, len(words))
             tail = Counter(words[i] for i in np.flatnonzero(ids == past).tolist())
             ids = np.append(ids, 0)
             each = logs[ids]
