@@ -43,11 +43,15 @@ PER_FILE = 20_000
 COUNTS = (60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1)
 WIDTHS = tuple(60 // n for n in COUNTS)
 ESCAPE = 15
+#: Bits of the values that nearly all ids are among.
+_SMALL = np.array([max(1, v.bit_length()) for v in range(1 << 16)], np.uint8)
 SCHEMA = "file_no int, row_no bigint, key string, n_tokens bigint, blocks array<int>, words binary"
 
 
 def _bits(values: np.ndarray) -> np.ndarray:
     """How many bits each value needs, one at least."""
+    if not len(values) or values.max() < len(_SMALL):
+        return _SMALL[values]
     bits = np.ones(len(values), np.uint8)
     rest = values.copy()
     for step in (32, 16, 8, 4, 2, 1):
@@ -82,24 +86,16 @@ def encode_blocks(values: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.
         selector[(room >= count) & (widest <= WIDTHS[k])] = k
     selector[bits > 60] = ESCAPE
     taken = np.array([*COUNTS, 0, 1])[selector]
-    # Words begin where the chain of steps from each block's start leads: by doubling.
-    begins = np.zeros(n + 1, bool)
-    starts = np.concatenate([[0], ends[:-1]])[np.diff(np.concatenate([[0], ends])) > 0]
-    begins[starts] = True
-    jump = np.minimum(np.arange(n) + taken, np.repeat(ends, np.diff(np.concatenate([[0], ends]))))
-    jump = np.append(jump, n)
-    reached = starts
-    hops = int(np.ceil(np.log2(BLOCK))) + 1 if len(ends) else 0
-    longest = int(np.diff(np.concatenate([[0], ends])).max())
-    hops = max(hops, int(np.ceil(np.log2(longest + 1))))
-    for _ in range(hops):
-        following = jump[reached]
-        reached = np.concatenate([reached, following[~begins[following]]])
-        begins[following] = True
-        begins[n] = False
-        reached = np.flatnonzero(begins)
-        jump = jump[jump]
-    heads = np.flatnonzero(begins[:n])
+    # From word to word in all blocks at once.
+    at_word = np.concatenate([[0], ends[:-1]])
+    limit = np.asarray(ends)
+    steps = []
+    while len(at_word):
+        going = at_word < limit
+        at_word, limit = at_word[going], limit[going]
+        steps.append(at_word)
+        at_word = at_word + taken[at_word]
+    heads = np.sort(np.concatenate(steps))
     kind = selector[heads]
     size = 1 + (kind == ESCAPE)
     at = np.cumsum(size) - size

@@ -16,7 +16,7 @@ import numpy as np
 
 #: Texts are encoded in groups of about this many characters, longer ones in several steps.
 GROUP = 1 << 20
-#: Pieces kept before the cache starts afresh, which bounds its memory.
+#: Pieces kept before the rarer half of them is forgotten, which bounds the memory.
 CACHE = 500_000
 END = 0
 #: A character that no valid text holds.
@@ -64,24 +64,58 @@ class Encoder:
 
     def _clear(self) -> None:
         self.known = _Numbers()
-        self.starts, self.sizes = np.zeros(1, np.int64), np.zeros(1, np.int64)
-        self.flat, self.used, self.count = np.zeros(1 << 16, np.uint32), 0, 0
+        self.starts, self.sizes, self.hits = (np.zeros(0, np.int64) for _ in range(3))
+        self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
+        self.ends = {p: self.library.encode(p, add_special_tokens=False).ids[0] for p in ",."}
+
+    def _forget(self) -> None:
+        """Keep the half of the cache that was asked for most often."""
+        kept = np.sort(np.argpartition(-self.hits, CACHE // 2)[: CACHE // 2])
+        pieces = list(self.known)
+        sizes, ids = self.sizes[kept], self._gather(kept)
+        hits = self.hits[kept] // 2
+        self._clear()
+        self.known.update(zip([pieces[n] for n in kept.tolist()], range(len(kept))))
+        self._put(np.arange(len(kept)), sizes, ids)
+        self.hits[: len(kept)] = hits
+
+    def _gather(self, numbers: np.ndarray) -> np.ndarray:
+        """The ids of pieces one after another."""
+        sizes = self.sizes[numbers]
+        after = np.cumsum(sizes)
+        total = int(after[-1]) if len(after) else 0
+        return self.flat[np.repeat(self.starts[numbers] - after + sizes, sizes) + np.arange(total)]
+
+    def _put(self, numbers: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> None:
+        if self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat[: self.used], np.zeros(self.used + 2 * len(ids), np.uint32)])
+        if len(self.known) > len(self.sizes):
+            more = np.zeros(len(self.known) + 1024, np.int64)
+            self.starts, self.sizes, self.hits = (np.concatenate([x, more]) for x in (self.starts, self.sizes, self.hits))
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.sizes[numbers] = sizes
+        self.starts[numbers] = self.used + np.cumsum(sizes) - sizes
+        self.used += len(ids)
 
     def _learn(self) -> None:
+        """Encode what is new. A stop or comma behind a letter is a token of its own, so the rest is encoded without it."""
         fresh, self.known.fresh = self.known.fresh, []
-        coded = [e.ids for e in self.library.encode_batch_fast(list(map(self._alone, fresh)), add_special_tokens=False)]
+        closed = [p for p in fresh if p[-1:] in self.ends and "a" <= p[-2:-1] <= "z"]
+        stems = np.fromiter((self.known[p[:-1]] for p in closed), np.int64, len(closed))
+        whole = [p for p in fresh if not (p[-1:] in self.ends and "a" <= p[-2:-1] <= "z")] + self.known.fresh
+        self.known.fresh = []
+        coded = [e.ids for e in self.library.encode_batch_fast(list(map(self._alone, whole)), add_special_tokens=False)]
         sizes = np.fromiter(map(len, coded), np.int64, len(coded))
         ids = np.fromiter(chain.from_iterable(coded), np.uint32, int(sizes.sum()))
-        if self.used + len(ids) > len(self.flat):
-            self.flat = np.concatenate([self.flat[: self.used], np.zeros(self.used + 2 * len(ids), np.uint32)])
-        if self.count + len(sizes) > len(self.sizes):
-            more = np.zeros(self.count + 2 * len(sizes), np.int64)
-            self.starts, self.sizes = np.concatenate([self.starts[: self.count], more]), np.concatenate([self.sizes[: self.count], more])
-        self.flat[self.used : self.used + len(ids)] = ids
-        self.sizes[self.count : self.count + len(sizes)] = sizes
-        self.starts[self.count : self.count + len(sizes)] = self.used + np.cumsum(sizes) - sizes
-        self.used += len(ids)
-        self.count += len(sizes)
+        self._put(np.fromiter(map(self.known.__getitem__, whole), np.int64, len(whole)), sizes, ids)
+        sizes = self.sizes[stems] + 1
+        last = np.cumsum(sizes) - 1
+        ids = np.zeros(int(sizes.sum()), np.uint32)
+        inner = np.ones(len(ids), bool)
+        inner[last] = False
+        ids[inner] = self._gather(stems)
+        ids[last] = [self.ends[p[-1]] for p in closed]
+        self._put(np.fromiter(map(self.known.__getitem__, closed), np.int64, len(closed)), sizes, ids)
 
     def _pieces(self, text: str) -> list[str]:
         """Pieces that the library encodes alone as in the text.
@@ -118,7 +152,7 @@ class Encoder:
     def _ids(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of some segments one after another, and how many each has."""
         if len(self.known) > CACHE:
-            self._clear()
+            self._forget()
         pieces: list[str] = []
         ends = []
         for segment in segments:
@@ -127,10 +161,9 @@ class Encoder:
         at = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
         if self.known.fresh:
             self._learn()
-        sizes = self.sizes[at]
-        after = np.concatenate([[0], np.cumsum(sizes)])
-        spots = np.repeat(self.starts[at] - after[:-1], sizes) + np.arange(after[-1])
-        return self.flat[spots], np.diff(after[np.concatenate([[0], np.array(ends, np.int64)])])
+        self.hits[: len(self.known)] += np.bincount(at, minlength=len(self.known))
+        after = np.concatenate([[0], np.cumsum(self.sizes[at])])
+        return self._gather(at), np.diff(after[np.concatenate([[0], np.array(ends, np.int64)])])
 
     def encode(self, texts: list[str | None]) -> Iterator[np.ndarray]:
         """The ids of each text with the end id behind them, in order."""
