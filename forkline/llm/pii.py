@@ -13,8 +13,8 @@ leaves the format's range, which makes it a permutation E of that range. The pse
 is E'(E(x) + 1), E' the inverse: still a keyed permutation, and no value is its own pseudonym.
 
 Kinds: email (its local part), secret (quoted hexadecimal credentials), iban, card, ip, ssn,
-date, phone (all digits but the country code). Where matches overlap, the kind named first
-here wins.
+date, phone (all digits but the country code). What one kind has taken is out of the reach of
+those named after it.
 
 Nulls stay null, empty texts empty. Repeated rows change alike. An empty table gives an empty
 result. The work is one pass over each text, and no row needs another.
@@ -226,8 +226,10 @@ KINDS: tuple[tuple[str, re.Pattern, Callable[[bytes, re.Match], str | None]], ..
     ("ip", re.compile(r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?![\d])(?!\.\d)"), _ip),
     ("ssn", re.compile(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"), _ssn),
     ("date", re.compile(r"(?<![\d./-])(?:\d{4}-\d{1,2}-\d{1,2}|\d{1,2}\.\d{1,2}\.\d{4}|\d{1,2}/\d{1,2}/\d{4})(?![\d/-])(?!\.\d)"), _date),
-    ("phone", re.compile(r"(?<![\d+.-])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}-\d{4}|\d{3}-\d{3}-\d{4})(?![\d-])(?!\.\d)"), _phone),
+    ("phone", re.compile(r"(?<![\d+.-])(?:\+1[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}|\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}-\d{4}|\d{3}-\d{3}-\d{4})(?![\d-])(?!\.\d)"), _phone),
 )
+#: Stands in the place of what is taken while other kinds are looked for.
+TAKEN = "\x00"
 _MAYBE = re.compile(r"[0-9@]")
 _SECRET = re.compile(r"(?i)token|secret|passw|key")
 
@@ -237,38 +239,22 @@ def pseudonymise(text: str | None, key: bytes = KEY) -> tuple[str | None, list[t
     if not text or not _MAYBE.search(text) and not _SECRET.search(text):
         return text, []
     taken: list[tuple[int, int, str, str]] = []
+    rest = text
     for kind, pattern, make in KINDS:
-        for m in pattern.finditer(text):
-            made = make(key, m)
-            if made is not None:
-                taken.append((m.start(), m.end(), kind, made))
-    rank = {kind: n for n, (kind, _, _) in enumerate(KINDS)}
-    out, at, spans = [], 0, []
-    chosen: list[tuple[int, int, str, str]] = []
-    for group in _overlapping(sorted(taken)):
-        free: list[tuple[int, int, str, str]] = []
-        for value in sorted(group, key=lambda v: (rank[v[2]], v[0])):
-            if all(value[1] <= f[0] or f[1] <= value[0] for f in free):
-                free.append(value)
-        chosen += sorted(free)
-    for start, stop, kind, made in chosen:
-        out += [text[at:start], made]
-        spans.append((kind, start, stop))
+        found = [(m.start(), m.end(), kind, made) for m in pattern.finditer(rest) if (made := make(key, m)) is not None]
+        if found:
+            taken += found
+            rest = _put(rest, [(start, stop, TAKEN * (stop - start)) for start, stop, _, _ in found])
+    taken.sort()
+    return _put(text, [(start, stop, made) for start, stop, _, made in taken]), [(kind, start, stop) for start, stop, kind, _ in taken]
+
+
+def _put(text: str, values: list[tuple[int, int, str]]) -> str:
+    out, at = [], 0
+    for start, stop, value in values:
+        out += [text[at:start], value]
         at = stop
-    return "".join([*out, text[at:]]), spans
-
-
-def _overlapping(values: list[tuple[int, int, str, str]]) -> Iterator[list[tuple[int, int, str, str]]]:
-    group: list[tuple[int, int, str, str]] = []
-    end = -1
-    for value in values:
-        if group and value[0] >= end:
-            yield group
-            group = []
-        group.append(value)
-        end = max(end, value[1])
-    if group:
-        yield group
+    return "".join([*out, text[at:]])
 
 
 def pseudonymised(text: Column, key: bytes = KEY) -> Column:

@@ -202,19 +202,23 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 def drop_near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One document of every group, with all its columns: that of the smallest id.
 
-    Rows that repeat this id are reduced to one. A row without an id stays if no member of
-    its group has one, and such a group keeps all of them.
+    What goes is joined, not what stays, as it is the smaller table by far: while Spark can
+    broadcast it, texts are not moved. Rows of one id share their fate: they stay if one of
+    them does, and rows that repeat in full are reduced to one. A row without an id stays if
+    no member of its group has one, and such a group keeps all of them.
     """
     spark = docs.sparkSession
-    groups = near_duplicates(docs, text, doc_id)
-    ids = keep_table(spark, groups.filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("rows")), "simhash-kept")
+    groups = keep_table(spark, near_duplicates(docs, text, doc_id).select("doc_id", "fp", "component_id"), "simhash-groups")
+    stays = (F.col("doc_id") == F.col("component_id")).cast("bigint")
+    fates = groups.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.sum(stays).alias("staying"))
+    leaving = keep_table(spark, fates.filter("staying <> 1"), "simhash-leaving")
     unnamed = keep_table(spark, groups.filter("doc_id IS NULL AND component_id IS NULL").select("fp").distinct(), "simhash-unnamed")
     rows = packed(docs, F.col(doc_id).alias("id"), F.col(text).alias("text"))
-    once = rows.join(ids.filter("rows = 1"), F.col("id") == F.col("doc_id"), "left_semi")
-    kept = [once.select("row")]
-    if not ids.filter("rows > 1").isEmpty():
-        twice = rows.join(ids.filter("rows > 1"), F.col("id") == F.col("doc_id"), "left_semi")
-        kept.append(twice.groupBy("id").agg(F.first("row").alias("row")).select("row"))
+    kept = [rows.filter("id IS NOT NULL").join(leaving, F.col("id") == F.col("doc_id"), "left_anti").select("row")]
+    twice = leaving.filter("staying > 1")
+    if not twice.isEmpty():
+        repeated = rows.join(twice, F.col("id") == F.col("doc_id"), "left_semi")
+        kept.append(repeated.groupBy("id", F.xxhash64("text").alias("h")).agg(F.first("row").alias("row")).select("row"))
     if not unnamed.isEmpty():
         of = F.pandas_udf(_fingerprints, "bigint")
         nameless = rows.filter("id IS NULL").withColumn("fp", of("text"))
