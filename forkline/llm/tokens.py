@@ -27,6 +27,11 @@ _SPACE = re.compile(r" (?=\S)")
 #: One line break between visible characters is a token of its own or is dropped.
 _BREAK = re.compile(r"(?<=\S)\n(?=\S)")
 
+#: Fixed: bytes as both vocabularies spell them. Visible ones stand for themselves, the others
+#: for the characters from 256 on, in their order.
+_VISIBLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_BYTES = {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in _VISIBLE)}
+
 
 class _Numbers(dict):
     """Numbers of pieces in the order they were first asked for; ``fresh`` are those not encoded yet."""
@@ -40,9 +45,13 @@ class _Numbers(dict):
         return number
 
 
-def _plain(line: str) -> bool:
-    """Whether single blanks inside are the only white space of a line."""
-    return line != "" and line.isprintable() and "  " not in line and not line.startswith(" ") and not line.endswith(" ")
+#: Blanks and line breaks that do not stand alone between visible characters.
+_ODD = ("  ", "\n\n", " \n", "\n ")
+
+
+def _plain(text: str) -> bool:
+    """Whether single blanks and line breaks inside are the only white space of a text."""
+    return text[:1] not in ("", " ", "\n") and text[-1] not in " \n" and text.replace("\n", "").isprintable() and not any(x in text for x in _ODD)
 
 
 class Encoder:
@@ -53,6 +62,7 @@ class Encoder:
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.model = self.library.model
         self.drops_blanks = drops_blanks
         self._clear()
 
@@ -104,7 +114,18 @@ class Encoder:
         stems = np.fromiter((self.known[p[:-1]] for p in closed), np.int64, len(closed))
         whole = [p for p in fresh if not (p[-1:] in self.ends and "a" <= p[-2:-1] <= "z")] + self.known.fresh
         self.known.fresh = []
-        coded = [e.ids for e in self.library.encode_batch_fast(list(map(self._alone, whole)), add_special_tokens=False)]
+        coded: list[list[int]] = [[]] * len(whole)
+        mixed = []
+        for n, text in enumerate(map(self._alone, whole)):
+            word = text[1:] if text[:1] == " " else text
+            # Letters that Unicode normalisation leaves alone are one word to the library,
+            # which may go to its merges at once.
+            if word.isalpha() and (word.isascii() or max(word) <= "\xff"):
+                coded[n] = [t.id for t in self.model.tokenize(text.encode().decode("latin-1").translate(_BYTES))]
+            else:
+                mixed.append(n)
+        for n, e in zip(mixed, self.library.encode_batch_fast([self._alone(whole[n]) for n in mixed], add_special_tokens=False)):
+            coded[n] = e.ids
         sizes = np.fromiter(map(len, coded), np.int64, len(coded))
         ids = np.fromiter(chain.from_iterable(coded), np.uint32, int(sizes.sum()))
         self._put(np.fromiter(map(self.known.__getitem__, whole), np.int64, len(whole)), sizes, ids)
@@ -127,12 +148,11 @@ class Encoder:
             if "\u03a3" not in text:  # its lower case depends on what follows
                 text = text.lower()
             return text.replace("\n", " ").split(" ")
-        lines = text.split("\n")
-        if not all(map(_plain, lines)):
-            lines = _BREAK.split(text)
+        if _plain(text):
+            return f"{NAKED}{text}".replace("\n", f" {NAKED}\n {NAKED}").split(" ")
         pieces: list[str] = []
-        for n, line in enumerate(lines):
-            parts = line.split(" ") if _plain(line) else _SPACE.split(line)
+        for n, line in enumerate(_BREAK.split(text)):
+            parts = _SPACE.split(line)
             parts[0] = NAKED + parts[0]
             if n:
                 pieces.append(NAKED + "\n")
