@@ -118,9 +118,9 @@ class Encoder:
         mixed = []
         for n, text in enumerate(map(self._alone, whole)):
             word = text[1:] if text[:1] == " " else text
-            # Letters that Unicode normalisation leaves alone are one word to the library,
-            # which may go to its merges at once.
-            if word.isalpha() and (word.isascii() or max(word) <= "\xff"):
+            # Letters that the library's normalisation leaves alone are one word to it, which
+            # may go to its merges at once.
+            if word.isalpha() and (word.isascii() or max(word) <= "\xff") and not (self.drops_blanks and word != word.lower()):
                 coded[n] = [t.id for t in self.model.tokenize(text.encode().decode("latin-1").translate(_BYTES))]
             else:
                 mixed.append(n)
