@@ -40,6 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from forkline.llm import minhash
 from forkline.llm.common import keep_table, packed
 
 SEED = 42
@@ -199,8 +200,23 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     return marked.join(groups, F.col("fp") == F.col("of_fp"), "left").select("doc_id", "fp", digits, "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """One document of every group, with all its columns: that of the smallest id.
+def near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", similarity: int = minhash.SIMILARITY) -> DataFrame:
+    """Per row of ``docs``: doc_id, digest of its shingle set and component_id (see ``minhash``)."""
+    spark = docs.sparkSession
+    marked = minhash.with_digest(docs, text, doc_id)
+    firsts = keep_table(spark, marked.groupBy("digest").agg(F.min("doc_id").alias("first")), "minhash-firsts")
+    roots = keep_table(spark, components(minhash.links(docs, marked, components, text, doc_id, similarity), "minhash-stars"), "minhash-roots")
+    rooted = firsts.join(roots, firsts["digest"] == roots["node"], "left").select("digest", "first", F.coalesce("root", "digest").alias("root"))
+    named = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    groups = rooted.select("digest", "root").join(named, "root").select(F.col("digest").alias("of_digest"), "component_id")
+    return marked.join(groups, F.col("digest") == F.col("of_digest"), "left").select("doc_id", "digest", "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", similarity: int = minhash.SIMILARITY) -> DataFrame:
+    """One document of every group of near copies, with all its columns: that of the smallest id.
+
+    Groups are those of five-word shingles and ``similarity`` per cent (see ``minhash``), not
+    of fingerprints: at that similarity fingerprints are some ten bits apart.
 
     What goes is joined, not what stays, as it is the smaller table by far: while Spark can
     broadcast it, texts are not moved. Rows of one id share their fate: they stay if one of
@@ -208,11 +224,11 @@ def drop_near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc
     no member of its group has one, and such a group keeps all of them.
     """
     spark = docs.sparkSession
-    groups = keep_table(spark, near_duplicates(docs, text, doc_id).select("doc_id", "fp", "component_id"), "simhash-groups")
+    groups = keep_table(spark, near_copies(docs, text, doc_id, similarity), "minhash-groups")
     stays = (F.col("doc_id") == F.col("component_id")).cast("bigint")
     fates = groups.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.sum(stays).alias("staying"))
-    leaving = keep_table(spark, fates.filter("staying <> 1"), "simhash-leaving")
-    unnamed = keep_table(spark, groups.filter("doc_id IS NULL AND component_id IS NULL").select("fp").distinct(), "simhash-unnamed")
+    leaving = keep_table(spark, fates.filter("staying <> 1"), "minhash-leaving")
+    unnamed = keep_table(spark, groups.filter("doc_id IS NULL AND component_id IS NULL").select("digest").distinct(), "minhash-unnamed")
     rows = packed(docs, F.col(doc_id).alias("id"), F.col(text).alias("text"))
     kept = [rows.filter("id IS NOT NULL").join(leaving, F.col("id") == F.col("doc_id"), "left_anti").select("row")]
     twice = leaving.filter("staying > 1")
@@ -220,9 +236,8 @@ def drop_near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc
         repeated = rows.join(twice, F.col("id") == F.col("doc_id"), "left_semi")
         kept.append(repeated.groupBy("id", F.xxhash64("text").alias("h")).agg(F.first("row").alias("row")).select("row"))
     if not unnamed.isEmpty():
-        of = F.pandas_udf(_fingerprints, "bigint")
-        nameless = rows.filter("id IS NULL").withColumn("fp", of("text"))
-        kept.append(nameless.join(unnamed, "fp", "left_semi").select("row"))
+        nameless = rows.filter("id IS NULL").withColumn("digest", minhash.digests("text"))
+        kept.append(nameless.join(unnamed, "digest", "left_semi").select("row"))
     result = kept[0]
     for more in kept[1:]:
         result = result.unionByName(more)

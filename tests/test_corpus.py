@@ -1,0 +1,69 @@
+"""Corpus operators on planted cases."""
+
+import random
+
+from pyspark.sql import functions as F
+
+from forkline.llm import minhash, simhash
+
+
+def jaccard(a: str, b: str) -> float:
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (a.split(), b.split())]
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+
+
+def near_copy(words: list[str], changes: int) -> str:
+    """``changes`` words replaced, far apart, so that each takes five shingles."""
+    out = list(words)
+    for k in range(changes):
+        out[10 + k * 10] = f"changed{k}"
+    return " ".join(out)
+
+
+def test_near_copies_of_similarity_above_80_leave(spark):
+    draw = random.Random(7)
+    rows, stay = [], set()
+    for g in range(40):
+        words = [f"w{draw.randrange(5000)}" for _ in range(300)]
+        similar, unlike = near_copy(words, 1 + g % 6), near_copy(words, 8)
+        assert jaccard(" ".join(words), similar) >= 0.8 > jaccard(" ".join(words), unlike)
+        rows += [(f"{g:03d}-a", " ".join(words)), (f"{g:03d}-b", similar), (f"{g:03d}-c", near_copy([f"u{w}" for w in words], 0))]
+        stay |= {f"{g:03d}-a", f"{g:03d}-c"}
+        apart = [f"v{w}" for w in words]
+        rows += [(f"{g:03d}-d", " ".join(apart)), (f"{g:03d}-e", near_copy(apart, 8))]
+        stay |= {f"{g:03d}-d", f"{g:03d}-e"}
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    assert {r.doc_id for r in simhash.drop_near_duplicates(docs).collect()} == stay
+
+
+def test_near_copy_groups_are_those_of_brute_force(spark):
+    """One crowded bucket, with similarities on both sides of the limit."""
+    draw = random.Random(11)
+    words = [f"w{n}" for n in range(120)]
+    texts = [" ".join(f"x{draw.random()}" if draw.random() < 0.02 else w for w in words) for _ in range(150)]
+    rows = [(f"{n:03d}", t) for n, t in enumerate(texts)]
+    root = list(range(len(texts)))
+
+    def find(n):
+        while root[n] != n:
+            n = root[n]
+        return n
+
+    keys = [set(minhash.band_keys(minhash.shingle_set(t)).tolist()) for t in texts]
+    for a in range(len(texts)):
+        for b in range(a):
+            if jaccard(texts[a], texts[b]) >= 0.8 and keys[a] & keys[b]:
+                low, high = sorted((find(a), find(b)))
+                root[high] = low
+    expected = {f"{n:03d}" for n in range(len(texts)) if find(n) == n}
+    assert 1 < len(expected) < len(texts)
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    assert {r.doc_id for r in simhash.drop_near_duplicates(docs).collect()} == expected
+
+
+def test_near_copies_of_empty_nameless_and_repeated_rows(spark):
+    rows = [("b", ""), ("a", None), (None, "one two three"), (None, "one  two three"), (None, "four"), ("c", "four"), ("d", "six"), ("d", "six")]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    kept = simhash.drop_near_duplicates(docs).select(F.coalesce("doc_id", F.lit("-")).alias("i")).collect()
+    assert sorted(r.i for r in kept) == ["-", "-", "a", "c", "d"]
+    assert simhash.drop_near_duplicates(docs.limit(0)).count() == 0
