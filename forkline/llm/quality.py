@@ -31,6 +31,10 @@ MARKS = r"[!?{}\[\]=_~^\\@]"
 #: Measure, and how far past its fence a value may lie before it counts. Per mille, but for
 #: the length of words, which is in hundredths of a character.
 SLACK = {"symbols": 15, "marks": 15, "dup_lines": 400, "repeats": 200, "uppers": 250, "word_length": 200}
+#: Measures whose fence follows the tail of the group in ``quality_filter``: there it is the
+#: 99th percentile or the fence without slack, whichever is higher, at least so many per
+#: mille and at most the fence above. Most documents repeat nothing, so quartiles say little.
+TAILS = {"dup_lines": 100, "repeats": 100}
 #: Fences stand this many times the distance between the quartiles outside of them.
 REACH = 3
 MIN_DOCS = 100
@@ -138,26 +142,37 @@ def sketch(measured: DataFrame) -> DataFrame:
     )
 
 
-def fences(sketched: DataFrame) -> DataFrame:
-    """Per level and group: documents, and the lower and upper fence of every measure."""
+def fences(sketched: DataFrame, tails: bool = False) -> DataFrame:
+    """Per level and group: documents, and the lower and upper fence of every measure.
+
+    ``tails``: those of ``TAILS`` follow the tail of their group.
+    """
     group = ("level", "of_lang", "of_source", "measure")
     upto = Window.partitionBy(*group).orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
     ranked = sketched.withColumn("upto", F.sum("n").over(upto)).withColumn("total", F.sum("n").over(Window.partitionBy(*group)))
     quartile = lambda q: F.min(F.when(4 * F.col("upto") >= q * F.col("total"), F.col("value")))
-    quarters = ranked.groupBy(*group).agg(F.max("total").alias("docs"), quartile(1).alias("q1"), quartile(3).alias("q3"))
+    p99 = F.min(F.when(100 * F.col("upto") >= 99 * F.col("total"), F.col("value"))).alias("p99")
+    quarters = ranked.groupBy(*group).agg(F.max("total").alias("docs"), quartile(1).alias("q1"), quartile(3).alias("q3"), p99)
     spread = REACH * (F.col("q3") - F.col("q1"))
+    # All values that the sketch rounds to one are on the same side of it.
+    tail = F.expr("p99 + shiftleft(1L, greatest(length(bin(p99)) - 7, 0)) - 1")
     pick = lambda name, c: F.max(F.when(F.col("measure") == name, c))
+
+    def high(name: str) -> Column:
+        loose = F.col("q3") + spread + SLACK[name]
+        return F.least(loose, F.greatest(tail, F.col("q3") + spread, F.lit(TAILS[name]))) if tails and name in TAILS else loose
+
     return quarters.groupBy("level", "of_lang", "of_source").agg(
         F.max("docs").alias("docs"),
-        *[pick(k, F.col("q3") + spread + v).alias(f"high_{k}") for k, v in SLACK.items()],
+        *[pick(k, high(k)).alias(f"high_{k}") for k in SLACK],
         pick("word_length", F.col("q1") - spread - SLACK["word_length"]).alias("low_word_length"),
     )
 
 
-def thresholds(measured: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+def thresholds(measured: DataFrame, min_docs: int = MIN_DOCS, tails: bool = False) -> DataFrame:
     """One row for each language and source with a document that passes the base rules."""
     spark = measured.sparkSession
-    table = keep_table(spark, fences(sketch(measured)), "fences")
+    table = keep_table(spark, fences(sketch(measured), tails), "fences")
     values = [c for c in table.columns if c.startswith(("high_", "low_"))]
     own = table.filter("level = 2").alias("own")
     lang = table.filter("level = 1").alias("lang")
@@ -202,7 +217,7 @@ def quality_rules(docs: DataFrame, text: str = "text", lang: str = "lang", sourc
 
 
 def quality_filter(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", min_docs: int = MIN_DOCS) -> DataFrame:
-    """The documents that pass, with all their columns.
+    """The documents that pass, with all their columns. Repeats and repeated lines follow ``TAILS``.
 
     Texts are read and measured twice instead of being written and moved: only counts are
     shuffled, and the thresholds join texts by broadcast while they are small enough.
@@ -211,7 +226,7 @@ def quality_filter(docs: DataFrame, text: str = "text", lang: str = "lang", sour
     # A generator keeps the counts from being copied into every filter that reads them.
     measured = F.explode(F.array(counts(F.col(text)))).alias("m")
     columns = [F.col(lang).cast("string").alias("lang"), F.col(source).cast("string").alias("source"), measured]
-    limits = keep_table(spark, thresholds(docs.select(*columns), min_docs), "thresholds")
+    limits = keep_table(spark, thresholds(docs.select(*columns), min_docs, tails=True), "thresholds")
     passing = packed(docs, *columns).filter(~base_failed(F.col("m")))
     return _judged(passing, limits).filter("kept").select("row.*")
 

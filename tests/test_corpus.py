@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from forkline.llm import minhash, simhash
+from forkline.llm import minhash, quality, simhash
 
 
 def jaccard(a: str, b: str) -> float:
@@ -67,3 +67,27 @@ def test_near_copies_of_empty_nameless_and_repeated_rows(spark):
     kept = simhash.drop_near_duplicates(docs).select(F.coalesce("doc_id", F.lit("-")).alias("i")).collect()
     assert sorted(r.i for r in kept) == ["-", "-", "a", "c", "d"]
     assert simhash.drop_near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_each_quality_rule_alone_rejects(spark):
+    """One document for each measure is far out in it and inside of all other fences."""
+    plain = [" ".join(f"{chr(97 + n % 7)}{n:03d}{k:02d}" for k in range(80)) for n in range(200)]
+    words = [f"r{n:04d}" + "x" for n in range(80)]
+    odd = {
+        "symbols": plain[0].replace("a00001", "#" * 30),
+        "marks": plain[0].replace("a00001", "!" * 30),
+        "dup_lines": "\n".join("again0" if n % 4 == 0 else f"d{n:03d}xx" for n in range(100)),
+        "repeats": " ".join(words + words[:6]),
+        "uppers": " ".join(f"ABC{n:03d}" for n in range(80)),
+        "word_length": " ".join(f"{n:02d}" * 6 for n in range(80)),
+    }
+    rows = [(f"plain{n}", t, "en", "web") for n, t in enumerate(plain)] + [(k, t, "en", "web") for k, t in odd.items()]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, lang string, source string").cache()
+    kept = {r.doc_id for r in quality.quality_filter(docs).collect()}
+    assert kept == {f"plain{n}" for n in range(len(plain))}
+    measured = docs.select("doc_id", "lang", "source", quality.counts(F.col("text")).alias("m"))
+    limits = quality.thresholds(measured, tails=True).first()
+    for row in measured.select("doc_id", quality.base_failed(F.col("m")).alias("failed"), *[v.alias(k) for k, v in quality.measures(F.col("m")).items()]).collect():
+        if row.doc_id in odd:
+            beyond = {k for k in odd if row[k] > limits[f"high_{k}"]} | ({"word_length"} if row.word_length < limits.low_word_length else set())
+            assert not row.failed and beyond == {row.doc_id}
