@@ -23,6 +23,8 @@ result. The work is one pass over each text, and no row needs another.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
+from calendar import isleap
 from collections.abc import Callable, Iterator
 from datetime import date
 from functools import cache
@@ -36,7 +38,8 @@ from pyspark.sql.types import StringType
 ROUNDS = 8
 #: For tests and demonstrations. Production passes a key of its own, kept outside the code.
 KEY = b"forkline demonstration key"
-FIRST_DAY, LAST_DAY = date(1900, 1, 1).toordinal(), date(2099, 12, 31).toordinal()
+#: Days of these years and all others are permuted apart, so that usual dates stay usual.
+USUAL_YEARS = range(1900, 2100)
 
 
 def _round(key: bytes, tweak: bytes, n: int, half: int, bits: int) -> int:
@@ -118,9 +121,32 @@ def _iban_check(country: str, rest: str) -> int:
     return 98 - int("".join(str(int(c, 36)) for c in rest + country + "00")) % 97
 
 
+def _iban_valid(plain: str) -> bool:
+    return int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1
+
+
+def _iban_matches(pattern: re.Pattern, text: str) -> Iterator[re.Match]:
+    """What is valid, the longest first at each place: upper-case words may follow an IBAN.
+
+    A shorter stop must be the end of a word. Where nothing is valid the search goes on at
+    the next word, since an IBAN can stand right behind what looks like the start of one.
+    """
+    at = 0
+    while m := pattern.search(text, at):
+        at = m.start() + 1
+        stop = m.end()
+        while m:
+            if _iban_valid(m[0].replace(" ", "")):
+                yield m
+                at = m.end()
+                break
+            stop = text.rfind(" ", m.start(), stop)
+            m = pattern.fullmatch(text, m.start(), stop) if stop > 0 else None
+
+
 def _iban(key: bytes, m: re.Match) -> str | None:
     plain = m[0].replace(" ", "")
-    if int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 != 1:
+    if not _iban_valid(plain):
         return None
     rest = _spell(key, b"iban" + plain[:2].encode(), plain[4:])
     made = iter(f"{plain[:2]}{_iban_check(plain[:2], rest):02d}{rest}")
@@ -171,22 +197,21 @@ def _ssn(key: bytes, m: re.Match) -> str | None:
     return f"{_AREAS[area]:03d}-{group + 1:02d}-{serial + 1:04d}"
 
 
-def _written(day: date, order: str, widths: tuple[int, ...]) -> tuple[str, ...] | None:
-    """Year, month and day in the given order, if they have these widths."""
-    parts = []
-    for field, width in zip(order, widths):
-        value = {"y": day.year, "m": day.month, "d": day.day}[field]
-        if width == 1 and value > 9:
-            return None
-        parts.append(f"{value:0{width}d}")
-    return tuple(parts)
+@cache
+def _in_year(leap: bool, widths: tuple[int, int]) -> list[tuple[int, int]]:
+    """Months and days of a year that are written with these widths, in order."""
+    days = (date.fromordinal(date(2000 if leap else 2001, 1, 1).toordinal() + k) for k in range(366 if leap else 365))
+    return [(d.month, d.day) for d in days if (widths[0] == 2 or d.month < 10) and (widths[1] == 2 or d.day < 10)]
 
 
 @cache
-def _days(order: str, widths: tuple[int, ...]) -> tuple[dict[int, int], list[int]]:
-    """Days that are written with these widths: rank by ordinal, and ordinals by rank."""
-    days = [n for n in range(FIRST_DAY, LAST_DAY + 1) if _written(date.fromordinal(n), order, widths)]
-    return {n: k for k, n in enumerate(days)}, days
+def _years(usual: bool, widths: tuple[int, int]) -> tuple[list[int], list[int]]:
+    """The years of a part, and how many of its days lie before each and before the end."""
+    years = [y for y in range(date.min.year, date.max.year + 1) if (y in USUAL_YEARS) == usual]
+    before = [0]
+    for y in years:
+        before.append(before[-1] + len(_in_year(isleap(y), widths)))
+    return years, before
 
 
 def _date(key: bytes, m: re.Match) -> str | None:
@@ -195,15 +220,18 @@ def _date(key: bytes, m: re.Match) -> str | None:
     for order in {"-": ("ymd",), ".": ("dmy",), "/": ("mdy", "dmy")}[mark]:
         at = dict(zip(order, map(int, parts)))
         try:
-            n = date(at["y"], at["m"], at["d"]).toordinal()
+            day = date(at["y"], at["m"], at["d"])
         except ValueError:
             continue
-        widths = tuple(map(len, parts))
-        ranks, days = _days(order, widths)
-        if n not in ranks:
-            return None
-        made = date.fromordinal(days[permute(key, b"date", ranks[n], len(days))])
-        return mark.join(_written(made, order, widths))
+        width = dict(zip(order, map(len, parts)))
+        widths = (width["m"], width["d"])
+        years, before = _years(day.year in USUAL_YEARS, widths)
+        rank = before[bisect_left(years, day.year)] + bisect_left(_in_year(isleap(day.year), widths), (day.month, day.day))
+        rank = permute(key, b"date", rank, before[-1])
+        k = bisect_right(before, rank) - 1
+        month, day_of = _in_year(isleap(years[k]), widths)[rank - before[k]]
+        made = {"y": years[k], "m": month, "d": day_of}
+        return mark.join(f"{made[f]:0{width[f]}d}" for f in order)
     return None
 
 
@@ -222,11 +250,11 @@ KINDS: tuple[tuple[str, re.Pattern, Callable[[bytes, re.Match], str | None]], ..
     ("email", re.compile(r"(?<![\w.+-])[A-Za-z0-9_][A-Za-z0-9_.+-]{0,63}@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,24}(?![A-Za-z0-9-])"), _email),
     ("secret", re.compile(r"(?P<name>(?i:token|secret|password|passwd|api[_-]?key|access[_-]?key)[\"']? ?[=:] ?[\"'])(?P<hex>[0-9a-f]{16,128}|[0-9A-F]{16,128})(?=[\"'])"), _secret),
     ("iban", re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d\d(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"), _iban),
-    ("card", re.compile(r"(?<![\d.,-])(?:\d{13,19}|\d{4}(?P<a>[ -])\d{4}(?P=a)\d{4}(?P=a)\d{1,7}|\d{4}(?P<b>[ -])\d{6}(?P=b)\d{5})(?![\d-])(?![.,]\d)"), _card),
-    ("ip", re.compile(r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?![\d])(?!\.\d)"), _ip),
+    ("card", re.compile(r"(?<!\d)(?<!\d[.,-])(?:\d{13,19}|\d{4}(?P<a>[ -])\d{4}(?P=a)\d{4}(?P=a)\d{1,7}|\d{4}(?P<b>[ -])\d{6}(?P=b)\d{5})(?![\d-])(?![.,]\d)"), _card),
+    ("ip", re.compile(r"(?<!\d)(?<!\d\.)(?:\d{1,3}\.){3}\d{1,3}(?![\d])(?!\.\d)"), _ip),
     ("ssn", re.compile(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"), _ssn),
-    ("date", re.compile(r"(?<![\d./-])(?:\d{4}-\d{1,2}-\d{1,2}|\d{1,2}\.\d{1,2}\.\d{4}|\d{1,2}/\d{1,2}/\d{4})(?![\d/-])(?!\.\d)"), _date),
-    ("phone", re.compile(r"(?<![\d+.-])(?:\+1[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}|\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}-\d{4}|\d{3}-\d{3}-\d{4})(?![\d-])(?!\.\d)"), _phone),
+    ("date", re.compile(r"(?<![\d/-])(?<!\d\.)(?:\d{4}-\d{1,2}-\d{1,2}|\d{1,2}\.\d{1,2}\.\d{4}|\d{1,2}/\d{1,2}/\d{4})(?![\d/-])(?!\.\d)"), _date),
+    ("phone", re.compile(r"(?<![\d+])(?<!\d[.-])(?:\+1[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}|\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}-\d{4}|\d{3}-\d{3}-\d{4})(?![\d-])(?!\.\d)"), _phone),
 )
 #: Stands in the place of what is taken while other kinds are looked for.
 TAKEN = "\x00"
@@ -241,7 +269,8 @@ def pseudonymise(text: str | None, key: bytes = KEY) -> tuple[str | None, list[t
     taken: list[tuple[int, int, str, str]] = []
     rest = text
     for kind, pattern, make in KINDS:
-        found = [(m.start(), m.end(), kind, made) for m in pattern.finditer(rest) if (made := make(key, m)) is not None]
+        matches = _iban_matches(pattern, rest) if kind == "iban" else pattern.finditer(rest)
+        found = [(m.start(), m.end(), kind, made) for m in matches if (made := make(key, m)) is not None]
         if found:
             taken += found
             rest = _put(rest, [(start, stop, TAKEN * (stop - start)) for start, stop, _, _ in found])

@@ -1,10 +1,11 @@
 """Corpus operators on planted cases."""
 
 import random
+from datetime import date
 
 from pyspark.sql import functions as F
 
-from forkline.llm import minhash, quality, simhash
+from forkline.llm import minhash, pii, quality, simhash
 
 
 def jaccard(a: str, b: str) -> float:
@@ -91,3 +92,29 @@ def test_each_quality_rule_alone_rejects(spark):
         if row.doc_id in odd:
             beyond = {k for k in odd if row[k] > limits[f"high_{k}"]} | ({"word_length"} if row.word_length < limits.low_word_length else set())
             assert not row.failed and beyond == {row.doc_id}
+
+
+def test_pii_beside_words_separators_and_far_dates():
+    def kinds(text):
+        return [(kind, text[a:b]) for kind, a, b in pii.pseudonymise(text)[1]]
+
+    iban = "BE68 5390 0754 7034"
+    for text in (f"{iban} BIC GKCCBEBB", f"{iban} 2024", f"AB12 ABCD {iban} EUR", "".join(iban.split()) + " EUR"):
+        assert [k for k, _ in kinds(text)] == ["iban"]
+    assert kinds(f"{iban} BIC") == [("iban", iban)]
+    assert kinds("DE89 3704 0044 0532 0130 00 BIC") == [("iban", "DE89 3704 0044 0532 0130 00")]
+    assert kinds("Tel.+49 30 1234567") == [("phone", "+49 30 1234567")]
+    assert kinds("Tel.555-123-4567") == [("phone", "555-123-4567")]
+    assert kinds("card,4111111111111111") == [("card", "4111111111111111")]
+    assert kinds("host.10.0.0.1 born.1999-01-02") == [("ip", "10.0.0.1"), ("date", "1999-01-02")]
+    assert not kinds("3.4111111111111111 3,4111111111111111 1.555-123-4567 1.10.0.0.1 BE68 5390 0754 7035 BIC")
+
+
+def test_far_dates_keep_apart():
+    made = {}
+    for n in [*range(1, 3000), *range(date(1899, 12, 1).toordinal(), date(1900, 2, 1).toordinal()), date.max.toordinal()]:
+        day = date.fromordinal(n)
+        new = pii.pseudonymise(day.isoformat())[0]
+        assert new != day.isoformat() and (1900 <= date.fromisoformat(new).year < 2100) == (1900 <= day.year < 2100)
+        made[new] = n
+    assert len(made) == 2999 + 62 + 1
