@@ -31,9 +31,9 @@ MARKS = r"[!?{}\[\]=_~^\\@]"
 #: Measure, and how far past its fence a value may lie before it counts. Per mille, but for
 #: the length of words, which is in hundredths of a character.
 SLACK = {"symbols": 15, "marks": 15, "dup_lines": 400, "repeats": 200, "uppers": 250, "word_length": 200}
-#: Measures whose fence follows the tail of the group in ``quality_filter``: there it is the
-#: 99th percentile or the fence without slack, whichever is higher, at least so many per
-#: mille and at most the fence above. Most documents repeat nothing, so quartiles say little.
+#: Measures whose fence follows the tail of the group: it is the 99th percentile or the fence
+#: without slack, whichever is higher, at least so many per mille and at most the fence
+#: above. Most documents repeat nothing, so quartiles say little.
 TAILS = {"dup_lines": 100, "repeats": 100}
 #: Fences stand this many times the distance between the quartiles outside of them.
 REACH = 3
@@ -142,11 +142,8 @@ def sketch(measured: DataFrame) -> DataFrame:
     )
 
 
-def fences(sketched: DataFrame, tails: bool = False) -> DataFrame:
-    """Per level and group: documents, and the lower and upper fence of every measure.
-
-    ``tails``: those of ``TAILS`` follow the tail of their group.
-    """
+def fences(sketched: DataFrame) -> DataFrame:
+    """Per level and group: documents, and the lower and upper fence of every measure."""
     group = ("level", "of_lang", "of_source", "measure")
     upto = Window.partitionBy(*group).orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
     ranked = sketched.withColumn("upto", F.sum("n").over(upto)).withColumn("total", F.sum("n").over(Window.partitionBy(*group)))
@@ -160,7 +157,7 @@ def fences(sketched: DataFrame, tails: bool = False) -> DataFrame:
 
     def high(name: str) -> Column:
         loose = F.col("q3") + spread + SLACK[name]
-        return F.least(loose, F.greatest(tail, F.col("q3") + spread, F.lit(TAILS[name]))) if tails and name in TAILS else loose
+        return F.least(loose, F.greatest(tail, F.col("q3") + spread, F.lit(TAILS[name]))) if name in TAILS else loose
 
     return quarters.groupBy("level", "of_lang", "of_source").agg(
         F.max("docs").alias("docs"),
@@ -169,10 +166,10 @@ def fences(sketched: DataFrame, tails: bool = False) -> DataFrame:
     )
 
 
-def thresholds(measured: DataFrame, min_docs: int = MIN_DOCS, tails: bool = False) -> DataFrame:
+def thresholds(measured: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """One row for each language and source with a document that passes the base rules."""
     spark = measured.sparkSession
-    table = keep_table(spark, fences(sketch(measured), tails), "fences")
+    table = keep_table(spark, fences(sketch(measured)), "fences")
     values = [c for c in table.columns if c.startswith(("high_", "low_"))]
     own = table.filter("level = 2").alias("own")
     lang = table.filter("level = 1").alias("lang")
@@ -217,7 +214,7 @@ def quality_rules(docs: DataFrame, text: str = "text", lang: str = "lang", sourc
 
 
 def quality_filter(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", min_docs: int = MIN_DOCS) -> DataFrame:
-    """The documents that pass, with all their columns. Repeats and repeated lines follow ``TAILS``.
+    """The documents that pass, with all their columns.
 
     Texts are read and measured twice instead of being written and moved: only counts are
     shuffled, and the thresholds join texts by broadcast while they are small enough.
@@ -226,7 +223,7 @@ def quality_filter(docs: DataFrame, text: str = "text", lang: str = "lang", sour
     # A generator keeps the counts from being copied into every filter that reads them.
     measured = F.explode(F.array(counts(F.col(text)))).alias("m")
     columns = [F.col(lang).cast("string").alias("lang"), F.col(source).cast("string").alias("source"), measured]
-    limits = keep_table(spark, thresholds(docs.select(*columns), min_docs, tails=True), "thresholds")
+    limits = keep_table(spark, thresholds(docs.select(*columns), min_docs), "thresholds")
     passing = packed(docs, *columns).filter(~base_failed(F.col("m")))
     return _judged(passing, limits).filter("kept").select("row.*")
 
@@ -247,6 +244,7 @@ def _fence_sql() -> str:
     }
     each = " UNION ALL ".join(f"SELECT doc_id, lang, source, '{k}' AS measure, {v} AS value FROM m WHERE NOT base_failed" for k, v in shares.items())
     slack = " ".join(f"WHEN '{k}' THEN {v}" for k, v in SLACK.items())
+    tails = " ".join(f"WHEN '{k}' THEN least(plain + {SLACK[k]}, greatest(tail, plain, {v}))" for k, v in TAILS.items())
     return f"""
 shares AS ({each}),
 rounded AS (SELECT *, (value >> greatest(length(bin(value)) - 7, 0)) << greatest(length(bin(value)) - 7, 0) AS v FROM shares),
@@ -261,10 +259,11 @@ ranked AS (
 ),
 quarters AS (
   SELECT level, lang, source, measure, max(total) AS docs, min(CASE WHEN 4 * upto >= total THEN v END) AS q1,
-         min(CASE WHEN 4 * upto >= 3 * total THEN v END) AS q3 FROM ranked GROUP BY ALL
+         min(CASE WHEN 4 * upto >= 3 * total THEN v END) AS q3, min(CASE WHEN 100 * upto >= 99 * total THEN v END) AS p99 FROM ranked GROUP BY ALL
 ),
 bounds AS (
-  SELECT *, q3 + {REACH} * (q3 - q1) + CASE measure {slack} END AS high,
+  SELECT *, q3 + {REACH} * (q3 - q1) AS plain, p99 + (1::BIGINT << greatest(length(bin(p99)) - 7, 0)) - 1 AS tail,
+         CASE measure {tails} ELSE plain + CASE measure {slack} END END AS high,
          CASE WHEN measure = 'word_length' THEN q1 - {REACH} * (q3 - q1) - {SLACK["word_length"]} ELSE -1 END AS low FROM quarters
 ),
 broken AS (
