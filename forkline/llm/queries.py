@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from forkline.llm import decontaminate, licenses, linecrf, packing, pii, quality, recurrent, simhash, tokenfile, urls
+from forkline.llm import centroids, decontaminate, frames, licenses, linecrf, packing, pii, quality, recurrent, simhash, tokenfile, topk, urls
 
 QUERIES = {
     "op1_decontamination": decontaminate.op1_decontamination,
@@ -15,9 +15,15 @@ QUERIES = {
     "op8_best_fit_packing": packing.op8_best_fit_packing,
     "op9_pii": pii.op9_pii,
     "op10_quality_classifier": linecrf.op10_quality_classifier,
+    "op11_exact_topk_search": topk.op11_exact_topk_search,
+    "op12_fill_in_middle": frames.op12_fill_in_middle,
+    "op13_centroid_clustering": centroids.op13_centroid_clustering,
 }
 ORACLES = {
     "op1_decontamination": decontaminate.OP1_SQL,
     "op3_quality_rules": quality.OP3_SQL,
     "op5_url_filters": urls.OP5_SQL,
+    "op11_exact_topk_search": topk.OP11_SQL,
+    "op12_fill_in_middle": frames.OP12_SQL,
+    "op13_centroid_clustering": centroids.OP13_SQL,
 }
