@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from forkline.functions.text import let, strip, text_or_empty
 from forkline.schemas import UNSCORED
+from forkline.sources.tables import stored
 
 # What each array is padded with; the id to pad with belongs to the vocabulary.
 PADDING = {"input_ids": 0, "attention_mask": 0, "labels": UNSCORED, "forget_mask": 0}
@@ -156,8 +157,27 @@ def _padded(fields: Column, longest: Column, pad_id: int) -> Column:
     )
 
 
-def _longest(ids: Column) -> Column:
-    return F.max(F.size(ids)).over(Window.partitionBy("batch_id"))
+#: Batches whose lengths are sent to all tasks; a map of so many small rows is some 100 MB.
+BROADCAST_BATCHES = 1_000_000
+
+
+def with_longest(rows: DataFrame, lengths: dict[str, Column]) -> DataFrame:
+    """Add the greatest of each length in its ``batch_id``.
+
+    Only batch and lengths are shuffled.  The maxima, one small row per batch, are stored and
+    go to the rows, so that the arrays are not moved; beyond ``BROADCAST_BATCHES`` batches the
+    join is left to Spark.
+    """
+    narrow = rows.select("batch_id", *[length.alias(name) for name, length in lengths.items()])
+    maxima = narrow.groupBy(F.col("batch_id").alias("_batch")).agg(*[F.max(name).alias(name) for name in lengths])
+    maxima = stored(maxima, "batches")
+    if maxima.count() <= BROADCAST_BATCHES:
+        maxima = F.broadcast(maxima)
+    return rows.join(maxima, F.col("batch_id").eqNullSafe(F.col("_batch"))).drop("_batch")
+
+
+def _length(ids: Column, max_length: int | None) -> Column:
+    return F.size(ids) if max_length is None else F.least(F.size(ids), F.lit(max_length))
 
 
 def _cut(fields: Column, max_length: int | None) -> Column:
@@ -170,13 +190,13 @@ def batch_pad(
 ) -> DataFrame:
     """Batches of consecutive ``index`` values, padded to the longest row of each.
 
-    One shuffle by batch; a batch never holds more than ``batch_size`` rows.
+    The arrays are not shuffled, only their lengths are (see :func:`with_longest`).
     """
     fields = F.struct(*[F.col(c) for c in PADDING])
+    rows = encoded_rows.withColumn("batch_id", batch_of(F.col("index"), batch_size))
     return (
-        encoded_rows.withColumn("batch_id", batch_of(F.col("index"), batch_size))
+        with_longest(rows, {"_longest": _length(F.col("input_ids"), max_length)})
         .withColumn("_f", _cut(fields, max_length))
-        .withColumn("_longest", _longest(F.col("_f.input_ids")))
         .withColumn("_p", _padded(F.col("_f"), F.col("_longest"), pad_id))
         .withColumns({c: F.col(f"_p.{c}") for c in PADDING})
         .drop("_f", "_p", "_longest")
@@ -188,12 +208,12 @@ def batch_pad_pairs(
 ) -> DataFrame:
     """Pad each side of encoded pairs to its own longest row; retain needs no forget mask.
 
-    Both maxima come from the one shuffle by batch.
+    Both maxima come from the one shuffle of lengths by batch.
     """
     rows = masked.withColumn("batch_id", batch_of(F.col("index"), batch_size))
     sides = ("forget", "retain")
+    rows = with_longest(rows, {f"_{s}": _length(F.col(f"{s}.input_ids"), max_length) for s in sides})
     rows = rows.withColumns({s: _cut(F.col(s), max_length) for s in sides})
-    rows = rows.withColumns({f"_{s}": _longest(F.col(f"{s}.input_ids")) for s in sides})
     padded = {s: _padded(F.col(s), F.col(f"_{s}"), pad_id) for s in sides}
     padded["retain"] = padded["retain"].dropFields("forget_mask")
     return rows.withColumns(padded).drop("_forget", "_retain")

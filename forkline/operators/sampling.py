@@ -4,7 +4,9 @@ The order is that of ``md5(seed:key)``: the same on any cluster and any partitio
 Ranks come from buckets by the leading hex digits of that hash.  How many digits follows
 from the number of rows, so that a bucket holds at most about ``BUCKET_ROWS`` of them; the
 bucket counts give each bucket its offset, and inside a bucket ``row_number`` ranks its
-even share of the rows.  Buckets beyond a wanted rank are dropped before the shuffle where
+even share of the rows.  Offsets are sums on two levels: buckets that share the first half
+of their digits are summed up inside of their range, and only the ranges, as many as the root of
+the number of buckets, meet in one task.  Buckets beyond a wanted rank are dropped before the shuffle where
 Spark can broadcast the counts, so taking n rows moves about n.
 """
 
@@ -30,6 +32,30 @@ def _keyed(df: DataFrame, key: str, seed: int | str, bucket_rows: int) -> DataFr
     return keyed.withColumn("_b", F.substr("_k", F.lit(1), digits))
 
 
+def bucket_offsets(counts: DataFrame, names: dict[str, str]) -> DataFrame:
+    """``_b`` with the sums over all earlier buckets, named as ``names`` maps the counts, and
+    with the sums over all buckets (``_all`` and the count's name).
+
+    A range is the first half of a bucket's digits.  Sums inside a range are windows of their
+    own; the one window without partitions sees a row per range.
+    """
+    ranged = counts.withColumn("_t", F.substr("_b", F.lit(1), F.ceil(F.length("_b") / 2).cast("int")))
+    earlier_ranges = Window.orderBy("_t").rowsBetween(Window.unboundedPreceding, -1)
+    earlier_buckets = Window.partitionBy("_t").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = (
+        ranged.groupBy("_t")
+        .agg(*[F.sum(n).alias(n) for n in names])
+        .select(
+            "_t",
+            *[F.coalesce(F.sum(n).over(earlier_ranges), F.lit(0)).alias(f"_base_{n}") for n in names],
+            *[F.sum(n).over(Window.partitionBy()).alias(f"_all{n}") for n in names],
+        )
+    )
+    inside = [F.coalesce(F.sum(n).over(earlier_buckets), F.lit(0)).alias(f"_in_{n}") for n in names]
+    sums = [(F.col(f"_base_{n}") + F.col(f"_in_{n}")).alias(name) for n, name in names.items()]
+    return ranged.select("_b", "_t", *inside).join(ranges, "_t").select("_b", *sums, *[f"_all{n}" for n in names])
+
+
 def seeded_rank(
     df: DataFrame,
     key: str,
@@ -45,23 +71,14 @@ def seeded_rank(
     if exact and upto is not None and df.count() < upto:
         raise ValueError(f"sample of {upto} rows from fewer rows")
     keyed = _keyed(df, key, seed, bucket_rows)
-    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    # One row per bucket reaches this window.
-    offsets = (
-        keyed.groupBy("_b")
-        .agg(F.count("*").alias("_n"))
-        .select(
-            "_b",
-            F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"),
-        )
-    )
+    offsets = bucket_offsets(keyed.groupBy("_b").agg(F.count("*").alias("_n")), {"_n": "_off"})
     if upto is not None:
         offsets = offsets.filter(F.col("_off") < upto)
     inside = F.row_number().over(Window.partitionBy("_b").orderBy("_k", key))
     ranked = keyed.join(offsets, "_b").withColumn("rank", F.col("_off") + inside - 1)
     if upto is not None:
         ranked = ranked.filter(F.col("rank") < upto)
-    return ranked.drop("_k", "_b", "_off")
+    return ranked.drop("_k", "_b", "_off", "_all_n")
 
 
 def take_seeded(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
@@ -92,18 +109,9 @@ def split_sets(
     known = exec_results.filter(F.col("exec_match").isNotNull())
     keyed = _keyed(known, "index", seed, bucket_rows)
     failed = ~F.col("exec_match")
-    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        keyed.groupBy("_b")
-        .agg(F.count_if(failed).alias("_nf"), F.count_if("exec_match").alias("_np"))
-        .select(
-            "_b",
-            F.coalesce(F.sum("_nf").over(before), F.lit(0)).alias("_off_f"),
-            F.coalesce(F.sum("_np").over(before), F.lit(0)).alias("_off_p"),
-            F.sum("_np").over(Window.partitionBy()).alias("_passing"),
-        )
-    )
-    top_up = F.lit(retain_size) - F.least(F.col("_passing"), F.lit(retain_size))
+    counts = keyed.groupBy("_b").agg(F.count_if(failed).alias("_nf"), F.count_if("exec_match").alias("_np"))
+    offsets = bucket_offsets(counts, {"_nf": "_off_f", "_np": "_off_p"})
+    top_up = F.lit(retain_size) - F.least(F.col("_all_np"), F.lit(retain_size))
     wanted = F.when(failed, F.lit(forget_size) + top_up).otherwise(F.lit(retain_size))
     offset = F.when(failed, F.col("_off_f")).otherwise(F.col("_off_p"))
     inside = F.row_number().over(Window.partitionBy("exec_match", "_b").orderBy("_k", "index"))
