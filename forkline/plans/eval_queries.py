@@ -13,6 +13,7 @@ from forkline.plans import fixtures as fx
 from forkline.plans import oracle_parts as o
 from forkline.plans.registry import query
 from forkline.sources.adapters import adapt_gold, adapt_samples, train_map
+from forkline.sources.tables import bucketed
 
 # ---------------------------------------------------------------- adapters
 
@@ -125,8 +126,9 @@ def looked_up(spark: SparkSession, sf: str) -> DataFrame:
 )
 def aligned(spark: SparkSession, sf: str) -> DataFrame:
     pairs = fx.sql_pairs(spark, sf)
-    gold = pairs.select("index", F.col("label").alias("gold"))
-    return ev.align_gold(gold, pairs.select("index", "predict")).select("index", "gold", "predict")
+    gold = bucketed(pairs.select("index", F.col("label").alias("gold")), "gold")
+    predictions = bucketed(pairs.select("index", "predict"), "predictions")
+    return ev.align_gold(gold, predictions).select("index", "gold", "predict")
 
 
 # ---------------------------------------------------------------- execution
@@ -237,9 +239,10 @@ def _classified(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("error_classes", f"WITH {_CLASSED} SELECT index, tail AS suffix, {_CLASS_LIST} AS classes FROM classed")
 def classes(spark: SparkSession, sf: str) -> DataFrame:
-    failed = ev.failed_rows(
-        ev.join_divergences(fx.exec_rows(spark, sf), fx.divergence_rows(spark, sf))
-    )
+    """Both sides lie by index, so that they meet without a shuffle."""
+    runs = bucketed(fx.exec_rows(spark, sf).select("index", "gold_sql", "db_id", "exec_match"), "runs")
+    divergences = bucketed(fx.divergence_rows(spark, sf).select("index", "label", "prefix", "suffix", "logits_top5"), "divergences")
+    failed = ev.failed_rows(ev.join_divergences(runs, divergences))
     flags = cl.class_flags(failed, fx.token_vectors(spark, sf))
     return flags.withColumn("classes", F.array_join("classes", "|"))
 

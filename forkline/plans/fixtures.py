@@ -63,6 +63,22 @@ FROM (SELECT o_orderkey AS index, o_orderkey % 31 = 0 AS nested,
   FROM {orders}) AS p
 """
 
+# Pairs over three tables, of which one's name begins the others', and aliases of which one
+# begins the next; predictions use other aliases, and none for one table.
+MULTI_PAIRS = """
+SELECT index, a, b, c, d,
+  'SELECT ' || a || '.x, ' || b || '.y AS total, ' || c || '.z FROM item AS ' || a || ' JOIN items ' || b || ' ON ' || a || '.k = ' || b
+    || '.k LEFT JOIN item_parts AS ' || c || ' ON ' || c || '.k = ' || b || '.k WHERE ' || a || '.n > ' || CAST(index AS STRING) AS label,
+  'SELECT ' || d || '.x,  items.y, ' || b || '.z FROM item ' || d || ' JOIN items ON ' || d || '.k = items.k'
+    || ' LEFT JOIN item_parts AS ' || b || ' ON ' || b || '.k = items.k WHERE ' || d || '.n > ' || CAST(index AS STRING) AS predict
+FROM (SELECT o_orderkey AS index,
+  CASE o_orderkey % 3 WHEN 0 THEN 'T1' WHEN 1 THEN 'a' ELSE 'q' END AS a,
+  CASE o_orderkey % 3 WHEN 0 THEN 'T2' WHEN 1 THEN 'ab' ELSE 'p' END AS b,
+  CASE o_orderkey % 3 WHEN 0 THEN 'T3' WHEN 1 THEN 'abc' ELSE 'i' END AS c,
+  CASE WHEN o_custkey % 2 = 0 THEN 'T9' ELSE 'z' END AS d
+  FROM {orders}) AS names
+"""
+
 # Result rows of both sides; (order, line) repeats, so repeats count.
 RESULT_ROWS = """
 SELECT l_orderkey AS index, side,

@@ -85,6 +85,90 @@ def resumed(spark: SparkSession, sf: str) -> DataFrame:
     return done
 
 
+_CUT_LINE = """'{"index": ' || CAST(index AS STRING) || ', "predict": '"""
+
+
+def _lines_with_breaks(pairs: DataFrame) -> DataFrame:
+    """Pairs as JSON lines, of which every seventh is cut short."""
+    whole = F.to_json(F.struct("index", "prompt", "predict", "label"))
+    cut = F.concat(F.lit('{"index": '), F.col("index").cast("string"), F.lit(', "predict": '))
+    return pairs.select(F.when(F.col("index") % 7 == 3, cut).otherwise(whole).alias("value"))
+
+
+@query(
+    "incremental_rejects",
+    o.with_d(
+        f"""SELECT index, np AS normalized_predict, CAST(NULL AS VARCHAR) AS line, CAST(1 - index % 2 AS INT) AS batch FROM d WHERE index % 7 <> 3
+            UNION ALL SELECT NULL, NULL, {_CUT_LINE}, CAST(1 - index % 2 AS INT) FROM d WHERE index % 7 = 3"""
+    ),
+)
+def streamed_with_breaks(spark: SparkSession, sf: str) -> DataFrame:
+    """Two drops with broken lines, three runs; the last one finds nothing new."""
+    pairs = fx.sql_pairs(spark, sf)
+    root = _folder(spark, "rejects")
+    for odd in (1, 0):
+        _lines_with_breaks(pairs.filter(F.col("index") % 2 == odd)).write.mode("append").text(f"{root}/drop")
+        incremental.run_incremental(spark, f"{root}/drop", f"{root}/table", f"{root}/checkpoint")
+    incremental.run_incremental(spark, f"{root}/drop", f"{root}/table", f"{root}/checkpoint")
+    rows = spark.read.parquet(f"{root}/table").select("index", "normalized_predict", F.lit(None).cast("string").alias("line"), "batch")
+    lines = spark.read.parquet(f"{root}/table-rejects")
+    return rows.unionByName(lines, allowMissingColumns=True)
+
+
+@query(
+    "land_rejects",
+    o.with_pairs(
+        """SELECT CASE WHEN index % 7 = 3 THEN 'rejected' ELSE 'rows' END AS kind, count(*) AS observed, count(*) AS n_rows,
+             CAST(sum(CASE WHEN index % 7 = 3 THEN 0 ELSE index END) AS BIGINT) AS index_sum FROM sql_pairs GROUP BY ALL"""
+    ),
+)
+def landed(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows and broken lines landed in one parse; what was counted on the way and what is there."""
+    root = _folder(spark, "landing")
+    _lines_with_breaks(fx.sql_pairs(spark, sf)).write.text(f"{root}/lines")
+    seen = tables.land_jsonl(spark, "predictions", f"{root}/lines", f"{root}/table")
+    rows, rejected = tables.read_landed(spark, "predictions", f"{root}/table")
+    counted = [
+        part.agg(F.count("*").alias("n_rows"), F.coalesce(F.sum(number), F.lit(0)).alias("index_sum")).select(
+            F.lit(kind).alias("kind"), F.lit(seen[kind]).cast("bigint").alias("observed"), "n_rows", "index_sum"
+        )
+        for kind, part, number in (("rows", rows, F.col("index")), ("rejected", rejected, F.lit(0).cast("bigint")))
+    ]
+    return counted[0].unionByName(counted[1])
+
+
+@query(
+    "json_array_splits",
+    o.with_pairs("SELECT index, prompt, predict, label FROM sql_pairs"),
+)
+def array_splits(spark: SparkSession, sf: str) -> DataFrame:
+    """Indented array files of some thousand samples, read by records and landed as parquet."""
+    text = F.to_json(F.struct("index", "prompt", "predict", "label"), {"pretty": "true"})
+    record = F.regexp_replace(text, "(?m)^", "  ")
+    rows = fx.sql_pairs(spark, sf).select(record.alias("record"), F.call_function("div", F.col("index"), F.lit(8000)).alias("part"))
+    root = _folder(spark, "indented")
+    body = F.array_join(F.collect_list("record"), ",\n")
+    rows.groupBy("part").agg(F.concat(F.lit("[\n"), body, F.lit("\n]")).alias("value")).write.partitionBy("part").text(f"{root}/arrays")
+    read = tables.read_array_splits(spark, "predictions", f"{root}/arrays")
+    read.write.parquet(f"{root}/table")
+    return tables.read_table(spark, "predictions", f"{root}/table", "parquet")
+
+
+@query(
+    "class_files_rerun",
+    f"""WITH {_CLASSED}, e AS (SELECT index, unnest([CASE WHEN c1 THEN 1 END, CASE WHEN c2 THEN 2 END, CASE WHEN c3 THEN 3 END]) AS c FROM classed)
+        SELECT index, CAST(c AS INT) AS error_class FROM e WHERE c = 3 OR c IN (1, 2) AND index % 2 = 0""",
+)
+def class_files_rerun(spark: SparkSession, sf: str) -> DataFrame:
+    """A rerun of two classes replaces their folders and leaves the third as it is."""
+    path = _folder(spark, "classes")
+    rows = tables.stored(_classified(spark, sf).select("index", F.explode("classes").alias("error_class")), "class-rows")
+    tables.write_set(rows, path, "parquet", partition_by="error_class")
+    again = rows.filter((F.col("error_class") < 3) & (F.col("index") % 2 == 0))
+    tables.write_set(again, path, "parquet", partition_by="error_class", mode="replace")
+    return spark.read.parquet(path).select("index", "error_class")
+
+
 @query(
     "class_files",
     f"""WITH {_CLASSED}, e AS (SELECT index, unnest([CASE WHEN c1 THEN 1 END, CASE WHEN c2 THEN 2 END, CASE WHEN c3 THEN 3 END]) AS c, {_CLASS_LIST} AS l FROM classed)

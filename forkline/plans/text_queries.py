@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from forkline.functions import prompts, sqltext
+from forkline.functions import prompts, registered, sqltext
 from forkline.functions.text import collapse_spaces, first_char_divergence, words
 from forkline.operators import clauses
 from forkline.operators.diverge import (
@@ -77,6 +77,67 @@ def restored(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+_MULTI = """'SELECT item.x, items.y, item_parts.z FROM item JOIN items ON item.k = items.k LEFT JOIN item_parts ON item_parts.k = items.k WHERE item.n > ' || CAST(index AS STRING)"""
+_MULTI_BACK = """'SELECT ' || {0} || '.x, ' || {1} || '.y, ' || {2} || '.z FROM item JOIN items ON ' || {0} || '.k = ' || {1}
+  || '.k LEFT JOIN item_parts ON ' || {2} || '.k = ' || {1} || '.k WHERE ' || {0} || '.n > ' || CAST(index AS STRING)"""
+
+
+@query(
+    "normalize_multi",
+    f"""SELECT index, {_MULTI} AS normalized_predict, {_MULTI} AS normalized_label,
+          'item:' || d || '|item_parts:' || b AS predict_aliases, 'item:' || a || '|items:' || b || '|item_parts:' || c AS label_aliases
+        FROM ({fx.plain(fx.MULTI_PAIRS)})""",
+)
+def normalized_multi(spark: SparkSession, sf: str) -> DataFrame:
+    """Several tables, one name the beginning of others, and one without an alias."""
+    return normalize_pairs(fx.derived(spark, sf, fx.MULTI_PAIRS)).select(
+        "index",
+        "normalized_predict",
+        "normalized_label",
+        _map_text("predict_aliases").alias("predict_aliases"),
+        _map_text("label_aliases").alias("label_aliases"),
+    )
+
+
+@query(
+    "alias_restore_multi",
+    f"""SELECT index, {_MULTI_BACK.format('d', "'ON'", 'b')} AS restored_predict, {_MULTI_BACK.format('a', 'b', 'c')} AS restored_label
+        FROM ({fx.plain(fx.MULTI_PAIRS)})""",
+)
+def restored_multi(spark: SparkSession, sf: str) -> DataFrame:
+    """Aliases of three tables put back; a table without one gets the word behind it."""
+    return alias_restore(normalize_pairs(fx.derived(spark, sf, fx.MULTI_PAIRS))).select(
+        "index",
+        F.col("restored_normalized_predict").alias("restored_predict"),
+        F.col("restored_normalized_label").alias("restored_label"),
+    )
+
+
+@query(
+    "sql_functions",
+    o.with_d(
+        """SELECT index, np AS normalized_predict, ng AS normalized_label,
+             CASE WHEN kind = 1 THEN 'x' ELSE 'T1' END AS predict_alias, 'T1' AS label_alias, CAST(i AS INT) AS token_index, reason,
+             CASE WHEN i >= 0 THEN pt[i+1] END AS predict_token, CASE WHEN i >= 0 THEN gt[i+1] END AS label_token FROM d"""
+    ),
+)
+def by_sql_functions(spark: SparkSession, sf: str) -> DataFrame:
+    """Normalised texts, aliases and divergence of all pairs in one statement."""
+    registered.register(spark)
+    statement = f"""
+      WITH texts AS (
+        SELECT index, sql_normalized(sql_answer(predict)) AS normalized_predict, sql_normalized(label) AS normalized_label,
+          sql_aliases(sql_answer(predict)) AS predict_aliases, sql_aliases(label) AS label_aliases
+        FROM ({fx.SQL_PAIRS})
+      ), parted AS (
+        SELECT *, sql_divergence(sql_token_list(normalized_predict), sql_token_list(normalized_label)) AS at FROM texts
+      )
+      SELECT index, normalized_predict, normalized_label, predict_aliases['orders'] AS predict_alias, label_aliases['orders'] AS label_alias,
+        at.index AS token_index, at.reason, at.predicted AS predict_token, at.expected AS label_token
+      FROM parted"""
+    return spark.sql(statement, orders=fx.table(spark, sf, "orders"))
+
+
 @query(
     "collapse_spaces",
     f"SELECT doc_id, md5(trim(regexp_replace(text, '{o.SPACES}+', ' ', 'g'))) AS text_md5 FROM documents",

@@ -146,13 +146,14 @@ def read_array_splits(spark: SparkSession, kind: str, path: str, indent: int = 2
     return parsed.filter(fits).select("row.*").drop("_corrupt")
 
 
-def bucketed(df: DataFrame, name: str, key: str = "index", buckets: int = 64) -> DataFrame:
+def bucketed(df: DataFrame, name: str, key: str = "index", buckets: int | None = None) -> DataFrame:
     """``df`` laid out once by ``key`` in the shared folder, as a table of this session.
 
     Tables with equal ``buckets`` are joined and grouped by ``key`` where they lie, without a
-    shuffle.  Each bucket is one file; size ``buckets`` to the table.
+    shuffle.  Each bucket is one file; there are as many as shuffle partitions unless given.
     """
     spark = df.sparkSession
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     unique = f"{name}_{uuid.uuid4().hex}"
     path = f"{scratch_root(spark).rstrip('/')}/{unique}"
     laid = df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key).option("path", path)

@@ -139,3 +139,29 @@ def test_leading_part(spark):
     df = spark.createDataFrame([(" WHERE x",), ("  ",), ("",)], "t string")
     got = [r[0] for r in df.select(it.leading_part(F.col("t"), "<|eot_id|>")).collect()]
     assert got == ["WHERE", " ", "<|eot_id|>"]
+
+
+def test_fingerprints_equal_multisets(spark):
+    """Random small results, many of them equal up to order, nulls and empty texts included."""
+    import collections
+    import random
+
+    rng = random.Random(3)
+    rows, expected = [], {}
+    values = [None, "", "a", "=", "b", "ab"]
+    for index in range(600):
+        pred = [rng.choices(values, k=rng.randint(0, 2)) if rng.random() < 0.95 else None for _ in range(rng.randint(0, 3))]
+        gold = rng.sample(pred, len(pred))
+        if rng.random() < 0.6:
+            gold = [rng.choices(values, k=len(v)) if v and rng.random() < 0.5 else v for v in gold][: rng.choice([None, -1])]
+        rows += [(index, side, v) for side, side_rows in (("pred", pred), ("gold", gold)) for v in side_rows]
+        if pred or gold:
+            count = lambda r: collections.Counter(None if v is None else tuple(v) for v in r)
+            expected[index] = (count(pred), count(gold))
+    table = spark.createDataFrame(rows, "index long, side string, vals array<string>").repartition(5)
+    found = {r["index"]: r.same_rows for r in ev.compare_results(table).collect()}
+    assert found == {i: p == g for i, (p, g) in expected.items()}
+    assert set(found.values()) == {True, False}
+    surplus = sorted(str((r["index"], r.side, None if r.vals is None else tuple(r.vals), r.n_rows)) for r in ev.surplus_rows(table).collect())
+    by_hand = [(i, side, v, n) for i, (p, g) in expected.items() for side, rest in (("pred", p - g), ("gold", g - p)) for v, n in rest.items()]
+    assert surplus == sorted(map(str, by_hand))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from forkline.operators import classify, evaluate, losses, sampling, scores
 from forkline.plans import all_queries, fixtures as fx
 
-WRITING = {"json_array_scan", "incremental_resume", "jsonl_roundtrip", "jsonl_tolerant", "class_files", "incremental_divergences", "summary_file"}
+WRITING = {"json_array_splits", "land_rejects", "incremental_rejects", "class_files_rerun", "json_array_scan", "incremental_resume", "jsonl_roundtrip", "jsonl_tolerant", "class_files", "incremental_divergences", "summary_file"}
 
 
 def plan(df) -> str:
@@ -104,3 +104,65 @@ def test_no_local_checkpoint_and_no_collect():
             if isinstance(node, ast.Call) and isinstance(node.func, ast.Attribute)
         }
         assert not calls & {"localCheckpoint", "collect", "toPandas", "crossJoin", "foreach"}, path
+
+
+def test_offsets_meet_by_range(spark, small):
+    """Only sums over ranges of buckets reach a window without partitions."""
+    keys = spark.range(1000).withColumnRenamed("id", "index")
+    text = plan(sampling.seeded_rank(keys, "index", 1, bucket_rows=10))
+    windows = [line for line in text.splitlines() if line.startswith("Arguments: [") and "windowspecdefinition" in line]
+    by_bucket = [w for w in windows if "windowspecdefinition(_t" in w and "_b#" in w]
+    alone = [w for w in windows if w.rstrip().endswith("ASC NULLS FIRST]") and "], [" not in w]
+    assert by_bucket and alone and all("_t#" in w and "_b#" not in w for w in alone)
+
+
+@pytest.mark.parametrize("bucket_rows", [1, 7, 100_000])
+def test_ranks_are_those_of_one_sort(spark, bucket_rows):
+    import hashlib
+
+    keys = [(i,) for i in range(700)]
+    df = spark.createDataFrame(keys, "index long").repartition(4)
+    order = sorted((hashlib.md5(f"5:{i}".encode()).hexdigest(), i) for (i,) in keys)
+    expected = sorted((i, n) for n, (_, i) in enumerate(order))
+    assert sorted((r["index"], r["rank"]) for r in sampling.seeded_rank(df, "index", 5, bucket_rows=bucket_rows).collect()) == expected
+    few = sampling.seeded_rank(df, "index", 5, upto=33, bucket_rows=bucket_rows).collect()
+    assert sorted((r["index"], r["rank"]) for r in few) == [x for x in expected if x[1] < 33]
+    assert sampling.seeded_rank(df.limit(0), "index", 5, bucket_rows=bucket_rows).count() == 0
+
+
+def test_padding_moves_no_arrays(spark, small):
+    from forkline.operators import masks
+
+    arrays = [F.array(F.col("l_orderkey").cast("int")).alias(c) for c in masks.PADDING]
+    rows = fx.table(spark, small, "lineitem").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("index"), *arrays)
+    text = plan(masks.batch_pad(rows, 8, 0))
+    assert "Exchange hashpartitioning" not in text and "BroadcastHashJoin" in text
+    padded = masks.batch_pad(rows, 8, 0)
+    assert padded.filter(F.size("input_ids") != 1).count() == 0 and padded.count() == rows.count()
+
+
+def test_results_are_compared_with_one_shuffle(spark, small):
+    assert plan(evaluate.compare_results(fx.result_rows(spark, small))).count(") Exchange") == 1
+
+
+def test_bucketed_tables_meet_where_they_lie(spark, small):
+    from forkline.sources.tables import bucketed
+
+    rows = fx.exec_rows(spark, small)
+    sides = [bucketed(rows.select("index", c), c, buckets=4) for c in ("predict", "label")]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        aligned = evaluate.align_gold(*sides)
+        text = plan(aligned)
+        assert "Exchange" not in text and "SortMergeJoin" in text
+        assert aligned.count() == rows.count()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_landing_reads_its_file_once(spark, tmp_path):
+    from forkline.sources import tables
+
+    (tmp_path / "x.jsonl").write_text('{"index": 1}\n{')
+    parsed, bad = tables.parsed_lines(spark.read.text(str(tmp_path / "x.jsonl")), "predictions")
+    assert plan(parsed.withColumn("rejected", bad)).count("Scan text") <= 2  # tree and detail of one scan

@@ -96,3 +96,80 @@ def test_incremental_run_resumes(spark, tmp_path):
     columns = ["index", "prefix", "suffix", "normalized_predict", F.to_json("divergence_meta").alias("meta")]
     assert sorted(map(str, got.select(columns).collect())) == sorted(map(str, batch.select(columns).collect()))
     assert got.count() == 10
+
+
+def test_broken_lines_leave_the_stream_and_a_replay_adds_nothing(spark, tmp_path):
+    src, dst, state = (str(tmp_path / n) for n in ("src", "dst", "state"))
+    (tmp_path / "src").mkdir()
+    good = [json.dumps({"index": i, **r}) for i, r in enumerate(predictions(6))]
+    (tmp_path / "src" / "a.jsonl").write_text("\n".join([good[0], '{"index": 77', good[1], "", "not json"]))
+    incremental.run_incremental(spark, src, dst, state)
+    (tmp_path / "src" / "b.jsonl").write_text("\n".join([good[2], good[3], '{"index": "text"}', good[4]]))
+    incremental.run_incremental(spark, src, dst, state)
+
+    def found():
+        rows = sorted((r["index"], r.batch) for r in spark.read.parquet(dst).select("index", "batch").collect())
+        return rows, sorted((r.line, r.batch) for r in spark.read.parquet(f"{dst}-rejects").collect())
+
+    expected = ([(0, 0), (1, 0), (2, 1), (3, 1), (4, 1)], [("not json", 0), ('{"index": "text"}', 1), ('{"index": 77', 0)])
+    assert found() == expected
+    # The last batch was written, but the run ended before it was noted as done.
+    for path in (tmp_path / "state" / "commits").glob("*1*"):
+        path.unlink()
+    incremental.run_incremental(spark, src, dst, state)
+    assert found() == expected
+    (tmp_path / "src" / "c.jsonl").write_text(good[5])
+    incremental.run_incremental(spark, src, dst, state, rejects=str(tmp_path / "other"))
+    assert found()[0] == [*expected[0], (5, 2)] and spark.read.parquet(str(tmp_path / "other")).count() == 0
+
+
+def test_landing_counts_in_one_parse(spark, tmp_path):
+    good = [json.dumps({"index": i, "predict": "é", "extra": [1]}, ensure_ascii=False) for i in range(5)]
+    (tmp_path / "x.jsonl").write_text("\n".join([good[0], "{", good[1], "", "  ", "not json", *good[2:], "null"]) + "\n")
+    seen = tables.land_jsonl(spark, "predictions", str(tmp_path / "x.jsonl"), str(tmp_path / "table"))
+    rows, rejected = tables.read_landed(spark, "predictions", str(tmp_path / "table"))
+    assert seen == {"rows": 5, "rejected": 3}
+    assert sorted((r["index"], r.predict, r.label) for r in rows.collect()) == [(i, "é", None) for i in range(5)]
+    assert sorted(r.line for r in rejected.collect()) == ["not json", "null", "{"]
+    (tmp_path / "none.jsonl").write_text("\n")
+    assert tables.land_jsonl(spark, "predictions", str(tmp_path / "none.jsonl"), str(tmp_path / "none")) == {"rows": 0, "rejected": 0}
+
+
+@pytest.mark.parametrize("indent", [2, 4])
+def test_one_array_file_in_many_splits(spark, tmp_path, indent):
+    rows = [{"index": i, "prompt": "a\n  },\n  {\n b", "predict": "x" * (i % 50), "label": "]", "more": [{"a": [{}]}, {"b": 1}]} for i in range(800)]
+    (tmp_path / "big.json").write_text(json.dumps(rows, indent=indent))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        read = tables.read_array_splits(spark, "predictions", str(tmp_path / "big.json"), indent)
+        assert read.rdd.getNumPartitions() > 20
+        got = read.collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert sorted(got) == sorted(tables.read_table(spark, "predictions", str(tmp_path / "big.json"), "json_array").collect())
+    assert len(got) == 800
+
+
+def test_arrays_of_another_layout_are_refused(spark, tmp_path):
+    (tmp_path / "one.json").write_text(json.dumps(predictions(3)))
+    (tmp_path / "none.json").write_text("[]\n")
+    (tmp_path / "four.json").write_text(json.dumps(predictions(3), indent=4))
+    (tmp_path / "single.json").write_text(json.dumps(predictions(1), indent=2))
+    for name in ("one", "four"):
+        with pytest.raises(Exception, match="no array of objects"):
+            tables.read_array_splits(spark, "predictions", str(tmp_path / f"{name}.json")).collect()
+    assert tables.read_array_splits(spark, "predictions", str(tmp_path / "none.json")).count() == 0
+    assert tables.read_array_splits(spark, "predictions", str(tmp_path / "single.json")).count() == 1
+
+
+def test_a_rerun_replaces_its_partitions(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b"), (4, "c")], "n int, kind string")
+    path = str(tmp_path / "sets")
+    tables.write_set(rows, path, "parquet", partition_by="kind", mode="replace")
+    for _ in range(2):
+        tables.write_set(rows.filter("n IN (2, 3)"), path, "parquet", partition_by="kind", mode="replace")
+    assert sorted((r.n, r.kind) for r in spark.read.parquet(path).collect()) == [(2, "a"), (3, "b"), (4, "c")]
+    with pytest.raises(ValueError):
+        tables.write_set(rows, path, "parquet", mode="replace")
