@@ -244,6 +244,7 @@ def _sampled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         kept = [i for i in range(len(sizes)) if sizes[i] <= MAX_LINES]
         yield pd.DataFrame(
             {
+                "id": batch["id"].to_numpy()[kept],
                 "label": batch["label"].to_numpy()[kept],
                 "x": [np.packbits(x[ends[i] - sizes[i] : ends[i]].astype(bool)).tobytes() for i in kept],
                 "lengths": [lengths[ends[i] - sizes[i] : ends[i]].astype("<f4").tobytes() for i in kept],
@@ -252,7 +253,12 @@ def _sampled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE) -> Field:
-    """The field of the first ``sample`` labelled documents of each label by a hash of their ids."""
+    """The field of the first ``sample`` labelled documents of each label by a hash of their ids.
+
+    Documents of more than ``MAX_LINES`` lines take no part in the fit, though all are scored; if that
+    leaves no document of one label, the score is the share of good labels. Rows that repeat an id
+    in full count once.
+    """
     known = labels.select(F.col(doc_id).alias("id"), F.col(label).cast("int").alias("label")).filter("id IS NOT NULL AND label IN (0, 1)")
     shares = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if not shares:
@@ -264,13 +270,15 @@ def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
         picked = some if picked is None else picked.unionByName(some)
     rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
     # At most twice ``sample`` small rows: a bound that no table moves.
-    joined = rows.join(F.broadcast(picked), "id").select("label", "text")
-    found = joined.mapInPandas(_sampled, "label int, x binary, lengths binary").limit(4 * sample).toPandas()
+    joined = rows.join(F.broadcast(picked), "id").select(F.col("id").cast("string").alias("id"), "label", "text")
+    rows_of = joined.mapInPandas(_sampled, "id string, label int, x binary, lengths binary").distinct()
+    # Ids that repeat with other texts may give more rows; those of the smallest hashes are taken.
+    found = rows_of.orderBy(F.xxhash64("id", "x"), "id", "label", "x", "lengths").limit(4 * sample).toPandas()
     sizes = np.array([len(b) // 4 for b in found["lengths"]], np.int64)
     y = found["label"].to_numpy(np.int64)
     if not len(y) or y.min() == y.max():
         return Field(np.zeros(WIDTH), np.zeros((2, 2)), constant=prior)
-    order = np.lexsort((found["x"].map(hash), sizes, y))  # rows come in any order
+    order = sorted(range(len(y)), key=lambda i: (y[i], sizes[i], found["x"][i], found["lengths"][i]))  # rows come in any order
     parts = [np.unpackbits(np.frombuffer(found["x"][i], np.uint8), count=int(sizes[i]) * WIDTH).reshape(-1, WIDTH) for i in order]
     x = np.concatenate(parts).astype(np.float32)
     lengths = np.concatenate([np.frombuffer(found["lengths"][i], "<f4") for i in order]).astype(float)

@@ -262,7 +262,7 @@ _MAYBE = re.compile(r"[0-9@]")
 _SECRET = re.compile(r"(?i)token|secret|passw|key")
 
 
-def pseudonymise(text: str | None, key: bytes = KEY) -> tuple[str | None, list[tuple[str, int, int]]]:
+def pseudonymise(text: str | None, key: bytes) -> tuple[str | None, list[tuple[str, int, int]]]:
     """The text with pseudonyms, and where they are: kind, start, stop (in characters)."""
     if not text or not _MAYBE.search(text) and not _SECRET.search(text):
         return text, []
@@ -286,8 +286,8 @@ def _put(text: str, values: list[tuple[int, int, str]]) -> str:
     return "".join([*out, text[at:]])
 
 
-def pseudonymised(text: Column, key: bytes = KEY) -> Column:
-    """text and spans (kind, start, stop) as one struct."""
+def pseudonymised(text: Column, key: bytes) -> Column:
+    """text and spans (kind, start, stop) as one struct; ``key`` is the secret of the corpus."""
 
     @F.pandas_udf("struct<text:string,spans:array<struct<kind:string,start:int,stop:int>>>")
     def of(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -299,14 +299,14 @@ def pseudonymised(text: Column, key: bytes = KEY) -> Column:
     return of(text)
 
 
-def pseudonym_table(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", key: bytes = KEY) -> DataFrame:
+def pseudonym_table(docs: DataFrame, key: bytes, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, the changed text and its spans."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), pseudonymised(F.col(text), key).alias("made"))
     return rows.select("doc_id", "made.text", "made.spans")
 
 
-def replace_pii(docs: DataFrame, text: str = "text", key: bytes = KEY) -> DataFrame:
-    """``docs`` with all its columns, the text changed."""
+def replace_pii(docs: DataFrame, key: bytes, text: str = "text") -> DataFrame:
+    """``docs`` with all its columns, the text changed under the secret ``key``."""
 
     @F.pandas_udf(StringType())
     def of(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -317,6 +317,6 @@ def replace_pii(docs: DataFrame, text: str = "text", key: bytes = KEY) -> DataFr
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = pseudonym_table(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    found = pseudonym_table(spark.read.parquet(f"{sf_dir}/documents.parquet"), KEY)
     kinds = F.array_join(F.array_sort(F.array_distinct("spans.kind")), ",")
     return found.select("doc_id", "text", F.size("spans").cast("bigint").alias("n_values"), kinds.alias("kinds"))

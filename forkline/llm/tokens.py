@@ -19,6 +19,9 @@ GROUP = 1 << 20
 #: Pieces kept before the rarer half of them is forgotten, which bounds the memory.
 CACHE = 500_000
 END = 0
+#: Pieces that are encoded as one text.
+JOINED = 4096
+_WHITE = re.compile(r"\s")
 #: A character that no valid text holds.
 NAKED = "\ud800"
 
@@ -64,6 +67,8 @@ class Encoder:
         self.library.encode_special_tokens = True  # their strings in a text are ordinary text
         self.model = self.library.model
         self.drops_blanks = drops_blanks
+        self.leads = np.zeros(self.library.get_vocab_size(), bool)
+        self.leads[[n for token, n in self.library.get_vocab().items() if token.startswith(chr(_BYTES[0x20]))]] = True
         self._clear()
 
     def _alone(self, piece: str) -> str:
@@ -107,9 +112,29 @@ class Encoder:
         self.starts[numbers] = self.used + np.cumsum(sizes) - sizes
         self.used += len(ids)
 
+    def _learn_joined(self, fresh: list[str]) -> list[str]:
+        """Encode pieces without white space as one text, each behind a blank; what is left to do.
+
+        Only the first id of each piece begins with a blank, so these ids part the pieces.
+        """
+        inner = [p for p in fresh if p[:1] != NAKED and p and not _WHITE.search(p)]
+        left: list[str] = []
+        parts = [inner[at : at + JOINED] for at in range(0, len(inner), JOINED)]
+        for part, coded in zip(parts, self.library.encode_batch_fast([f" {' '.join(p)}" for p in parts], add_special_tokens=False)):
+            ids = np.array(coded.ids, np.uint32)
+            starts = np.flatnonzero(self.leads[ids])
+            if len(starts) != len(part):
+                left += part
+                continue
+            numbers = np.fromiter(map(self.known.__getitem__, part), np.int64, len(part))
+            self._put(numbers, np.diff(np.append(starts, len(ids))), ids)
+        return left + [p for p in fresh if p[:1] == NAKED or not p or _WHITE.search(p)]
+
     def _learn(self) -> None:
         """Encode what is new. A stop or comma behind a letter is a token of its own, so the rest is encoded without it."""
         fresh, self.known.fresh = self.known.fresh, []
+        if not self.drops_blanks:
+            fresh = self._learn_joined(fresh)
         closed = [p for p in fresh if p[-1:] in self.ends and "a" <= p[-2:-1] <= "z"]
         stems = np.fromiter((self.known[p[:-1]] for p in closed), np.int64, len(closed))
         whole = [p for p in fresh if not (p[-1:] in self.ends and "a" <= p[-2:-1] <= "z")] + self.known.fresh

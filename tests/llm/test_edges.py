@@ -51,7 +51,7 @@ OPERATORS = {
     "op3": (lambda d, b: quality.quality_rules(d), 11),
     "op6": (lambda d, b: tokenfile.token_files(d, packing.tokenizer_path("byte_bpe_50k.json"), per_file=4), 11),
     "op7": (lambda d, b: simhash.near_duplicates(d), 11),
-    "op9": (lambda d, b: pii.pseudonym_table(d), 11),
+    "op9": (lambda d, b: pii.pseudonym_table(d, pii.KEY), 11),
 }
 
 
@@ -74,6 +74,30 @@ def test_decontamination(spark, rows, clashing, bench):
     assert decontaminate.decontaminate(rows, bench.limit(0)).count() == 11
 
 
+def test_short_items_inside_long_documents(spark):
+    """Items of one to six words, wherever their words stand, against plain windows."""
+    import random
+
+    rng = random.Random(2)
+    words = "a b c d e f".split()
+    docs = [(i, " ".join(rng.choice(words) for _ in range(rng.randint(0, 12)))) for i in range(120)]
+    items = [(100 + n, " ".join(rng.choice(words) for _ in range(n % 6 + 1))) for n in range(24)]
+
+    def shingles(text, n):
+        w = text.split()
+        return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)}
+
+    expected = set()
+    for item, text in items:
+        n = min(5, len(text.split()))
+        own = shingles(text, n)
+        expected |= {(i, item, len(own), len(own & shingles(t, n))) for i, t in docs if 100 * len(own & shingles(t, n)) >= 80 * len(own)}
+    for some in (items, [x for x in items if len(x[1].split()) != 3], [x for x in items if len(x[1].split()) < 3]):
+        found = decontaminate.contained_items(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(some, "item_id bigint, text string"))
+        kept = {i for i, _ in some}
+        assert sorted(map(tuple, found.select("doc.id", "item_id", "n_item", "n_shared").collect())) == sorted(e for e in expected if e[1] in kept)
+
+
 def test_packing(spark, rows, clashing):
     for docs in (rows, clashing):
         made = packing.best_fit(docs, packing.tokenizer_path("word_bpe_49k.json"), shard=5).collect()
