@@ -147,6 +147,30 @@ def test_ids_are_those_of_the_library(docs, name, drops):
     assert [list(i) for i in Encoder(packing.tokenizer_path(name), drops).encode(texts)] == expected
 
 
+@pytest.mark.parametrize("name, drops, change", [("byte_bpe_50k.json", False, "prefix"), ("byte_bpe_50k.json", False, "lower"), ("word_bpe_49k.json", True, "order")])
+def test_other_vocabularies_encode_whole_texts(tmp_path, docs, name, drops, change):
+    """A vocabulary that cuts or normalises otherwise is not taken apart."""
+    import json
+
+    from tokenizers import Tokenizer
+
+    with open(packing.tokenizer_path(name), encoding="utf-8") as file:
+        conf = json.load(file)
+    if change == "prefix":
+        conf["pre_tokenizer"]["add_prefix_space"] = True
+    elif change == "lower":
+        conf["normalizer"] = {"type": "Lowercase"}
+    else:
+        conf["normalizer"]["normalizers"].reverse()
+    (tmp_path / "other.json").write_text(json.dumps(conf))
+    library = Tokenizer.from_file(str(tmp_path / "other.json"))
+    library.encode_special_tokens = True
+    texts = [t for _, t in docs][:50] + odd_texts()[:200]
+    other = Encoder(str(tmp_path / "other.json"), drops)
+    assert other.whole and not Encoder(packing.tokenizer_path(name), drops).whole
+    assert [list(i) for i in other.encode([*texts, None])] == [[*e.ids, 0] for e in library.encode_batch([*texts, ""], add_special_tokens=False)]
+
+
 def test_long_text_in_steps(monkeypatch, docs):
     from forkline.llm import tokens
 
