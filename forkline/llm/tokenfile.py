@@ -12,10 +12,10 @@ file_no, row_no, doc_id, n_tokens, blocks (32-bit word offsets) and words (littl
 bytes). Parquet is the envelope because its writers commit whole files on any store, also
 when executors are lost; a record's payload is the binary format itself.
 
-Order. Texts are encoded where they are read. The coded records, smaller than the texts, are
-stored, dealt to files by ranges of the id, ties by a hash of the text, and sorted there; how many
-files follows from documents and ids. ``start`` is a running sum inside each file plus the
-totals of the files before it.
+Order. Documents are dealt to files by ranges of their id, ties by a hash of the text, and
+sorted there before they are encoded, so texts move once and ids never do. How many files follows from the
+number of documents and their bytes. ``start`` is a running sum inside each file plus the totals of the files
+before it.
 
 Nulls: a null text is the end id alone. Documents without an id come first; the hash spreads
 them over files like any others, and it decides the order among equal ids. Rows that repeat
@@ -34,21 +34,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from forkline.llm.common import keep_table
 from forkline.llm.packing import tokenizer_path
 from forkline.llm.tokens import encoder
 from forkline.session import scratch_root
 
 BLOCK = 256
-#: Documents and ids of a file, about.
-PER_FILE, FILE_TOKENS = 20_000, 1 << 23
+#: Documents and bytes of text that a file is made for.
+PER_FILE, FILE_BYTES = 20_000, 1 << 24
 #: Ids in a word by selector, and bits of each: 60 // count.
 COUNTS = (60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1)
 WIDTHS = tuple(60 // n for n in COUNTS)
 ESCAPE = 15
 #: Bits of the values that nearly all ids are among.
 _SMALL = np.array([max(1, v.bit_length()) for v in range(1 << 16)], np.uint8)
-CODED = "key string, tie bigint, n_tokens bigint, blocks array<int>, words binary"
 SCHEMA = "file_no int, row_no bigint, key string, n_tokens bigint, blocks array<int>, words binary"
 
 
@@ -75,9 +73,13 @@ def encode_blocks(values: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.
     if not n:
         return np.zeros(0, "<u8"), np.zeros(len(ends) + 1, np.int64)
     bits = _bits(values)
-    room = np.repeat(ends, np.diff(np.concatenate([[0], ends]))) - np.arange(n)
+    sizes = np.diff(np.concatenate([[0], ends]))
+    # Places left in the block, 60 at most: bytes are enough for all that is compared.
+    room = np.full(n, 60, np.uint8)
+    for back in range(1, min(60, int(sizes.max())) + 1):
+        room[(ends - back)[sizes >= back]] = back
     # Widest value in the next ``count`` ones; windows that leave the block do not count.
-    selector = np.full(n, len(COUNTS) - 1, np.int64)
+    selector = np.full(n, len(COUNTS) - 1, np.uint8)
     widest, span = bits, 1
     for k in range(len(COUNTS) - 2, -1, -1):
         count = COUNTS[k]
@@ -87,9 +89,9 @@ def encode_blocks(values: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.
             shifted[: n - step] = widest[step:]
             widest = np.maximum(widest, shifted)
             span += step
-        selector[(room >= count) & (widest <= WIDTHS[k])] = k
+        np.putmask(selector, (room >= count) & (widest <= WIDTHS[k]), k)
     selector[bits > 60] = ESCAPE
-    taken = np.array([*COUNTS, 0, 1])[selector]
+    taken = np.array([*COUNTS, 0, 1], np.uint8)[selector]
     # From word to word in all blocks at once.
     at_word = np.concatenate([[0], ends[:-1]])
     limit = np.asarray(ends)
@@ -100,7 +102,7 @@ def encode_blocks(values: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.
         steps.append(at_word)
         at_word = at_word + taken[at_word]
     heads = np.sort(np.concatenate(steps))
-    kind = selector[heads]
+    kind = selector[heads].astype(np.int64)
     size = 1 + (kind == ESCAPE)
     at = np.cumsum(size) - size
     words = np.zeros(int(size.sum()), np.uint64)
@@ -170,16 +172,15 @@ def encode_documents(texts: list[np.ndarray]) -> list[tuple[int, list[int], byte
 
 def _records(path: str):
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tokens = encoder(path, drops_blanks=False)
+        tokens, row = encoder(path, drops_blanks=False), 0
         for batch in batches:
-            keys, ties, at, size, group = batch["key"].to_numpy(), batch["tie"].to_numpy(), 0, 0, []
+            files, keys, size, group = batch["file_no"].to_numpy(), iter(batch["key"].tolist()), 0, []
 
             def frame():
-                nonlocal at
+                nonlocal row
                 made = encode_documents(group)
-                part = slice(at, at + len(made))
-                at += len(made)
-                return pd.DataFrame({"key": keys[part], "tie": ties[part], "n_tokens": [m[0] for m in made], "blocks": [m[1] for m in made], "words": [m[2] for m in made]})
+                row += len(made)
+                return pd.DataFrame({"file_no": files[: len(made)], "row_no": np.arange(row - len(made), row), "key": [next(keys) for _ in made], "n_tokens": [m[0] for m in made], "blocks": [m[1] for m in made], "words": [m[2] for m in made]})
 
             for ids in tokens.encode(batch["text"].tolist()):
                 group.append(ids)
@@ -220,22 +221,14 @@ def _decoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield batch[["file_no", "row_no", "key", "n_tokens"]].assign(ids_crc32=np.array(crc, np.int64))
 
 
-def coded_records(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, tie, n_tokens, blocks and words of every text, in a table of its own, coded where texts are read."""
-    rows = docs.select(F.col(doc_id).cast("string").alias("key"), F.xxhash64(text).alias("tie"), F.col(text).alias("text"))
-    return keep_table(docs.sparkSession, rows.mapInPandas(_records(path), CODED), "coded")
-
-
-def write_token_files(docs: DataFrame, path: str, target: str, doc_id: str = "doc_id", text: str = "text", per_file: int = PER_FILE, file_tokens: int = FILE_TOKENS) -> None:
+def write_token_files(docs: DataFrame, path: str, target: str, doc_id: str = "doc_id", text: str = "text", per_file: int = PER_FILE, file_bytes: int = FILE_BYTES) -> None:
     """Encode every text and write the token files to ``target``."""
-    coded = coded_records(docs, path, doc_id, text)
-    sums = coded.agg(F.count("*").alias("n"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("tokens")).first()
-    files = max(1, -(-sums["n"] // per_file), -(-sums["tokens"] // file_tokens))
-    order = (F.col("key").cast(docs.schema[doc_id].dataType), F.col("tie"))
-    ordered = coded.repartitionByRange(files, *order).sortWithinPartitions(*order)
-    row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))  # of the task's own rows
-    filed = ordered.select(F.spark_partition_id().alias("file_no"), row.alias("row_no"), "key", "n_tokens", "blocks", "words")
-    filed.write.parquet(target)
+    sums = docs.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).alias("bytes")).first()
+    files = max(1, -(-sums["n"] // per_file), -(-sums["bytes"] // file_bytes))
+    rows = docs.select(F.col(doc_id).alias("id"), F.xxhash64(text).alias("tie"), F.col(text).alias("text"))
+    ordered = rows.repartitionByRange(files, "id", "tie").sortWithinPartitions("id", "tie")
+    filed = ordered.select(F.spark_partition_id().alias("file_no"), F.col("id").cast("string").alias("key"), "text")
+    filed.mapInPandas(_records(path), SCHEMA).write.parquet(target)
 
 
 def read_token_files(spark: SparkSession, target: str) -> DataFrame:

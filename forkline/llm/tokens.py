@@ -20,9 +20,6 @@ GROUP = 1 << 20
 #: Pieces kept before the rarer half of them is forgotten, which bounds the memory.
 CACHE = 500_000
 END = 0
-#: Pieces that are encoded as one text.
-JOINED = 4096
-_WHITE = re.compile(r"\s")
 #: A character that no valid text holds.
 NAKED = "\ud800"
 
@@ -94,8 +91,7 @@ class Encoder:
         self.model = self.library.model
         self.drops_blanks = drops_blanks
         self.whole = not _parts_at_blanks(json.loads(definition), drops_blanks)
-        self.leads = np.zeros(self.library.get_vocab_size(), bool)
-        self.leads[[n for token, n in self.library.get_vocab().items() if token.startswith(chr(_BYTES[0x20]))]] = True
+        self.blank = chr(_BYTES[0x20])
         self._clear()
 
     def _alone(self, piece: str) -> str:
@@ -139,41 +135,25 @@ class Encoder:
         self.starts[numbers] = self.used + np.cumsum(sizes) - sizes
         self.used += len(ids)
 
-    def _learn_joined(self, fresh: list[str]) -> list[str]:
-        """Encode pieces without white space as one text, each behind a blank; what is left to do.
-
-        Only the first id of each piece begins with a blank, so these ids part the pieces.
-        """
-        inner = [p for p in fresh if p[:1] != NAKED and p and not _WHITE.search(p)]
-        left: list[str] = []
-        parts = [inner[at : at + JOINED] for at in range(0, len(inner), JOINED)]
-        for part, coded in zip(parts, self.library.encode_batch_fast([f" {' '.join(p)}" for p in parts], add_special_tokens=False)):
-            ids = np.array(coded.ids, np.uint32)
-            starts = np.flatnonzero(self.leads[ids])
-            if len(starts) != len(part):
-                left += part
-                continue
-            numbers = np.fromiter(map(self.known.__getitem__, part), np.int64, len(part))
-            self._put(numbers, np.diff(np.append(starts, len(ids))), ids)
-        return left + [p for p in fresh if p[:1] == NAKED or not p or _WHITE.search(p)]
-
     def _learn(self) -> None:
         """Encode what is new. A stop or comma behind a letter is a token of its own, so the rest is encoded without it."""
         fresh, self.known.fresh = self.known.fresh, []
-        if not self.drops_blanks:
-            fresh = self._learn_joined(fresh)
         closed = [p for p in fresh if p[-1:] in self.ends and "a" <= p[-2:-1] <= "z"]
         stems = np.fromiter((self.known[p[:-1]] for p in closed), np.int64, len(closed))
         whole = [p for p in fresh if not (p[-1:] in self.ends and "a" <= p[-2:-1] <= "z")] + self.known.fresh
         self.known.fresh = []
         coded: list[list[int]] = [[]] * len(whole)
         mixed = []
-        for n, text in enumerate(map(self._alone, whole)):
-            word = text[1:] if text[:1] == " " else text
+        lead, cut = "" if self.drops_blanks else self.blank, self.model.tokenize
+        for n, word in enumerate(whole):
             # Letters that the library's normalisation leaves alone are one word to it, which
-            # may go to its merges at once.
-            if word.isalpha() and (word.isascii() or max(word) <= "\xff") and not (self.drops_blanks and word != word.lower()):
-                coded[n] = [t.id for t in self.model.tokenize(text.encode().decode("latin-1").translate(_BYTES))]
+            # may go to its merges at once; those of ASCII are spelled as they are.
+            if not word.isalpha() or self.drops_blanks and word != word.lower():
+                mixed.append(n)
+            elif word.isascii():
+                coded[n] = [t.id for t in cut(lead + word)]
+            elif max(word) <= "\xff":
+                coded[n] = [t.id for t in cut(lead + word.encode().decode("latin-1").translate(_BYTES))]
             else:
                 mixed.append(n)
         for n, e in zip(mixed, self.library.encode_batch_fast([self._alone(whole[n]) for n in mixed], add_special_tokens=False)):
@@ -240,9 +220,9 @@ class Encoder:
     def encode(self, texts: list[str | None]) -> Iterator[np.ndarray]:
         """The ids of each text with the end id behind them, in order."""
         if self.whole:
-            for at in range(0, len(texts), 64):
-                for coded in self.library.encode_batch_fast([t or "" for t in texts[at : at + 64]], add_special_tokens=False):
-                    yield np.append(np.array(coded.ids, np.uint32), np.uint32(END))
+            for text in texts:
+                coded = self.library.encode_batch_fast([text or ""], add_special_tokens=False)[0]
+                yield np.append(np.array(coded.ids, np.uint32), np.uint32(END))
             return
         group: list[str] = []
         parts: list[int] = []

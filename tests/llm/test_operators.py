@@ -133,7 +133,7 @@ def test_scores(spark, small, docs):
 def odd_texts():
     rng = random.Random(3)
     parts = ["a", "B", " ", "  ", "\n", "\t", "'s", "é", "́", "1", "12", "!", "日本", "\x1f", "\x0b", "ﬁ", "'", "Σ", "İ", " ", "<|endoftext|>"]
-    return ["", " ", "\n\n", "a \n \tb", *("".join(rng.choice(parts) for _ in range(rng.randint(0, 40))) for _ in range(2000))]
+    return ["", " ", "\n\n", "a \n \tb", "mark \ufdd0 inside", "\ufdd0", *("".join(rng.choice(parts) for _ in range(rng.randint(0, 40))) for _ in range(2000))]
 
 
 @pytest.mark.parametrize("name, drops", [("byte_bpe_50k.json", False), ("word_bpe_49k.json", True)])
