@@ -1,10 +1,15 @@
-"""Best-fit packing of token sequences with a swap-based local search.
+"""Best-fit packing of token sequences by a swap-based local search.
 
-Every text is encoded whole, and only texts of more than ``CAPACITY`` ids are cut. Best fit
-in falling order of length gives a first packing. A local search then works on the sequences
-that are not full: a piece moves to another sequence, or is exchanged for a shorter one there,
+Every text is encoded whole, and only texts of more than ``CAPACITY`` ids are cut. At first every
+piece is a sequence of its own, in order of arrival. The local search does all of the packing: a piece
+moves to the fullest sequence that has room for it, or is exchanged for a shorter one elsewhere,
 or two are exchanged for one, whenever this makes the sum of the squared fills grow. Growing
-squares pull pieces away from the emptiest sequences until some have none left.
+squares pull pieces away from the emptier sequences until these have none left. Moves come first, from
+the fullest sequence down, so that short pieces are left to fill the last gaps; then moves and
+exchanges, from the emptiest sequence up. For every length of piece, the sequences that are not full
+and hold one are kept in order of their room, up to date after every step, so the best partner of
+an exchange is always found. The search ends when no step improves, or when no fewer sequences
+can hold the pieces.
 
 Scale. Texts are encoded where they are read and never moved; only one small row per piece is.
 Pieces are dealt to shards of about ``SHARD`` by a number fixed when they were written, so
@@ -20,6 +25,7 @@ from __future__ import annotations
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from heapq import heappop, heappush
 
 import numpy as np
 import pandas as pd
@@ -31,32 +37,30 @@ from forkline.llm.tokens import encoder
 
 CAPACITY = 2048
 SHARD = 20_000
-#: Passes of the local search over the sequences of a shard that are not full.
-ROUNDS = 20
 
 
 class Bins:
     """Sequences of a shard, each a list of pieces; open ones are found by what is free in them."""
 
     def __init__(self, sizes: np.ndarray, capacity: int):
-        self.sizes, self.capacity = sizes.tolist(), capacity
+        self.sizes, self.capacity = np.asarray(sizes, np.int64).tolist(), capacity
         self.items: list[list[int]] = []
         self.fill: list[int] = []
         self.open: list[set[int]] = [set() for _ in range(capacity + 1)]
         self.mask = 0  # bit r: some sequence has r free
-        for item in sorted(range(len(self.sizes)), key=lambda i: (-self.sizes[i], i)):
-            at = self._fullest(self.sizes[item])
-            if at is None:
-                at = len(self.items)
-                self.items.append([])
-                self.fill.append(0)
-            else:
-                self._close(at)
-            self.items[at].append(item)
-            self.fill[at] += self.sizes[item]
+        self.items = [[item] for item in range(len(self.sizes))]
+        self.fill = list(self.sizes)
+        self.used = sum(1 for f in self.fill if f)
+        # For each size: sequences that hold such a piece, by their room, and the most room among
+        # them. Entries and rooms may be out of date, but never too small.
+        self.holders: list[list[tuple[int, int]]] | None = None
+        self.room = np.full(capacity + 1, -1, np.int64)
+        self.lengths = np.arange(capacity + 1)
+        for at in range(len(self.items)):
             self._reopen(at)
 
     def _close(self, at: int) -> None:
+        """Take a sequence out of those found by their room, while it is worked on."""
         free = self.capacity - self.fill[at]
         self.open[free].discard(at)
         if not self.open[free]:
@@ -67,95 +71,105 @@ class Bins:
         if 0 < free < self.capacity:
             self.open[free].add(at)
             self.mask |= 1 << free
+            if self.holders is not None:
+                for size in {self.sizes[i] for i in self.items[at]}:
+                    heappush(self.holders[size], (-free, at))
+                    if free > self.room[size]:
+                        self.room[size] = free
 
     def _fullest(self, size: int) -> int | None:
         """An open sequence with room for ``size`` and as little more as possible."""
         fitting = self.mask >> size
         if not fitting:
             return None
-        return min(self.open[size + (fitting & -fitting).bit_length() - 1])
-
-    def _give(self, item: int, source: int, target: int) -> None:
-        """``source`` is closed while it is worked on."""
-        self._close(target)
-        self.items[source].remove(item)
-        self.items[target].append(item)
-        self.fill[source] -= self.sizes[item]
-        self.fill[target] += self.sizes[item]
-        self._reopen(target)
+        return next(iter(self.open[size + (fitting & -fitting).bit_length() - 1]))
+
+    def _roomiest(self, size: int, source: int) -> int | None:
+        """The sequence but ``source`` with most room that holds a piece of ``size``."""
+        heap, aside = self.holders[size], None
+        found = None
+        while heap:
+            free, at = heap[0]
+            current = self.capacity - self.fill[at] == -free and 0 < -free < self.capacity
+            if not current or not any(self.sizes[i] == size for i in self.items[at]):
+                heappop(heap)
+            elif at == source:
+                aside = heappop(heap)
+            else:
+                found = at
+                break
+        self.room[size] = max(-heap[0][0] if heap else -1, -aside[0] if aside else -1)
+        if aside:
+            heappush(heap, aside)
+        return found
 
     def count(self) -> int:
-        return sum(1 for f in self.fill if f)
+        return self.used
 
-    def improve(self, rounds: int = ROUNDS) -> None:
+    def improve(self) -> None:
         """Moves and exchanges that raise the sum of squared fills, while there are any.
 
         It ends early once no fewer sequences can hold the pieces.
         """
         large = sum(1 for size in self.sizes if 2 * size > self.capacity)  # no two of them fit together
         least = max(large, -(-sum(self.sizes) // self.capacity))
-        for _ in range(rounds):
-            if self.count() <= least:
-                return
-            underfull = sorted((b for b in range(len(self.items)) if 0 < self.fill[b] < self.capacity), key=lambda b: self.fill[b])
-            where, room = self._roomiest(underfull)
-            changed = False
-            for source in underfull:
-                if not 0 < self.fill[source] < self.capacity:
-                    continue
-                self._close(source)
-                while self.fill[source] and (self._move(source) or self._exchange(source, where, room)):
-                    changed = True
-                self._reopen(source)
-            if not changed:
-                return
-
-    def _roomiest(self, among: list[int]) -> tuple[np.ndarray, np.ndarray]:
-        """For each size of piece the sequence with most room that holds one, and that room."""
-        where = np.full(self.capacity + 1, -1, np.int64)
-        room = np.full(self.capacity + 1, -1, np.int64)
-        for b in among:
-            free = self.capacity - self.fill[b]
-            for item in self.items[b]:
-                if free > room[self.sizes[item]]:
-                    room[self.sizes[item]], where[self.sizes[item]] = free, b
-        return where, room
+        for step in (self._move, self._improve_once):
+            changed = True
+            while changed:
+                changed = False
+                underfull = sorted((b for b in range(len(self.items)) if 0 < self.fill[b] < self.capacity), key=lambda b: (-self.fill[b] if step == self._move else self.fill[b], b))
+                if step != self._move and self.holders is None:
+                    self.holders = [[] for _ in range(self.capacity + 1)]
+                    for b in underfull:
+                        self._reopen(b)
+                for source in underfull:
+                    if self.used <= least:
+                        return
+                    if not 0 < self.fill[source] < self.capacity:
+                        continue
+                    self._close(source)
+                    while self.fill[source] and step(source):
+                        changed = True
+                    if not self.fill[source]:
+                        self.used -= 1
+                    self._reopen(source)
+
+    def _improve_once(self, source: int) -> bool:
+        return self._move(source) or self._exchange(source)
 
     def _move(self, source: int) -> bool:
-        for item in sorted(self.items[source], key=lambda i: -self.sizes[i]):
-            target = self._fullest(self.sizes[item])
-            if target is not None and self.fill[target] + self.sizes[item] > self.fill[source]:
-                self._give(item, source, target)
+        """A piece of ``source`` to the fullest sequence that has room for it, longest first."""
+        for item in sorted(self.items[source], key=lambda i: (-self.sizes[i], i)):
+            size = self.sizes[item]
+            target = self._fullest(size)
+            if target is not None and self.fill[target] + size > self.fill[source]:
+                self._close(target)
+                self.items[source].remove(item)
+                self.items[target].append(item)
+                self.fill[source] -= size
+                self.fill[target] += size
+                self._reopen(target)
                 return True
         return False
 
-    def _exchange(self, source: int, where: np.ndarray, room: np.ndarray) -> bool:
-        """One or two pieces of ``source`` for a shorter one elsewhere.
-
-        The tables are those of the start of the round; what has changed since is left to
-        the next one.
-        """
-        own = self.items[source]
+    def _exchange(self, source: int) -> bool:
+        """One or two pieces of ``source`` for a shorter one elsewhere."""
         by_size: dict[int, list[int]] = defaultdict(list)
-        for i in own:
+        for i in self.items[source]:
             by_size[self.sizes[i]].append(i)
         some = [i for same in by_size.values() for i in same[:2]]  # equal pieces are as good as each other
         groups = [(i,) for i in some] + [(a, b) for n, a in enumerate(some) for b in some[n + 1 :]]
-        lengths = np.arange(self.capacity + 1)
         for group in sorted(groups, key=lambda g: -sum(self.sizes[i] for i in g)):
             total = sum(self.sizes[i] for i in group)
             shortest = max(0, total - self.capacity)
-            for size in (np.flatnonzero(room[shortest:total] >= total - lengths[shortest:total]) + shortest).tolist():
-                target = int(where[size])
-                free = self.capacity - self.fill[target]
-                if target == source or not 0 < free < self.capacity or total - size > free or self.fill[target] + total - size <= self.fill[source]:
-                    continue
-                other = next((i for i in self.items[target] if self.sizes[i] == size), None)
-                if other is None:
+            for size in (np.flatnonzero(self.room[shortest:total] >= total - self.lengths[shortest:total]) + shortest).tolist():
+                target = self._roomiest(size, source)
+                if target is None or total - size > self.capacity - self.fill[target] or self.fill[target] + total - size <= self.fill[source]:
                     continue
+                other = next(i for i in self.items[target] if self.sizes[i] == size)
+                self._close(target)
                 for item in group:
                     self.items[source].remove(item)
-                self._close(target)
                 self.items[target].remove(other)
                 self.items[target] += group
                 self.items[source].append(other)
@@ -166,10 +180,10 @@ class Bins:
         return False
 
 
-def pack(sizes: np.ndarray, capacity: int = CAPACITY, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
+def pack(sizes: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray]:
     """For each piece its sequence, and its place there."""
-    bins = Bins(np.asarray(sizes, np.int64), capacity)
-    bins.improve(rounds)
+    bins = Bins(sizes, capacity)
+    bins.improve()
     at, offset = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64)
     for number, items in enumerate(bins.items):
         place = 0
@@ -207,10 +221,10 @@ def token_pieces(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str =
     return keep_table(docs.sparkSession, numbered, "pieces")
 
 
-def _packed_shard(capacity: int, rounds: int):
+def _packed_shard(capacity: int):
     def rows(shard: pd.DataFrame) -> pd.DataFrame:
         shard = shard.sort_values("number", kind="stable").reset_index(drop=True)
-        at, offset = pack(shard["length"].to_numpy(), capacity, rounds)
+        at, offset = pack(shard["length"].to_numpy(), capacity)
         shard["sequence_id"] = shard["shard"].astype("int64") * (1 << 32) + at
         shard["offset"] = offset
         return shard[["key", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]]
@@ -218,14 +232,14 @@ def _packed_shard(capacity: int, rounds: int):
     return rows
 
 
-def best_fit(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, shard: int = SHARD, rounds: int = ROUNDS) -> DataFrame:
+def best_fit(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, shard: int = SHARD) -> DataFrame:
     """A row per piece with its sequence and its place there."""
     pieces = token_pieces(docs, path, doc_id, text, capacity)
     kind = pieces.schema["doc_id"].dataType
     shards = max(1, -(-pieces.count() // shard))
     dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("number"), F.lit(shards))).withColumn("doc_id", F.col("doc_id").cast("string")).withColumnRenamed("doc_id", "key")
     schema = "key string, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint"
-    packed = dealt.groupBy("shard").applyInPandas(_packed_shard(capacity, rounds), schema)
+    packed = dealt.groupBy("shard").applyInPandas(_packed_shard(capacity), schema)
     return packed.withColumn("key", F.col("key").cast(kind)).withColumnRenamed("key", "doc_id")
 
 

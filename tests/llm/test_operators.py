@@ -232,11 +232,34 @@ def test_search_only_improves(seed):
     assert all(sum(bins.sizes[i] for i in items) == fill for items, fill in zip(bins.items, bins.fill))
 
 
+def best_fit_decreasing(sizes, capacity):
+    fills = []
+    for size in sorted(sizes, reverse=True):
+        fitting = [n for n, f in enumerate(fills) if f + size <= capacity]
+        if fitting:
+            fills[max(fitting, key=lambda n: fills[n])] += size
+        else:
+            fills.append(size)
+    return len(fills)
+
+
 def test_search_empties_sequences():
-    bins = packing.Bins(np.random.default_rng(0).integers(500, 1200, 1000), 2048)
-    best_fit = bins.count()
+    sizes = np.random.default_rng(0).integers(500, 1200, 1000)
+    bins = packing.Bins(sizes, 2048)
+    start = bins.count()
+    bins.improve()
+    assert bins.count() == sum(1 for i in bins.items if i) < start
+    assert bins.count() <= best_fit_decreasing(sizes.tolist(), 2048)
+
+
+def test_search_reaches_the_bound(spark, small, docs):
+    """From next fit on, the search alone brings the documents to the least number of sequences."""
+    ids = Encoder(packing.tokenizer_path("word_bpe_49k.json"), True).encode([t for _, t in docs])
+    sizes = np.array([len(part[a : a + 2048]) for part in ids for a in range(0, len(part), 2048)])
+    bins = packing.Bins(sizes, 2048)
+    start = bins.count()
     bins.improve()
-    assert bins.count() < best_fit
+    assert bins.count() == -(-int(sizes.sum()) // 2048) < start
 
 
 # ---------------------------------------------------------------- op7
