@@ -109,11 +109,14 @@ def test_packing(spark, rows, clashing):
 def test_language_model(spark, rows, clashing):
     for docs in (rows, clashing):
         corpus = recurrent.count_tokens(docs, head=5)
-        got = recurrent.score_documents(docs, corpus, recurrent.fit(docs, corpus))
+        encoded = recurrent.encode(docs, corpus, F.lit(True))
+        got = recurrent.score_documents(encoded, corpus, recurrent.fit(encoded, corpus))
         assert got.count() == 11 and got.filter("score IS NULL OR n_known <> n_tokens OR isnan(score)").count() == 0
     none = recurrent.count_tokens(rows.limit(0))
-    assert recurrent.fit(rows.limit(0), none) is not None
-    got = recurrent.score_documents(rows, none, recurrent.fit(rows.limit(0), none)).collect()
+    nothing = recurrent.encode(rows.limit(0), none, F.lit(True))
+    untrained = recurrent.fit(nothing, none)
+    assert recurrent.score_documents(nothing, none, untrained).count() == 0
+    got = recurrent.score_documents(recurrent.encode(rows, none, F.lit(False)), none, untrained).collect()
     assert len(got) == 11 and all(r["n_known"] == 0 and r["base_score"] == 0 for r in got)
 
 

@@ -82,8 +82,8 @@ def test_repeated_words(spark):
 
 def test_gradient():
     rng = np.random.default_rng(0)
-    flat = recurrent.initial(rng.integers(1, 100, recurrent.REST), 50.0).astype(np.float64)
-    before, target = rng.integers(0, recurrent.REST + 1, (5, 3)), rng.integers(0, recurrent.REST + 1, (5, 3))
+    flat = recurrent.initial(rng.integers(1, 100, recurrent.REST), rng.integers(1, 50, recurrent.TAILS)).astype(np.float64)
+    before, target = rng.integers(0, recurrent.SYMBOLS, (5, 3)), rng.integers(0, recurrent.SYMBOLS, (5, 3))
     before[2, 1] = 0
     h = rng.normal(size=(3, recurrent.HIDDEN))
     grad, _, _ = recurrent.window_gradient(flat, h, before, target)
@@ -98,20 +98,70 @@ def test_gradient():
 
 def test_windows_carry_the_state():
     rng = np.random.default_rng(2)
-    flat = recurrent.initial(rng.integers(1, 100, recurrent.REST), 50.0)
-    seqs = [np.append(rng.integers(1, recurrent.REST + 1, n), 0) for n in (0, 1, 7, 100, 33)]
+    flat = recurrent.initial(rng.integers(1, 100, recurrent.REST), rng.integers(1, 50, recurrent.TAILS))
+    seqs = [np.append(rng.integers(1, recurrent.SYMBOLS, n), 0) for n in (0, 1, 7, 100, 33)]
     whole = recurrent.log_likelihoods(flat, seqs, window=1000)
     assert np.allclose(whole, recurrent.log_likelihoods(flat, seqs, window=4), atol=1e-3)
     assert np.allclose(whole, [recurrent.log_likelihoods(flat, [s])[0] for s in seqs], atol=1e-3)
 
 
 def test_next_tokens_add_up_to_one():
-    flat = recurrent.initial(np.arange(1, recurrent.REST + 1), 50.0, seed=3)
-    every = [np.array([5, 9, t]) for t in range(recurrent.REST + 1)]
+    flat = recurrent.initial(np.arange(1, recurrent.REST + 1), np.arange(recurrent.TAILS), seed=3)
+    every = [np.array([5, 9, t]) for t in range(recurrent.SYMBOLS)]
     start = recurrent.log_likelihoods(flat, [np.array([5, 9])])[0]
     assert math.isclose(np.exp(recurrent.log_likelihoods(flat, every) - start).sum(), 1, abs_tol=1e-4)
 
 
+def plain_score(flat, words, corpus_counts, own, tails):
+    """Token by token with loops: the natural-log network and the shares inside the classes of other words, in log10."""
+    p = {k: v.astype(float) for k, v in recurrent.unpack(flat).items()}
+    h, before, total = np.zeros(recurrent.HIDDEN), 0, 0.0
+    n = recurrent.HIDDEN
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    softmax = lambda z: np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+    for word in [*words, b""]:
+        given, state = p["inputs"][before], h @ p["state"]
+        reset, keep = sigmoid(given[:n] + state[:n]), sigmoid(given[n : 2 * n] + state[n : 2 * n])
+        new = np.tanh(given[2 * n :] + reset * (state[2 * n :] + p["state_bias"]))
+        h = keep * h + (1 - keep) * new
+        classes = softmax(h @ p["classes"] + p["class_bias"])
+        number = own.get(word)
+        if number is not None:
+            k, at = divmod(number, recurrent.PER_CLASS)
+            total += math.log10(classes[k]) + math.log10(softmax(h @ p["words"][k] + p["word_bias"][k])[at])
+            before = number
+        else:
+            k = (31 * word[-1] + (word[-2] if len(word) > 1 else 0)) % recurrent.TAILS
+            total += math.log10(classes[recurrent.CLASSES + k]) + math.log10((corpus_counts[word] + 1) / (tails[k][0] + tails[k][1] + 1))
+            before = recurrent.REST + k
+    return total
+
+
+@pytest.mark.parametrize("head", [1500, 100_000])
+def test_scores_token_by_token(spark, small, docs, head):
+    """The whole job against loops over single tokens, also where words lie past the head."""
+    from pyspark.sql import functions as F
+
+    table = spark.read.parquet(f"{small}/documents.parquet")
+    learns = ~recurrent.held_out(F.col("doc_id"))
+    corpus = recurrent.count_tokens(table.filter(learns), head=head)
+    encoded = recurrent.encode(table, corpus, learns)
+    flat = recurrent.fit(encoded, corpus)
+    tokens = {i: t.encode().lower().split() for i, t in docs}
+    count = collections.Counter(w for i in tokens if zlib.crc32(str(i).encode()) % 7 != 2 for w in [*tokens[i], b""])
+    own = {w: n for n, w in enumerate(corpus.words[: recurrent.REST])}
+    tails = collections.defaultdict(lambda: [0, 0])
+    for w, c in count.items():
+        if w not in own:
+            k = recurrent.tail_class(w)
+            tails[k][0] += c
+            tails[k][1] += 1
+    assert len(corpus.words) <= head + 1 and (head > 2000 or len(count) > len(corpus.words))
+    for r in recurrent.score_documents(encoded, corpus, flat).filter(F.col("doc_id") % 9 == 0).collect():
+        if len(tokens[r["doc_id"]]) < 2000:
+            assert math.isclose(r["score"], plain_score(flat, tokens[r["doc_id"]], count, own, tails), rel_tol=1e-3)
+
+
 def test_scores(spark, small, docs):
     found = rows_of(spark, small, "op4_lm_scoring")
     tokens = {i: [*t.encode().lower().split(), None] for i, t in docs}
