@@ -415,25 +415,29 @@ def _encoded(head: tuple[str, Broadcast], past: int):
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         numbers = _numbers(head)
         for batch in batches:
-            ids, tails = [], []
+            ids, tails, times = [], [], []
             for text in batch["text"]:
                 words = tokens_of(text)
                 own = np.fromiter(chain(map(numbers.get, words, repeat(past)), (0,)), np.int32, len(words) + 1)
                 outside = np.flatnonzero(own == past)
                 beyond = [words[i] for i in outside.tolist()]
-                own[outside] += np.fromiter(map(tail_class, beyond), np.int32, len(beyond))
+                # tail_class, spelled out
+                own[outside] += np.fromiter([(31 * w[-1] + (w[-2] if len(w) > 1 else 0)) % TAILS for w in beyond], np.int32, len(beyond))
                 ids.append(own.astype("<i4").tobytes())
-                tails.append([{"word": w.decode("utf-8", "surrogatepass"), "n": n} for w, n in Counter(beyond).items()])
-            yield pd.DataFrame({"key": batch["key"].to_numpy(), "turn": batch["turn"].to_numpy(), "ids": ids, "tail": tails})
+                distinct = Counter(beyond)
+                tails.append(b" ".join(distinct).decode("utf-8", "surrogatepass"))
+                times.append(np.fromiter(distinct.values(), np.int64, len(distinct)))
+            yield pd.DataFrame({"key": batch["key"].to_numpy(), "turn": batch["turn"].to_numpy(), "ids": ids, "tail": tails, "times": times})
 
     return rows
 
 
 def encode(docs: DataFrame, corpus: Corpus, learns: Column, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """number, key, turn, ids and tail of every document, in a table of its own, partitioned by round.
+    """number, key, turn, ids, tail and times of every document, in a table of its own, partitioned by round.
 
     ``learns``: which documents are learnt from; hashes of whole texts deal them to rounds. ``ids`` are
-    numbers of the head's words, or past it the classes of words; ``tail`` holds those words.
+    numbers of the head's words, or past it the classes of words; ``tail`` holds those words, joined by
+    blanks, and ``times`` how often each occurs.
     """
     spark = docs.sparkSession
     draw = F.pmod(F.xxhash64(F.coalesce(F.col(text), F.lit(""))), F.lit(sum(SHARES)))
@@ -442,9 +446,9 @@ def encode(docs: DataFrame, corpus: Corpus, learns: Column, doc_id: str = "doc_i
         upto -= SHARES[k]
         turn = F.when(draw < upto, F.lit(k - 1)).otherwise(turn)
     rows = docs.select(F.col(doc_id).cast("string").alias("key"), F.when(learns, turn).otherwise(F.lit(APART)).alias("turn"), F.col(text).alias("text"))
-    made = rows.mapInPandas(_encoded(_share(spark, corpus), len(corpus.words)), "key string, turn int, ids binary, tail array<struct<word:string,n:bigint>>")
+    made = rows.mapInPandas(_encoded(_share(spark, corpus), len(corpus.words)), "key string, turn int, ids binary, tail string, times array<bigint>")
     path = f"{scratch_root(spark).rstrip('/')}/forkline-encoded-{uuid.uuid4().hex}"
-    numbered = made.select(F.monotonically_increasing_id().alias("number"), "key", "ids", "tail", "turn")
+    numbered = made.select(F.monotonically_increasing_id().alias("number"), "key", "ids", "tail", "times", "turn")
     numbered.write.partitionBy("turn").parquet(path)
     return spark.read.schema(numbered.schema).parquet(path)
 
@@ -525,7 +529,8 @@ def score_documents(encoded: DataFrame, corpus: Corpus, flat: np.ndarray, kind:
     """doc_id (as ``kind``), turn, n_tokens, n_known, train_tokens, base_score and score of every document of the table."""
     schema = "number bigint, key string, n_tokens bigint, known bigint, head_sum double, lm double"
     run = encoded.select("number", "key", "ids").mapInPandas(_scored(flat, corpus.numbers, corpus.symbols, corpus.tails), schema)
-    tails = encoded.select("number", F.explode("tail").alias("t")).select("number", F.col("t.word").alias("word"), F.col("t.n").alias("n"))
+    beyond = encoded.filter(F.size("times") > 0).select("number", "times", F.posexplode(F.split("tail", " ")).alias("at", "word"))
+    tails = beyond.select("number", "word", F.get("times", "at").alias("n"))
     found = tails.join(corpus.counts.select(F.col("word").alias("of"), F.col("n").alias("c")), F.col("word") == F.col("of"), "left")
     sums = found.groupBy("number").agg(F.sum(F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + 1.0)).alias("tail_sum"), F.sum(F.when(F.col("c") > 0, F.col("n"))).alias("tail_known"))
     joined = run.join(sums.withColumnRenamed("number", "of_number"), F.col("number") == F.col("of_number"), "left")

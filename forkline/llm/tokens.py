@@ -17,7 +17,8 @@ import numpy as np
 
 #: Texts are encoded in groups of about this many characters, longer ones in several steps.
 GROUP = 1 << 20
-#: Pieces kept before the rarer half of them is forgotten, which bounds the memory.
+#: Pieces kept before the rarer half of them is forgotten, which bounds the memory; half as many
+#: where pieces come in lower case.
 CACHE = 500_000
 END = 0
 #: A character that no valid text holds.
@@ -55,14 +56,15 @@ def _plain(text: str) -> bool:
     return text[:1] not in ("", " ", "\n") and text[-1] not in " \n" and text.replace("\n", "").isprintable() and not any(x in text for x in _ODD)
 
 
-def _parts_at_blanks(conf: dict, drops_blanks: bool) -> bool:
+def _parts_at_blanks(library: "Tokenizer", drops_blanks: bool) -> bool:  # noqa: F821
     """Whether a vocabulary normalises and cuts texts in the way that taking them apart relies on."""
-    model, cut, normal = conf["model"], conf["pre_tokenizer"] or {}, conf["normalizer"] or {}
-    if model.get("type") != "BPE" or model.get("dropout") or model.get("continuing_subword_prefix"):
+    state = lambda part: json.loads(part.__getstate__()) if part else {}
+    model, cut, normal = library.model, state(library.pre_tokenizer), state(library.normalizer)
+    if type(model).__name__ != "BPE" or model.dropout or model.continuing_subword_prefix:
         return False
     if not drops_blanks:
         whole = cut.get("type") == "ByteLevel" and not cut.get("add_prefix_space") and cut.get("use_regex", True)
-        return bool(whole) and not normal and not model.get("end_of_word_suffix")
+        return bool(whole) and not normal and not model.end_of_word_suffix
     steps = [(n["type"], n.get("pattern"), n.get("content")) for n in normal.get("normalizers", [])]
     cuts = cut.get("pretokenizers", [])
     return (
@@ -84,13 +86,12 @@ class Encoder:
     def __init__(self, path: str, drops_blanks: bool):
         from tokenizers import Tokenizer
 
-        with open(path, encoding="utf-8") as file:
-            definition = file.read()
-        self.library = Tokenizer.from_str(definition)
+        self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True  # their strings in a text are ordinary text
         self.model = self.library.model
         self.drops_blanks = drops_blanks
-        self.whole = not _parts_at_blanks(json.loads(definition), drops_blanks)
+        self.whole = not _parts_at_blanks(self.library, drops_blanks)
+        self.cache = CACHE // 2 if drops_blanks else CACHE
         self.blank = chr(_BYTES[0x20])
         self._clear()
 
@@ -108,7 +109,7 @@ class Encoder:
 
     def _forget(self) -> None:
         """Keep the half of the cache that was asked for most often."""
-        kept = np.sort(np.argpartition(-self.hits, CACHE // 2)[: CACHE // 2])
+        kept = np.sort(np.argpartition(-self.hits, self.cache // 2)[: self.cache // 2])
         pieces = list(self.known)
         sizes, ids = self.sizes[kept], self._gather(kept)
         hits = self.hits[kept] // 2
@@ -203,7 +204,7 @@ class Encoder:
 
     def _ids(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of some segments one after another, and how many each has."""
-        if len(self.known) > CACHE:
+        if len(self.known) > self.cache:
             self._forget()
         pieces: list[str] = []
         ends = []
