@@ -5,7 +5,8 @@ hide a notice. A rule is a pattern over these words with a keyword, a label, a p
 a confidence. One automaton finds which keywords a text holds, and only rules of those
 keywords run, in their order. Where detections overlap, rules of higher priority are taken
 first, longer ones before shorter ones; a detection that lies inside an accepted interval is
-suppressed. What is accepted keeps its place (in words), so that callers can cut notices out.
+suppressed. The rules stand in ``license_rules``, written one by one. What is accepted keeps its
+place (in words), so that callers can cut notices out.
 
 The base phrases are counted apart from this, at all their places, and nothing suppresses
 their labels.
@@ -27,82 +28,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from forkline.llm.license_rules import SECTIONS
+
 #: Fixed: the phrases and labels of the base count.
 BASE = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
 
-#: Keyword, label, and the pattern of the licence's name in words.
-NAMES = (
-    ("apache", "apache-2.0", r"apache (?:software )?licen[cs]e,? (?:version )?(?:2|v2)(?: 0)?"),
-    ("apache", "apache-1.1", r"apache (?:software )?licen[cs]e (?:version )?1 1"),
-    ("apache", "apache", r"apache (?:software )?licen[cs]e"),
-    ("affero", "agpl-3.0", r"(?:gnu )?affero general public licen[cs]e (?:version |v)?3(?: 0)?"),
-    ("affero", "agpl", r"(?:gnu )?affero general public licen[cs]e"),
-    ("lesser", "lgpl-3.0", r"(?:gnu )?lesser general public licen[cs]e (?:version |v)?3(?: 0)?"),
-    ("lesser", "lgpl-2.1", r"(?:gnu )?lesser general public licen[cs]e (?:version |v)?2 1"),
-    ("lesser", "lgpl", r"(?:gnu )?lesser general public licen[cs]e"),
-    ("library", "lgpl-2.0", r"(?:gnu )?library general public licen[cs]e"),
-    ("general public", "gpl-3.0", r"(?:gnu )?general public licen[cs]e (?:version |v)?3(?: 0)?"),
-    ("general public", "gpl-2.0", r"(?:gnu )?general public licen[cs]e (?:version |v)?2(?: 0)?"),
-    ("general public", "gpl", r"(?:gnu )?general public licen[cs]e"),
-    ("gpl", "gpl-3.0", r"(?:gnu )?gplv? ?3(?: 0)?"),
-    ("gpl", "gpl-2.0", r"(?:gnu )?gplv? ?2(?: 0)?"),
-    ("free documentation", "gfdl", r"(?:gnu )?free documentation licen[cs]e"),
-    ("mit", "mit", r"mit (?:x11 )?licen[cs]e"),
-    ("expat", "mit", r"expat licen[cs]e"),
-    ("bsd", "bsd-2-clause", r"(?:2|two) clause bsd licen[cs]e"),
-    ("bsd", "bsd-3-clause", r"(?:3|three) clause bsd licen[cs]e"),
-    ("bsd", "bsd-4-clause", r"(?:4|four) clause bsd licen[cs]e"),
-    ("bsd", "bsd", r"bsd (?:style )?licen[cs]e"),
-    ("isc", "isc", r"isc licen[cs]e"),
-    ("mozilla", "mpl-2.0", r"mozilla public licen[cs]e (?:version |v)?2(?: 0)?"),
-    ("mozilla", "mpl-1.1", r"mozilla public licen[cs]e (?:version |v)?1 1"),
-    ("mozilla", "mpl", r"mozilla public licen[cs]e"),
-    ("eclipse", "epl-2.0", r"eclipse public licen[cs]e (?:version |v)?2(?: 0)?"),
-    ("eclipse", "epl-1.0", r"eclipse public licen[cs]e"),
-    ("common development", "cddl-1.0", r"common development and distribution licen[cs]e"),
-    ("artistic", "artistic-2.0", r"artistic licen[cs]e (?:version )?2(?: 0)?"),
-    ("artistic", "artistic", r"artistic licen[cs]e"),
-    ("boost", "bsl-1.0", r"boost software licen[cs]e"),
-    ("zlib", "zlib", r"zlib(?: libpng)? licen[cs]e"),
-    ("unlicense", "unlicense", r"the unlicense"),
-    ("public domain", "public-domain", r"public domain"),
-    ("wtfpl", "wtfpl", r"wtfpl"),
-    ("python software", "psf-2.0", r"python software foundation licen[cs]e"),
-    ("european union", "eupl", r"european union public licen[cs]e"),
-    ("open font", "ofl-1.1", r"(?:sil )?open font licen[cs]e"),
-    ("open database", "odbl-1.0", r"open database licen[cs]e"),
-    ("cc0", "cc0-1.0", r"cc0(?: 1 0)?"),
-    ("cc by", "cc-by-nc-sa", r"cc by nc sa(?: \d 0)?"),
-    ("cc by", "cc-by-nc-nd", r"cc by nc nd(?: \d 0)?"),
-    ("cc by", "cc-by-nc", r"cc by nc(?: \d 0)?"),
-    ("cc by", "cc-by-sa", r"cc by sa(?: \d 0)?"),
-    ("cc by", "cc-by-nd", r"cc by nd(?: \d 0)?"),
-    ("cc by", "cc-by", r"cc by(?: \d 0)?"),
-    ("creative commons", "cc-by-nc-sa", r"creative commons attribution non ?commercial share ?alike"),
-    ("creative commons", "cc-by-nc-nd", r"creative commons attribution non ?commercial no ?deriv(?:ative)?s"),
-    ("creative commons", "cc-by-nc", r"creative commons attribution non ?commercial"),
-    ("creative commons", "cc-by-sa", r"creative commons attribution share ?alike"),
-    ("creative commons", "cc-by-nd", r"creative commons attribution no ?deriv(?:ative)?s"),
-    ("creative commons", "cc-by", r"creative commons attribution"),
-    ("creative commons", "cc", r"creative commons licen[cs]e"),
-)
-#: Priority, confidence, and what stands around a name. The rules are all names in all forms.
-FORMS = (
-    (60, 0.99, r"spdx licen[cs]e identifier {name}"),
-    (50, 0.97, r"(?:is |are )?licen[cs]ed (?:to you )?under (?:the )?(?:terms of )?(?:the )?(?:\w+ )?{name}"),
-    (40, 0.95, r"(?:is |are )?(?:released|distributed|published|available|provided) under (?:the )?(?:terms of )?(?:the )?{name}"),
-    (30, 0.9, r"(?:subject to|governed by|in accordance with|under the terms of) (?:the )?{name}"),
-    (20, 0.8, r"{name} or (?:\w+ )?(?:any )?later version"),
-    (10, 0.7, r"{name}"),
-)
-#: Rules that name no licence.
-OTHERS = (
-    ("all rights", "all-rights-reserved", r"all rights reserved", 15, 0.6),
-    ("copyright", "copyright", r"copyright (?:c )?\d{4}(?: \d{4})*", 5, 0.3),
-    ("permission is", "permission-notice", r"permission is hereby granted free of charge", 55, 0.9),
-    ("redistribution", "redistribution-notice", r"redistribution and use in source and binary forms", 55, 0.9),
-    ("warranty", "warranty-disclaimer", r"without warrant(?:y|ies) of any kind", 5, 0.3),
-)
 #: All bytes below 0x80 that no word holds, once A-Z are lower case.
 _GAPS = bytes(b if b > 0x7F or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else 0x20 for b in range(256))
 
@@ -124,9 +54,11 @@ class Rule:
 @cache
 def rules() -> tuple[Rule, ...]:
     """All rules in their order; the order decides between equals."""
-    made = [Rule(k, label, re.compile(rf"(?<!\S){form.format(name=f'(?:{name})')}(?!\S)"), p, c) for p, c, form in FORMS for k, label, name in NAMES]
-    made += [Rule(k, label, re.compile(rf"(?<!\S)(?:{pattern})(?!\S)"), p, c) for k, label, pattern, p, c in OTHERS]
-    return tuple(made)
+    return tuple(
+        Rule(keyword, label, re.compile(rf"(?<!\S)(?:{pattern})(?!\S)"), priority, confidence)
+        for priority, confidence, section in SECTIONS
+        for label, keyword, pattern, _ in section
+    )
 
 
 @cache

@@ -15,6 +15,7 @@ import xxhash
 import __spark_entry__ as contract
 import corpus_pipeline
 from forkline.llm import licenses, linecrf, packing, pii, quality, recurrent, simhash, tokenfile
+from forkline.llm.license_rules import SECTIONS
 from forkline.llm.tokens import Encoder
 
 
@@ -62,6 +63,45 @@ def test_license_rules():
     assert licenses.scan("the smit license is not the mit licence of premit license")[5] == "mit"
 
 
+@pytest.mark.parametrize("number", range(len(licenses.rules())))
+def test_license_rule_alone(number):
+    """Every rule finds its own notice, in running text too, and no other rule does."""
+    notices = [notice for _, _, section in SECTIONS for *_, notice in section]
+    rule = licenses.rules()[number]
+    for text in (notices[number], f"Über dies.\n\n * {notices[number].replace(' ', chr(10) + ' * ')}\n\nEt cetera und so weiter"):
+        assert [(d[0], d[1]) for d in licenses.scan(text)[7]] == [(rule.label, number)], text
+
+
+@pytest.mark.parametrize(
+    "text, labels",
+    [
+        ("/* SPDX-License-Identifier: (MIT OR Apache-2.0) AND BSD-3-Clause */", "apache-2.0,bsd-3-clause,mit"),
+        ("SPDX-License-Identifier: GPL-2.0-only WITH Linux-syscall-note", "gpl-2.0-only,linux-syscall-note"),
+        ("It is distributed under the LGPL; the docs are CC BY-SA 4.0.", "cc-by,cc-by-sa,lgpl"),
+        ("dual licensed: AGPL-3.0 or MPL 2.0", "agpl-3.0,mpl-2.0"),
+        ("This crate is MIT licensed", "mit"),
+        ("Released by Jo under version 2.1 of the GNU Lesser General Public License", "lgpl-2.1"),
+        ("Wir kommen mit oder ohne Lizenz, mit 2 Clauses und ISC", ""),
+        ("He gave license to all; public opinion and general domain knowledge", ""),
+        ("the apache people, the artistic boost, an eclipse over mozilla", ""),
+        ("", ""),
+        (None, ""),
+    ],
+)
+def test_license_notices(text, labels):
+    assert licenses.scan(text)[5] == labels
+
+
+def test_license_containment_against_all_pairs():
+    """What is kept is what no better detection contains, checked pair by pair."""
+    rng = random.Random(5)
+    better = lambda a, b: (-licenses.rules()[a[0]].priority, a[1] - a[2], a[1], a[0]) < (-licenses.rules()[b[0]].priority, b[1] - b[2], b[1], b[0])
+    for _ in range(200):
+        found = list({(rng.randrange(len(licenses.rules())), s := rng.randrange(20), s + rng.randrange(1, 9)) for _ in range(12)})
+        kept = {d for d in found if not any(better(e, d) and e[1] <= d[1] and d[2] <= e[2] for e in found)}
+        assert set(licenses.suppress(found)) == kept
+
+
 # ---------------------------------------------------------------- op3
 
 
