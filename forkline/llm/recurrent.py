@@ -147,30 +147,40 @@ def _step(p: dict[str, np.ndarray], given: np.ndarray, h: np.ndarray, after: np.
     after += new
 
 
-def _softmax(z: np.ndarray) -> np.ndarray:
-    """Of a matrix that is overwritten."""
-    z -= z.max(1, keepdims=True)
-    np.exp(z, out=z)
-    z /= z.sum(1, keepdims=True)
-    return z
+def _ceilings(weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    """For each matrix of weights a number that no output of states within -1 and 1 exceeds.
+
+    Outputs less this number have an exponential without looking for each row's greatest. Where
+    all of a row could vanish below it, there is none (nan).
+    """
+    span = np.abs(weights).sum(-2)
+    top = (bias + span).max(-1)
+    return np.where(top - (bias - span).max(-1) < 60, top, np.nan).astype(weights.dtype)
+
 
+def _lower(z: np.ndarray, ceiling: np.ndarray) -> None:
+    z -= z.max(1, keepdims=True) if np.isnan(ceiling) else ceiling
 
-def _log_softmax_at(z: np.ndarray, at: np.ndarray) -> np.ndarray:
+
+def _log_softmax_at(z: np.ndarray, at: np.ndarray, ceiling: np.ndarray) -> np.ndarray:
     """Logarithms of one probability of each row; the matrix is overwritten."""
-    z -= z.max(1, keepdims=True)
+    _lower(z, ceiling)
     picked = z[np.arange(len(z)), at]
     np.exp(z, out=z)
-    return picked - np.log(z.sum(1))
+    return picked - np.log(z @ np.ones(z.shape[1], z.dtype))
 
 
-def _gradient_at(z: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+def _gradient_at(z: np.ndarray, at: np.ndarray, n: int, ceiling: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Like :func:`_log_softmax_at`, with the gradient of the sum divided by ``n``."""
     rows = np.arange(len(z))
-    share = _softmax(z)
-    logs = np.log(np.maximum(share[rows, at], 1e-30))
-    share *= -1 / n
-    share[rows, at] += 1 / n
-    return logs, share
+    _lower(z, ceiling)
+    logs = z[rows, at]
+    np.exp(z, out=z)
+    sums = z @ np.ones(z.shape[1], z.dtype)
+    logs -= np.log(sums)
+    z *= (-1 / (n * sums))[:, None]
+    z[rows, at] += 1 / n
+    return logs, z
 
 
 def outputs(p: dict[str, np.ndarray], h: np.ndarray, target: np.ndarray, grad: dict[str, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray | None]:
@@ -179,36 +189,45 @@ def outputs(p: dict[str, np.ndarray], h: np.ndarray, target: np.ndarray, grad: d
     With ``grad`` also the gradient of their mean by the states, and ``grad`` is filled.
     """
     n = len(target)
-    kind = np.where(target < REST, target // PER_CLASS, target - (REST - CLASSES))
-    share = h @ p["classes"]
+    # Rows are put in the order of their classes once; narrow numbers sort in linear time.
+    kind = np.where(target < REST, target // PER_CLASS, target - (REST - CLASSES)).astype(np.uint16)
+    order = np.argsort(kind, kind="stable")
+    kind, mine, wanted = kind[order], h.take(order, axis=0), target[order]
+    share = mine @ p["classes"]
     share += p["class_bias"]
+    ceiling = _ceilings(p["classes"], p["class_bias"])
     back = None
     if grad is None:
-        logs = _log_softmax_at(share, kind)
+        logs = _log_softmax_at(share, kind, ceiling)
     else:
-        logs, off = _gradient_at(share, kind, n)
-        grad["classes"] += h.T @ off
+        logs, off = _gradient_at(share, kind, n, ceiling)
+        grad["classes"] += mine.T @ off
         grad["class_bias"] += off.sum(0)
         back = off @ p["classes"].T
-    order = np.argsort(kind, kind="stable")
-    bounds = np.searchsorted(kind[order], np.arange(CLASSES + 1))
+    bounds = np.searchsorted(kind, np.arange(CLASSES + 1))
+    ceilings = _ceilings(p["words"], p["word_bias"])
     for k in range(CLASSES):
-        at = order[bounds[k] : bounds[k + 1]]
-        if not len(at):
+        at = slice(bounds[k], bounds[k + 1])
+        if at.start == at.stop:
             continue
-        mine = h[at]
-        share = mine @ p["words"][k]
+        share = mine[at] @ p["words"][k]
         share += p["word_bias"][k]
-        word = target[at] - k * PER_CLASS
+        word = wanted[at] - k * PER_CLASS
         if grad is None:
-            logs[at] += _log_softmax_at(share, word)
+            logs[at] += _log_softmax_at(share, word, ceilings[k])
         else:
-            more, off = _gradient_at(share, word, n)
+            more, off = _gradient_at(share, word, n, ceilings[k])
             logs[at] += more
-            grad["words"][k] += mine.T @ off
+            grad["words"][k] += mine[at].T @ off
             grad["word_bias"][k] += off.sum(0)
             back[at] += off @ p["words"][k].T
-    return logs, back
+    placed = np.empty_like(logs)
+    placed[order] = logs
+    if back is not None:
+        ahead = np.empty_like(back)
+        ahead[order] = back
+        back = ahead
+    return placed, back
 
 
 def window_gradient(flat: np.ndarray, h: np.ndarray, before: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
@@ -221,7 +240,7 @@ def window_gradient(flat: np.ndarray, h: np.ndarray, before: np.ndarray, target:
     grad = unpack(made)
     steps, lanes = before.shape
     n = HIDDEN
-    given = p["inputs"][before]
+    given = p["inputs"].take(before, axis=0)
     fresh = (before != 0)[:, :, None]
     starts, states, reset, keep, inner, new = (np.empty((steps, lanes, n), flat.dtype) for _ in range(6))
     for t in range(steps):
@@ -251,10 +270,10 @@ def window_gradient(flat: np.ndarray, h: np.ndarray, before: np.ndarray, target:
     grad["state"] += starts.reshape(-1, n).T @ gates.reshape(-1, 3 * n)
     grad["state_bias"] += gates[:, :, 2 * n :].sum((0, 1))
     gates[:, :, 2 * n :] = outer
-    ids = before.ravel()
+    ids = before.ravel().astype(np.uint16)
     order = np.argsort(ids, kind="stable")
     first = np.flatnonzero(np.append(True, np.diff(ids[order]) != 0))
-    grad["inputs"][ids[order][first]] += np.add.reduceat(gates.reshape(-1, 3 * n)[order], first, axis=0)
+    grad["inputs"][ids[order][first]] += np.add.reduceat(gates.reshape(-1, 3 * n).take(order, axis=0), first, axis=0)
     return made, h, float(logs.mean())
 
 
@@ -302,7 +321,7 @@ def log_likelihoods(flat: np.ndarray, docs: list[np.ndarray], window: int = SCOR
         for t in range(at, min(at + window, longest)):
             k = int(active[t])
             after = np.empty((k, HIDDEN), np.float32)
-            _step(p, p["inputs"][before[:k]], h[:k], after, *[r[:k] for r in room])
+            _step(p, p["inputs"].take(before[:k], axis=0), h[:k], after, *[r[:k] for r in room])
             h = after
             before = every[starts[:k] + t]
             states.append(h)
