@@ -7,9 +7,10 @@ or two are exchanged for one, whenever this makes the sum of the squared fills g
 squares pull pieces away from the emptier sequences until these have none left. Moves come first, from
 the fullest sequence down, so that short pieces are left to fill the last gaps; then moves and
 exchanges, from the emptiest sequence up. For every length of piece, the sequences that are not full
-and hold one are kept in order of their room, up to date after every step, so the best partner of
-an exchange is always found. The search ends when no step improves, or when no fewer sequences
-can hold the pieces.
+and hold one are kept in order of their room, up to date after every step, and the partner of an
+exchange is the fullest that has room for the difference, so gaps are filled closely. The search ends
+when no step improves, or when no fewer sequences can hold the pieces. In the first case it starts
+again from other orders, ``STARTS`` in all, and the best result stays.
 
 Scale. Texts are encoded where they are read and never moved; only one small row per piece is.
 Pieces are dealt to shards of about ``SHARD`` by a number fixed when they were written, so
@@ -23,9 +24,9 @@ itself, also repeated ones and those without an id. An empty table gives an empt
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_left, insort
 from collections import defaultdict
 from collections.abc import Iterator
-from heapq import heappop, heappush
 
 import numpy as np
 import pandas as pd
@@ -37,6 +38,8 @@ from forkline.llm.tokens import encoder
 
 CAPACITY = 2048
 SHARD = 20_000
+#: Orders from which a shard is searched at most.
+STARTS = 3
 
 
 class Bins:
@@ -51,8 +54,8 @@ class Bins:
         self.items = [[item] for item in range(len(self.sizes))]
         self.fill = list(self.sizes)
         self.used = sum(1 for f in self.fill if f)
-        # For each size: sequences that hold such a piece, by their room, and the most room among
-        # them. Entries and rooms may be out of date, but never too small.
+        # For each size: open sequences that hold such a piece, by their room, and the most room
+        # among them.
         self.holders: list[list[tuple[int, int]]] | None = None
         self.room = np.full(capacity + 1, -1, np.int64)
         self.lengths = np.arange(capacity + 1)
@@ -65,6 +68,13 @@ class Bins:
         self.open[free].discard(at)
         if not self.open[free]:
             self.mask &= ~(1 << free)
+        if self.holders is not None and 0 < free < self.capacity:
+            for size in {self.sizes[i] for i in self.items[at]}:
+                same = self.holders[size]
+                place = bisect_left(same, (free, at))
+                if place < len(same) and same[place] == (free, at):
+                    del same[place]
+                    self.room[size] = same[-1][0] if same else -1
 
     def _reopen(self, at: int) -> None:
         free = self.capacity - self.fill[at]
@@ -73,9 +83,8 @@ class Bins:
             self.mask |= 1 << free
             if self.holders is not None:
                 for size in {self.sizes[i] for i in self.items[at]}:
-                    heappush(self.holders[size], (-free, at))
-                    if free > self.room[size]:
-                        self.room[size] = free
+                    insort(self.holders[size], (free, at))
+                    self.room[size] = self.holders[size][-1][0]
 
     def _fullest(self, size: int) -> int | None:
         """An open sequence with room for ``size`` and as little more as possible."""
@@ -84,35 +93,30 @@ class Bins:
             return None
         return next(iter(self.open[size + (fitting & -fitting).bit_length() - 1]))
 
-    def _roomiest(self, size: int, source: int) -> int | None:
-        """The sequence but ``source`` with most room that holds a piece of ``size``."""
-        heap, aside = self.holders[size], None
-        found = None
-        while heap:
-            free, at = heap[0]
-            current = self.capacity - self.fill[at] == -free and 0 < -free < self.capacity
-            if not current or not any(self.sizes[i] == size for i in self.items[at]):
-                heappop(heap)
-            elif at == source:
-                aside = heappop(heap)
-            else:
-                found = at
-                break
-        self.room[size] = max(-heap[0][0] if heap else -1, -aside[0] if aside else -1)
-        if aside:
-            heappush(heap, aside)
-        return found
-
     def count(self) -> int:
         return self.used
 
     def improve(self) -> None:
-        """Moves and exchanges that raise the sum of squared fills, while there are any.
+        """The search from the order of arrival; while sequences could be saved, from other orders too.
 
-        It ends early once no fewer sequences can hold the pieces.
+        The best of at most ``STARTS`` searches is kept, and none follows one that reaches the
+        least number of sequences that can hold the pieces.
         """
         large = sum(1 for size in self.sizes if 2 * size > self.capacity)  # no two of them fit together
         least = max(large, -(-sum(self.sizes) // self.capacity))
+        self._climb(least)
+        for seed in range(1, STARTS):
+            if self.used <= least:
+                return
+            order = np.random.default_rng(seed).permutation(len(self.sizes))
+            other = Bins(np.array(self.sizes)[order], self.capacity)
+            other._climb(least)
+            if other.used < self.used:
+                self.used, self.fill = other.used, other.fill
+                self.items = [[int(order[i]) for i in items] for items in other.items]
+
+    def _climb(self, least: int) -> None:
+        """Moves and exchanges that raise the sum of squared fills, while there are any and ``least`` is not reached."""
         for step in (self._move, self._improve_once):
             changed = True
             while changed:
@@ -163,8 +167,9 @@ class Bins:
             total = sum(self.sizes[i] for i in group)
             shortest = max(0, total - self.capacity)
             for size in (np.flatnonzero(self.room[shortest:total] >= total - self.lengths[shortest:total]) + shortest).tolist():
-                target = self._roomiest(size, source)
-                if target is None or total - size > self.capacity - self.fill[target] or self.fill[target] + total - size <= self.fill[source]:
+                # The fullest that has room for the difference; if that does not raise the squares, none does.
+                target = self.holders[size][bisect_left(self.holders[size], (total - size, -1))][1]
+                if self.fill[target] + total - size <= self.fill[source]:
                     continue
                 other = next(i for i in self.items[target] if self.sizes[i] == size)
                 self._close(target)
