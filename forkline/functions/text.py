@@ -14,9 +14,14 @@ STRIP_CHARS = (
     "\u2028\u2029\u202f\u205f\u3000"
 )
 
-# Java's Unicode \s leaves out the four separators U+001C..U+001F.
-WS = r"[\s\x1c-\x1f]"
-NON_WS = r"[^\s\x1c-\x1f]"
+# Java's Unicode \s, and the four separators U+001C..U+001F that it leaves out.  A Unicode class
+# is asked property by property for every character; here two tests turn most of them away.
+_WS = (
+    r"\t\n\x0b\f\r\x1c\x1d\x1e\x1f \x85\xa0"
+    r"[\u1680-\u3000&&[\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]]"
+)
+WS = f"[{_WS}]"
+NON_WS = f"[^{_WS}]"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -35,17 +40,17 @@ def strip(text: Column) -> Column:
 
 def collapse_spaces(text: Column) -> Column:
     """Every run of white space becomes one space; the ends are trimmed; null gives ''."""
-    return F.trim(F.regexp_replace(text_or_empty(text), f"(?U){WS}+", " "))
+    return F.trim(F.regexp_replace(text_or_empty(text), f"{WS}+", " "))
 
 
 def words(text: Column) -> Column:
     """White-space separated words, in order."""
-    return F.regexp_extract_all(text, F.lit(f"(?U){NON_WS}+"), F.lit(0))
+    return F.regexp_extract_all(text, F.lit(f"{NON_WS}+"), F.lit(0))
 
 
 def first_word(text: Column) -> Column:
     """The first word, null when there is none."""
-    return F.nullif(F.regexp_extract(text, f"(?U){NON_WS}+", 0), F.lit(""))
+    return F.nullif(F.regexp_extract(text, f"{NON_WS}+", 0), F.lit(""))
 
 
 def words_before(text: Column, offset: Column) -> Column:
@@ -56,7 +61,7 @@ def words_before(text: Column, offset: Column) -> Column:
     """
     whole = F.size(words(F.left(text, offset)))
     cut = text.substr(offset, F.lit(2))
-    inside = (offset > 0) & F.rlike(cut, F.lit(f"(?U)^{NON_WS}{{2}}$"))
+    inside = (offset > 0) & F.rlike(cut, F.lit(f"^{NON_WS}{{2}}$"))
     return whole - inside.cast("int")
 
 

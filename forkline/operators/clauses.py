@@ -7,6 +7,9 @@ a null signature it is unknown, so ``is_equivalent`` is null and the stage ``par
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable, Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,83 +20,139 @@ from forkline.schemas import SIGNATURE_TYPE
 # Fixed order of comparison.
 STAGES = ("tables", "joins", "filters", "group_by", "having", "select", "order_by", "limit")
 
-_TOKEN = "(?Us)" + "|".join(
-    [
-        r"--[^\n]*+\n?",
-        r"/\*.*?\*/",
-        _quoted("'"),
-        _quoted('"'),
-        "`[^`]*+`",
-        r"\d+(?:\.\d+)?(?:[eE][+-]?\d+)?\b",
-        rf"{IDENT}(?:\.{IDENT})*+(?:\.\*)?",
-        r"<=|>=|<>|!=|==|\|\|",
-        r"\S",
-    ]
-)
+# Every token but the comments; after IDENT's plain letters a token is looked at once for others.
+_NAME = r"[A-Za-z_][A-Za-z0-9_$]*+[\w$]*+"
+_TOKENS = [
+    _quoted("'"),
+    _quoted('"'),
+    "`[^`]*+`",
+    r"\d+(?:\.\d+)?(?:[eE][+-]?\d+)?\b",
+    rf"{_NAME}(?:\.{_NAME})*+(?:\.\*)?",
+    r"<=|>=|<>|!=|==|\|\|",
+    r"\S",
+]
+_TOKEN = "(?Us)" + "|".join([r"--[^\n]*+\n?", r"/\*.*?\*/", *_TOKENS])
 _WORDS = SQL_KEYWORDS + ("BY", "CASE", "WHEN", "THEN", "ELSE", "END", "ASC", "DESC", "EXISTS")
 _SECTIONS = ("SELECT", "FROM", "WHERE", "GROUP", "HAVING", "ORDER", "LIMIT", "OFFSET", "JOIN")
-# Noncharacters that mark the structure of a text at nesting depth 0.
-_TOK, _SEC, _HEAD, _ITEM, _AND, _OR, _ON = (chr(0xFDD2 + n) for n in range(7))
+# Noncharacters that mark the structure of a text: before a token, at nesting depth 0, and for
+# tokens that no space parts, for owners that are replaced and before a token further down.
+_TOK, _SEC, _HEAD, _ITEM, _AND, _OR, _ON, _GLUE, _OWN, _DEEP = (chr(0xFDD2 + n) for n in range(10))
+_NEXT = f"(?=[{_TOK}-{_DEEP}])"
+
 
+def _one_of(words: tuple[str, ...], flags: str = "") -> str:
+    """A pattern for the words by their first letters, so that most texts fail at once."""
+    heads: dict[str, list[str]] = {}
+    for word in words:
+        heads.setdefault(word[0], []).append(word[1:])
+    first = "[{0}{1}]" if flags else "{0}"
+    opened = f"(?{flags}:" if flags else "(?:"
+    return "(?:" + "|".join(first.format(h, h.lower()) + opened + "|".join(r) + ")" for h, r in heads.items()) + ")"
 
-def _clause_tokens(sql: Column) -> Column:
-    """Tokens in one spelling: clause words and function names in upper case."""
 
-    def spell(token: Column, following: Column) -> Column:
-        upper = F.upper(token)
-        plain = F.rlike(token, F.lit(rf"(?U)\A{IDENT}\z"))
-        return (
-            F.when(token == "!=", "<>")
-            .when(token == "==", "=")
-            .when(upper.isin(*_WORDS) | ((following == "(") & plain), upper)
-            .otherwise(token)
+def _clause_text(sql: Column) -> Column:
+    """Tokens in one spelling, each behind a mark, and a last mark.
+
+    Clause words and function names are in upper case.  A text takes a few passes as a whole;
+    only one that may hold comments is taken apart to drop them.
+    """
+
+    def spelled(text: Column) -> Column:
+        words = F.regexp_extract_all(
+            text, F.lit(rf"(?U){_TOK}(?![A-Z]++{_TOK})({_one_of(_WORDS, 'iu')}(?={_TOK})|{_NAME}(?={_TOK}\())"), F.lit(1)
         )
+        changed = F.filter(F.array_distinct(words), lambda w: w != F.upper(w))
+
+        def raised(t: Column, word: Column) -> Column:
+            old, new = F.concat(F.lit(_TOK), word, F.lit(_TOK)), F.concat(F.lit(_TOK), F.upper(word), F.lit(_TOK))
+            # A match takes the mark of the next token along, so of neighbours every other one is left.
+            everywhere = F.replace(F.replace(t, old, new), old, new)
+            calls = F.replace(t, F.concat(old, F.lit("(")), F.concat(new, F.lit("(")))
+            return F.when(F.upper(word).isin(*_WORDS), everywhere).otherwise(calls)
+
+        return F.aggregate(changed, text, raised)
 
+    commented = F.contains(sql, F.lit("--")) | F.contains(sql, F.lit("/*"))
     found = F.filter(F.regexp_extract_all(sql, F.lit(_TOKEN), F.lit(0)), lambda t: ~_is_comment(t))
-    return let(found, lambda t: F.zip_with(t, F.slice(t, F.lit(2), F.size(t)), spell))
+    taken = F.array_join(F.transform(found, lambda t: F.concat(F.lit(_TOK), t)), "")
+    marked = F.regexp_replace(sql, "(?Us) ?(" + "|".join(_TOKENS) + ")", f"{_TOK}$1")
+    text = F.concat(F.when(commented, taken).otherwise(marked), F.lit(_TOK))
+    for old, new in (("!=", "<>"), ("==", "=")):
+        text = F.replace(text, F.lit(_TOK + old), F.lit(_TOK + new))
+    return let(text, spelled)
 
 
-def _structured(tokens: Column) -> Column:
-    """One text with marks for sections, items and conjuncts; null if brackets are open.
+def _where(text: Column, part: str, body: Column) -> Column:
+    """``body`` for texts that hold the part, the others as they are."""
+    return F.when(F.contains(text, F.lit(part)), body).otherwise(text)
 
-    A single fold that keeps the depth of parentheses and CASE, and whether the next AND
-    belongs to a BETWEEN.
+
+def _chain(value: Column, passes: Iterable[Callable[[Column], Column]]) -> Column:
+    return functools.reduce(let, passes, value)
+
+
+def _at_top(text: Column) -> Column:
+    """Tokens inside of parentheses and CASE behind another mark; null if brackets are open.
+
+    The text is cut before each bracket, and a fold over these few pieces keeps the depth.
     """
 
-    def step(s: Column, token: Column) -> Column:
-        opens = token.isin("(", "CASE")
-        closes = token.isin(")", "END")
-        top = (s["depth"] == 0) & ~opens & ~closes
-        conjunction = top & (token == "AND") & ~s["between"]
-        mark = (
-            F.when(top & token.isin(*_SECTIONS), F.concat(F.lit(_SEC), token, F.lit(_HEAD)))
-            .when(top & (token == ","), F.lit(_ITEM))
-            .when(conjunction, F.lit(_AND))
-            .when(top & (token == "OR"), F.lit(_OR))
-            .when(top & token.isin("ON", "USING"), F.concat(F.lit(_ON), token))
-            .otherwise(F.concat(F.lit(_TOK), token))
+    def step(s: Column, piece: Column) -> Column:
+        head = F.substring(piece, 2, 1)
+        # Every piece but the first, a SELECT, starts with one of four tokens: ( ) CASE END.
+        change = F.when(head.isin("(", "C"), 1).when(head.isin(")", "E"), -1).otherwise(0)
+        return let(
+            s["depth"] + change,
+            lambda depth: F.struct(
+                F.concat(
+                    s["out"], F.when(depth == 0, piece).otherwise(F.replace(piece, F.lit(_TOK), F.lit(_DEEP)))
+                ).alias("out"),
+                depth.alias("depth"),
+            ),
         )
-        return F.struct(
-            F.concat(s["out"], mark).alias("out"),
-            (s["depth"] + opens.cast("int") - closes.cast("int")).alias("depth"),
-            F.when(top & (token == "BETWEEN"), True)
-            .when(top & (token == "AND"), False)
-            .otherwise(s["between"])
-            .alias("between"),
+
+    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("depth"))
+    pieces = F.split(text, rf"(?={_TOK}(?:\(|\)|CASE|END){_TOK})")
+    return F.aggregate(pieces, start, step, lambda s: F.when(s["depth"] == 0, s["out"]))
+
+
+def _structured(text: Column) -> Column:
+    """The text with marks for sections, items and conjuncts; null if brackets are open.
+
+    The first AND behind a BETWEEN is no conjunction.
+    """
+
+    def marked(t: Column) -> Column:
+        between = F.regexp_replace(t, rf"(?s)({_TOK}BETWEEN{_NEXT}.*?){_TOK}AND{_NEXT}", f"$1{_DEEP}AND")
+        passes = (
+            lambda t: _where(t, f"{_TOK}BETWEEN", between),
+            lambda t: F.regexp_replace(t, rf"{_TOK}({_one_of(_SECTIONS)}){_NEXT}", f"{_SEC}$1{_HEAD}"),
+            lambda t: _where(t, f"{_TOK}AND", F.regexp_replace(t, f"{_TOK}AND{_NEXT}", _AND)),
+            lambda t: _where(t, f"{_TOK}OR", F.regexp_replace(t, f"{_TOK}OR{_NEXT}", _OR)),
+            lambda t: _where(t, f"{_TOK}ON", F.regexp_replace(t, f"{_TOK}ON{_NEXT}", f"{_ON}ON")),
+            lambda t: _where(t, f"{_TOK}USING", F.regexp_replace(t, f"{_TOK}USING{_NEXT}", f"{_ON}USING")),
+            lambda t: _where(t, f"{_SEC}JOIN", F.regexp_replace(t, joined, f"{_SEC}JOIN$1")),
         )
+        return _chain(t, passes)
 
-    start = F.struct(
-        F.lit("").alias("out"), F.lit(0).alias("depth"), F.lit(False).alias("between")
-    )
     joined = rf"(?:{_TOK}NATURAL)?(?:{_TOK}(?:LEFT|RIGHT|FULL))?(?:{_TOK}(INNER|CROSS|OUTER))?{_SEC}JOIN"
-    marked = F.aggregate(tokens, start, step, lambda s: F.when(s["depth"] == 0, s["out"]))
-    return F.regexp_replace(marked, joined, f"{_SEC}JOIN$1")
+    call = rf"({_TOK}(?!{_one_of(_WORDS)}{_TOK})[A-Z_][A-Za-z0-9_$]*+)(?={_TOK}\()"
+
+    def glued(t: Column) -> Column:
+        plain = F.replace(F.replace(t, F.lit(f"{_TOK},"), F.lit(_ITEM)), F.lit(_DEEP), F.lit(_TOK))
+        return F.substring(plain, F.lit(1), F.length(plain) - 1)
+
+    def tight(t: Column) -> Column:
+        brackets = F.regexp_replace(t, rf"{_TOK}(?=[),])|(?<={_TOK}\(){_TOK}", f"{_GLUE}$0")
+        return F.regexp_replace(brackets, call, f"$1{_GLUE}")
 
+    return _chain(_at_top(text), (marked, glued, tight))
 
-def _is_flat(tokens: Column) -> Column:
-    selects = F.size(F.filter(tokens, lambda t: t == "SELECT"))
-    combined = F.exists(tokens, lambda t: t.isin("UNION", "INTERSECT", "EXCEPT"))
-    return (F.get(tokens, F.lit(0)) == "SELECT") & (selects == 1) & ~combined
+
+def _is_flat(text: Column) -> Column:
+    head = f"{_TOK}SELECT{_TOK}"
+    alone = F.startswith(text, F.lit(head)) & (F.locate(head, text, 2) == 0)
+    return alone & ~F.rlike(text, F.lit(f"{_TOK}(?:UNION|INTERSECT|EXCEPT){_TOK}"))
 
 
 def _section(sections: Column, name: str) -> Column:
@@ -102,68 +161,73 @@ def _section(sections: Column, name: str) -> Column:
     return F.substring_index(body, _HEAD, -1)
 
 
-def _token_list(text: Column) -> Column:
-    """Tokens of a part; marks that do not split it are put back as words."""
+def _whole(text: Column) -> Column:
+    """A part of a text; marks that do not split it are put back as words."""
     plain = text
-    for mark, word in ((_ITEM, ","), (_AND, "AND"), (_OR, "OR")):
-        plain = F.replace(plain, F.lit(mark), F.lit(_TOK + word))
-    return F.filter(F.split(plain, _TOK), lambda t: t != "")
+    for mark, word in ((_ITEM, f"{_GLUE}{_TOK},"), (_AND, f"{_TOK}AND"), (_OR, f"{_TOK}OR")):
+        plain = F.replace(plain, F.lit(mark), F.lit(word))
+    return plain
 
 
-def _render(tokens: Column, names: Column) -> Column:
-    """Text of a part: columns qualified by table id, one spacing."""
+def _bare(text: Column) -> Column:
+    """A part without the marks around its tokens."""
+    return F.btrim(text, F.lit(_GLUE + _TOK))
 
-    def qualified(token: Column) -> Column:
-        last_two = F.substring_index(token, ".", -2)
-        owner = F.substring_index(last_two, ".", 1)
-        number = F.array_position(names, owner)
-        table = F.when(number > 0, F.concat(F.lit("T"), number.cast("string"))).otherwise(owner)
-        dotted = F.contains(token, F.lit(".")) & F.rlike(token, F.lit(r"\A[A-Za-z_][^.]*\."))
-        return F.when(
-            dotted, F.concat(table, F.lit("."), F.substring_index(last_two, ".", -1))
-        ).otherwise(token)
 
-    def spaced(token: Column, following: Column) -> Column:
-        call = (following == "(") & F.rlike(token, F.lit(r"\A[A-Z_][\w$]*\z")) & ~token.isin(*_WORDS)
-        tight = following.isNull() | (token == "(") | following.isin(")", ",") | call
-        return F.concat(qualified(token), F.when(tight, "").otherwise(" "))
+def _render(text: Column) -> Column:
+    """One spacing: a space before each token, unless it is glued to the one before."""
+    plain = text
+    for mark, written in ((_GLUE + _TOK, ""), (_TOK, " "), (_OWN, ""), (_GLUE, "")):
+        plain = F.replace(plain, F.lit(mark), F.lit(written))
+    return F.trim(plain)
 
-    pieces = F.zip_with(tokens, F.slice(tokens, F.lit(2), F.size(tokens)), spaced)
-    return F.array_join(pieces, "")
 
+def _qualified(text: Column, names: Column) -> Column:
+    """Columns by their last owner, a known one by its table id.
 
-def _parts(text: Column, mark: str) -> Column:
-    """Parts of a section as token lists; an absent section has none."""
-    return F.coalesce(
-        F.filter(F.transform(F.split(text, mark), _token_list), lambda t: F.size(t) > 0),
-        F.array().cast("array<array<string>>"),
+    A mark inside of the id keeps the next name from being found in it.
+    """
+    part = f"[^.{_TOK}-{_DEEP}]*+"
+    short = F.regexp_replace(
+        text, rf"{_TOK}(?=[A-Za-z_])(?:{part}\.)+(?={part}\.{part}(?:[{_TOK}-{_DEEP}]|\z))", _TOK
     )
 
+    def by_id(text: Column, name: Column) -> Column:
+        tid = F.concat(F.lit(f"{_TOK}T{_OWN}"), F.array_position(names, name).cast("string"), F.lit("."))
+        old = F.concat(F.lit(_TOK), name, F.lit("."))
+        return F.when(F.rlike(name, F.lit(r"\A[A-Za-z_]")), F.replace(text, old, tid)).otherwise(text)
+
+    return F.aggregate(names, short, by_id)
+
+
+def _parts(text: Column, mark: str) -> Column:
+    """Parts of a section; an absent section has none."""
+    found = F.filter(F.transform(F.split(text, mark), _whole), lambda t: t != "")
+    return F.coalesce(found, F.array().cast("array<string>"))
+
 
 def _conjuncts(text: Column) -> Column:
-    """Token lists split on AND, unless an OR stands beside it, which binds weaker."""
-    whole = F.array(_token_list(text))
+    """Parts between AND, unless an OR stands beside it, which binds weaker."""
     # An absent section has no OR and no parts.
-    return F.when(F.contains(text, F.lit(_OR)), whole).otherwise(_parts(text, _AND))
+    return F.when(F.contains(text, F.lit(_OR)), F.array(_whole(text))).otherwise(_parts(text, _AND))
 
 
-def _without(tokens: Column, word: str) -> Column:
-    first = F.get(tokens, F.lit(0)) == word
-    return F.when(first, F.slice(tokens, F.lit(2), F.size(tokens))).otherwise(tokens)
+def _without(text: Column, word: str) -> Column:
+    first = F.rtrim(F.substring_index(text, _TOK, 2), F.lit(_GLUE)) == _TOK + word
+    return F.when(first, F.substring(text, len(word) + 2, 2**31 - 1)).otherwise(text)
 
 
 def _refs(sections: Column) -> Column:
     """Table references in order, with the kind and condition that joined them."""
 
-    def ref(tokens: Column, kind: Column, condition: Column) -> Column:
-        name = F.substring_index(F.get(tokens, F.lit(0)), ".", -1)
-        known = F.when(F.size(tokens) > 1, F.element_at(tokens, -1)).otherwise(name)
+    def ref(text: Column, kind: Column, condition: Column) -> Column:
+        first = F.nullif(F.replace(F.substring_index(text, _TOK, 1), F.lit(_GLUE), F.lit("")), F.lit(""))
+        name = F.substring_index(first, ".", -1)
+        known = F.when(F.contains(text, F.lit(_TOK)), F.substring_index(text, _TOK, -1)).otherwise(name)
         return F.struct(
             name.alias("name"), known.alias("known"), kind.alias("kind"), condition.alias("cond")
         )
 
-    none = F.array().cast("array<string>")
-
     def of_section(section: Column) -> Column:
         head = F.substring_index(section, _HEAD, 1)
         kind = F.when(head == "FROM", F.lit("FROM")).otherwise(F.substring(head, 5, 9))
@@ -171,13 +235,12 @@ def _refs(sections: Column) -> Column:
         items = F.split(F.substring_index(section, _HEAD, -1), _ITEM)
 
         def of_item(item: Column, n: Column) -> Column:
-            tokens = _token_list(F.substring_index(item, _ON, 1))
             condition = F.when(
-                F.contains(item, F.lit(_ON + "ON")),
-                _token_list(F.substring_index(item, _ON + "ON", -1)),
-            ).otherwise(none)
+                F.contains(item, F.lit(_ON + "ON")), _whole(F.substring_index(item, _ON + "ON", -1))
+            ).otherwise("")
             # A comma joins like an inner join without a condition.
-            return ref(tokens, F.when(n == 0, kind).otherwise(F.lit("INNER")), condition)
+            joined = F.when(n == 0, kind).otherwise(F.lit("INNER"))
+            return let(_bare(_whole(F.substring_index(item, _ON, 1))), lambda t: ref(t, joined, condition))
 
         return F.transform(items, of_item)
 
@@ -185,113 +248,97 @@ def _refs(sections: Column) -> Column:
     return F.flatten(F.transform(tables, of_section))
 
 
+def _projection(text: Column) -> Column:
+    """A selected expression, its alias behind AS in every case."""
+
+    def ends(last: Column, before: Column) -> Column:
+        named = (
+            F.rlike(last, F.lit(rf"(?U)\A(?:{IDENT}|\"[^\"]*\")\z"))
+            & ~last.isin(*_WORDS)
+            & F.rlike(before, F.lit(r"\A(?:[\w\"'`].*|\))\z"))
+            & (~before.isin(*_WORDS) | before.isin("END", "AS"))
+        )
+        dropped = F.length(last) + F.when(before == "AS", 4).otherwise(1)
+        kept = F.substring(text, F.lit(1), F.length(text) - dropped)
+        return F.when(named, F.concat(_render(kept), F.lit(" AS "), last)).otherwise(_render(text))
+
+    return let(
+        F.substring_index(text, _TOK, -2),
+        lambda two: let(
+            F.struct(F.substring_index(two, _TOK, -1).alias("last"), F.substring_index(two, _TOK, 1).alias("before")),
+            lambda t: ends(t["last"], t["before"]),
+        ),
+    )
+
+
 def signature(sql: Column) -> Column:
     """The eight clause lists of a text, null for anything but one flat SELECT."""
 
-    def build(sections: Column) -> Column:
+    def build(text: Column) -> Column:
         def with_refs(refs: Column) -> Column:
             return let(
                 F.array_distinct(F.transform(refs, lambda r: r["known"])),
-                lambda names: lists(refs, names),
+                lambda names: let(
+                    F.split(_qualified(text, names), _SEC), lambda sections: lists(refs, names, sections)
+                ),
             )
 
-        def lists(refs: Column, names: Column) -> Column:
-            def part(stage: str, tokens: Column, before: Column | str = "", after: Column | str = "") -> Column:
-                ends = [F.lit(e) if isinstance(e, str) else e for e in (before, after)]
-                return F.struct(
-                    F.lit(stage).alias("stage"),
-                    tokens.alias("tokens"),
-                    ends[0].alias("before"),
-                    ends[1].alias("after"),
-                )
-
+        def lists(refs: Column, names: Column, sections: Column) -> Column:
             def join(ref: Column) -> Column:
                 number = F.array_position(names, ref["known"]).cast("string")
                 head = F.concat(ref["kind"], F.lit("(T"), number, F.lit(") ON "))
-                return part("joins", ref["cond"], head)
-
-            def projection(tokens: Column) -> Column:
-                size = F.size(tokens)
-                last, before = F.element_at(tokens, -1), F.get(tokens, size - 2)
-                named = (
-                    (size > 1)
-                    & F.rlike(last, F.lit(rf"(?U)\A(?:{IDENT}|\"[^\"]*\")\z"))
-                    & ~last.isin(*_WORDS)
-                    & F.rlike(before, F.lit(r"\A(?:[\w\"'`].*|\))\z"))
-                    & (~before.isin(*_WORDS) | before.isin("END", "AS"))
-                )
-                dropped = F.when(named, F.when(before == "AS", 2).otherwise(1)).otherwise(0)
-                return part(
-                    "select",
-                    F.slice(tokens, F.lit(1), size - dropped),
-                    after=F.when(named, F.concat(F.lit(" AS "), last)).otherwise(""),
-                )
-
-            def ordered(tokens: Column) -> Column:
-                given = F.element_at(tokens, -1).isin("ASC", "DESC")
-                return part("order_by", tokens, after=F.when(given, "").otherwise(" ASC"))
+                return F.concat(head, _render(_qualified(ref["cond"], names)))
+
+            def ordered(text: Column) -> Column:
+                given = F.endswith(text, F.lit(_TOK + "ASC")) | F.endswith(text, F.lit(_TOK + "DESC"))
+                return F.concat(_render(text), F.when(given, "").otherwise(" ASC"))
 
             def by_items(name: str) -> Column:
                 items = _parts(_section(sections, name), _ITEM)
                 bare = F.transform(items, lambda t, n: F.when(n == 0, _without(t, "BY")).otherwise(t))
-                return F.filter(bare, lambda t: F.size(t) > 0)
-
-            # All parts of all clauses are rendered by one expression.
-            parts = F.concat(
-                F.transform(F.filter(refs, lambda r: r["kind"] != "FROM"), join),
-                F.transform(_conjuncts(_section(sections, "WHERE")), lambda t: part("filters", t)),
-                F.transform(by_items("GROUP"), lambda t: part("group_by", t)),
-                F.transform(_conjuncts(_section(sections, "HAVING")), lambda t: part("having", t)),
-                F.transform(
-                    _parts(_section(sections, "SELECT"), _ITEM),
-                    lambda t, n: projection(F.when(n == 0, _without(t, "DISTINCT")).otherwise(t)),
-                ),
-                F.transform(by_items("ORDER"), ordered),
-            )
-            rendered = F.transform(
-                parts,
-                lambda p: F.struct(
-                    p["stage"].alias("stage"),
-                    F.concat(p["before"], _render(p["tokens"], names), p["after"]).alias("text"),
-                ),
-            )
-            return let(rendered, lambda r: assemble(refs, names, r))
+                return F.filter(bare, lambda t: t != "")
+
+            def conjuncts(name: str) -> Column:
+                return sorted_distinct(F.transform(let(_section(sections, name), _conjuncts), _render))
 
-        def assemble(refs: Column, names: Column, rendered: Column) -> Column:
             def table(name: Column, n: Column) -> Column:
                 tid = F.concat(F.lit("T"), (n + 1).cast("string"))
-                real = F.element_at(F.filter(refs, lambda r: r["known"] == name), -1)["name"]
+                real = F.try_element_at(F.filter(refs, lambda r: r["known"] == name), F.lit(-1))["name"]
                 return F.struct(tid.alias("tid"), F.concat(tid, F.lit(":"), real).alias("text"))
 
-            def of(stage: str) -> Column:
-                return F.transform(F.filter(rendered, lambda r: r["stage"] == stage), lambda r: r["text"])
-
+            selected = _parts(_section(sections, "SELECT"), _ITEM)
             limits = _parts(_section(sections, "LIMIT"), _ITEM)
-            limit = F.get(F.element_at(F.when(F.size(limits) > 0, limits), -1), F.lit(0))
+            limit = F.substring_index(_bare(F.element_at(F.when(F.size(limits) > 0, limits), -1)), _TOK, 1)
             return F.struct(
                 F.transform(F.array_sort(F.transform(names, table)), lambda t: t["text"]).alias("tables"),
-                F.array_sort(of("joins")).alias("joins"),
-                sorted_distinct(of("filters")).alias("filters"),
-                sorted_distinct(of("group_by")).alias("group_by"),
-                sorted_distinct(of("having")).alias("having"),
-                of("select").alias("select"),
-                of("order_by").alias("order_by"),
-                F.when(F.rlike(limit, F.lit(r"\A\d+\z")), limit.try_cast("bigint")).alias("limit"),
+                F.array_sort(F.transform(F.filter(refs, lambda r: r["kind"] != "FROM"), join)).alias("joins"),
+                conjuncts("WHERE").alias("filters"),
+                sorted_distinct(F.transform(by_items("GROUP"), _render)).alias("group_by"),
+                conjuncts("HAVING").alias("having"),
+                F.transform(
+                    selected, lambda t, n: _projection(F.when(n == 0, _without(t, "DISTINCT")).otherwise(t))
+                ).alias("select"),
+                F.transform(by_items("ORDER"), ordered).alias("order_by"),
+                let(
+                    limit, lambda n: F.when(F.rlike(n, F.lit(r"\A\d+\z")), n.try_cast("bigint"))
+                ).alias("limit"),
             ).cast(SIGNATURE_TYPE)
 
-        return let(_refs(sections), with_refs)
+        return let(_refs(F.split(text, _SEC)), with_refs)
 
-    def from_tokens(tokens: Column) -> Column:
-        sections = F.split(_structured(tokens), _SEC)
-        return F.when(_is_flat(tokens), let(sections, lambda s: F.when(s.isNotNull(), build(s))))
+    def from_text(text: Column) -> Column:
+        return F.when(_is_flat(text), let(_structured(text), lambda s: F.when(s.isNotNull(), build(s))))
 
-    return let(_clause_tokens(collapse_spaces(sql)), from_tokens)
+    return let(let(collapse_spaces(sql), _clause_text), from_text)
 
 
-def signatures(pairs: DataFrame) -> DataFrame:
-    """Add ``gold_signature`` and ``pred_signature`` to ``index, label, predict``."""
+def signatures(pairs: DataFrame, wanted: Column | None = None) -> DataFrame:
+    """Add ``gold_signature`` and ``pred_signature`` to ``index, label, predict``, null where
+    they are not ``wanted``."""
     # One expression for both texts keeps the plan half as large.
     both = F.transform(F.array("label", "predict"), signature)
+    if wanted is not None:
+        both = F.when(wanted, both)
     return (
         pairs.withColumn("_both", both)
         .withColumns(
@@ -344,7 +391,7 @@ def compare_pairs(pairs: DataFrame) -> DataFrame:
     unequal = F.filter(stages, lambda s: s["gold"] != s["pred"])
     first = F.get("differences", F.lit(0))
     return (
-        signatures(pairs)
+        signatures(pairs, ~same)
         .select(
             "index",
             F.when(same, no_difference).when(broken, error).otherwise(unequal).alias("differences"),

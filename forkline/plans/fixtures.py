@@ -124,6 +124,16 @@ def derived(spark: SparkSession, sf: str, sql: str) -> DataFrame:
     return spark.sql(sql, **{n: table(spark, sf, n) for n in names})
 
 
+def spread(pairs: DataFrame) -> DataFrame:
+    """The keys of a small file dealt to all cores, as the work on the texts of a pair by far
+    outweighs its bytes."""
+    return pairs.repartition(4 * pairs.sparkSession.sparkContext.defaultParallelism, "o_orderkey")
+
+
+def wide_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.sql(WIDE_PAIRS, orders=spread(table(spark, sf, "orders")))
+
+
 def plain(sql: str) -> str:
     """Fixture SQL over tables that are registered by name."""
     return sql.replace("{", "").replace("}", "")
@@ -133,6 +143,10 @@ def sql_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return spark.sql(SQL_PAIRS, orders=table(spark, sf, "orders"))
 
 
+def spread_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.sql(SQL_PAIRS, orders=spread(table(spark, sf, "orders")))
+
+
 def result_rows(spark: SparkSession, sf: str) -> DataFrame:
     from forkline.functions.values import result_values
 

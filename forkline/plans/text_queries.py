@@ -305,7 +305,7 @@ _COMPARED = f"""SELECT index, kind IN (0, 1, 6) AS is_equivalent, {_STAGE} AS fi
     ),
 )
 def compared(spark: SparkSession, sf: str) -> DataFrame:
-    rows = clauses.compare_pairs(fx.sql_pairs(spark, sf))
+    rows = clauses.compare_pairs(fx.spread_pairs(spark, sf))
     return rows.withColumn("differences", F.array_join(F.col("differences.stage"), SEP))
 
 
@@ -320,19 +320,19 @@ _WIDE_COMPARED = f"""SELECT index,
 @query("compare_wide", _WIDE_COMPARED)
 def compared_wide(spark: SparkSession, sf: str) -> DataFrame:
     """Joined, nested and limited texts; equal texts are equivalent whatever they hold."""
-    rows = clauses.compare_pairs(fx.derived(spark, sf, fx.WIDE_PAIRS))
+    rows = clauses.compare_pairs(fx.wide_pairs(spark, sf))
     return rows.select("index", "is_equivalent", "first_divergence_stage")
 
 
 @query("stage_compare_wide", _WIDE_COMPARED)
 def stage_compared_wide(spark: SparkSession, sf: str) -> DataFrame:
-    rows = clauses.stage_compare(clauses.clause_table(fx.derived(spark, sf, fx.WIDE_PAIRS)))
+    rows = clauses.stage_compare(clauses.clause_table(fx.wide_pairs(spark, sf)))
     return rows.select("index", "is_equivalent", "first_divergence_stage")
 
 
 @query("stage_compare", o.with_pairs(_COMPARED))
 def stage_compared(spark: SparkSession, sf: str) -> DataFrame:
-    return clauses.stage_compare(clauses.clause_table(fx.sql_pairs(spark, sf)))
+    return clauses.stage_compare(clauses.clause_table(fx.spread_pairs(spark, sf)))
 
 
 @query(
@@ -353,7 +353,7 @@ def stage_compared(spark: SparkSession, sf: str) -> DataFrame:
     ),
 )
 def clause_rows(spark: SparkSession, sf: str) -> DataFrame:
-    return clauses.clause_table(fx.sql_pairs(spark, sf))
+    return clauses.clause_table(fx.spread_pairs(spark, sf))
 
 
 @query(
@@ -363,7 +363,7 @@ def clause_rows(spark: SparkSession, sf: str) -> DataFrame:
     ),
 )
 def profiled_stages(spark: SparkSession, sf: str) -> DataFrame:
-    return clauses.stage_profile(clauses.compare_pairs(fx.sql_pairs(spark, sf)))
+    return clauses.stage_profile(clauses.compare_pairs(fx.spread_pairs(spark, sf)))
 
 
 _USER = "'<|start_header_id|>user<|end_header_id|>' || chr(10) || chr(10)"

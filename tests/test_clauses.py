@@ -98,3 +98,19 @@ def test_long_limits(spark):
     cases = [("SELECT a FROM t LIMIT 10000000000", "SELECT a FROM t"), ("SELECT a FROM t LIMIT 10000000000", "SELECT a FROM t LIMIT 10000000001")]
     df = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], PAIRS)
     assert [r.first_divergence_stage for r in clauses.compare_pairs(df).orderBy("index").collect()] == ["limit", "limit"]
+
+
+def test_a_table_without_a_name_has_no_signature_error(spark):
+    df = spark.createDataFrame([(1, "SELECT a FROM WHERE b = 1", "SELECT a FROM t WHERE b = 1")], "index long, label string, predict string")
+    row = clauses.compare_pairs(df).first()
+    assert row["first_divergence_stage"] == "tables"
+
+
+def test_white_space_classes_hold_the_same_characters(spark):
+    from forkline.functions.text import NON_WS, STRIP_CHARS, WS
+
+    chars = [(chr(n),) for n in (*range(1, 0xD800), *range(0xE000, 0x10000))]
+    df = spark.createDataFrame(chars, "c string")
+    got = df.filter(F.rlike("c", F.lit(rf"\A{WS}\z"))).collect()
+    assert sorted(r["c"] for r in got) == sorted(STRIP_CHARS)
+    assert df.filter(F.rlike("c", F.lit(rf"\A{NON_WS}\z"))).count() == len(chars) - len(STRIP_CHARS)

@@ -166,3 +166,8 @@ def test_landing_reads_its_file_once(spark, tmp_path):
     (tmp_path / "x.jsonl").write_text('{"index": 1}\n{')
     parsed, bad = tables.parsed_lines(spark.read.text(str(tmp_path / "x.jsonl")), "predictions")
     assert plan(parsed.withColumn("rejected", bad)).count("Scan text") <= 2  # tree and detail of one scan
+
+
+def test_wide_pairs_are_dealt_to_all_cores(spark, small):
+    rows = all_queries()["compare_wide"](spark, small)
+    assert rows.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
