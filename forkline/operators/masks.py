@@ -127,24 +127,34 @@ def encode_samples(
     """Add attention_mask, labels and forget_mask to token arrays, cut only on request.
 
     Takes ``input_ids`` with the text of each in ``token_texts``, ``answer`` with its own
-    ``answer_tokens``, and ``forget_tail``, ``forget_part``, ``forget_mode``.
+    ``answer_tokens``, and ``forget_tail``, ``forget_part``, ``forget_mode``.  The ids do not
+    come from the encoded struct, so that a use of lengths alone builds no masks.
     """
     sample = F.struct(*[F.col(c) for c in samples.columns])
     rows = samples.withColumn("_e", encoded(sample, header_ids, max_length, with_tail=True))
-    return rows.withColumns({c: F.col(f"_e.{c}") for c in PADDING}).drop("_e")
+    ids = truncate(F.col("input_ids"), max_length)
+    return rows.withColumns({c: F.col(f"_e.{c}") for c in PADDING} | {"input_ids": ids}).drop("_e")
 
 
 def build_masks(
     pairs: DataFrame, header_ids: list[int], max_length: int | None = None
 ) -> DataFrame:
-    """Encode both sides of ``index, forget, retain``; a retain sample is scored whole."""
-    return pairs.withColumns(
-        {
-            side: encoded(F.col(side), header_ids, max_length, with_tail=side == "forget")
-            for side in ("forget", "retain")
-        }
+    """Encode both sides of ``index, forget, retain``; a retain sample is scored whole.
+
+    As in :func:`encode_samples`, lengths alone need no masks.
+    """
+    sides = ("forget", "retain")
+    rows = pairs.withColumns(
+        {f"_{s}": encoded(F.col(s), header_ids, max_length, with_tail=s == "forget") for s in sides}
     )
 
+    def fields(side: str) -> Column:
+        ids = truncate(F.col(f"{side}.input_ids"), max_length)
+        rest = [F.col(f"_{side}.{c}") for c in PADDING if c != "input_ids"]
+        return F.struct(ids.alias("input_ids"), *rest)
+
+    return rows.withColumns({s: fields(s) for s in sides}).drop("_forget", "_retain")
+
 
 def _padded(fields: Column, longest: Column, pad_id: int) -> Column:
     missing = F.greatest(longest - F.size(fields["input_ids"]), F.lit(0))

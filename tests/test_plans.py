@@ -168,6 +168,19 @@ def test_landing_reads_its_file_once(spark, tmp_path):
     assert plan(parsed.withColumn("rejected", bad)).count("Scan text") <= 2  # tree and detail of one scan
 
 
+def test_lengths_of_batches_build_no_masks(spark, small):
+    """What goes into the maxima of a batch reads ids only, not the masks made from them."""
+    from forkline.operators import masks
+    from forkline.plans import training_queries as tq
+
+    samples = tq._samples(spark, small)
+    rows = masks.encode_samples(samples, [-7, -8])
+    fields = F.struct(*[c for c in samples.columns if c != "index"])
+    pairs = masks.build_masks(samples.select("index", fields.alias("forget"), fields.alias("retain")), [-7, -8])
+    for df, ids in ((rows, "input_ids"), (pairs, "forget.input_ids"), (pairs, "retain.input_ids")):
+        assert "-100" not in plan(df.select(F.size(F.col(ids))))
+
+
 def test_wide_pairs_are_dealt_to_all_cores(spark, small):
     rows = all_queries()["compare_wide"](spark, small)
     assert rows.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
