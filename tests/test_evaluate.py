@@ -1,5 +1,8 @@
 """Result comparison, outcomes, joins and error classes."""
 
+import collections
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -165,3 +168,22 @@ def test_fingerprints_equal_multisets(spark):
     surplus = sorted(str((r["index"], r.side, None if r.vals is None else tuple(r.vals), r.n_rows)) for r in ev.surplus_rows(table).collect())
     by_hand = [(i, side, v, n) for i, (p, g) in expected.items() for side, rest in (("pred", p - g), ("gold", g - p)) for v, n in rest.items()]
     assert surplus == sorted(map(str, by_hand))
+
+
+def test_surplus_is_counted_in_partitions_by_rows(spark, monkeypatch):
+    """More rows make more partitions, not larger ones, and nothing is held before rows move."""
+    assert [ev.counting_partitions(n) for n in (0, 1, 250_001, 72_000_000, 432_000_000)] == [1, 1, 2, 200, 216]
+    monkeypatch.setattr(ev, "COUNTED_ROWS", 100)
+    rows = spark.range(3000).select(
+        F.when(F.col("id") % 3 > 0, F.col("id") % 50).alias("index"),
+        F.when(F.col("id") % 2 == 0, "pred").otherwise("gold").alias("side"),
+        F.when(F.col("id") % 7 > 0, F.array((F.col("id") % 5).cast("string"), F.lit(None))).alias("vals"),
+    )
+    text = ev.surplus_rows(rows)._jdf.queryExecution().executedPlan().toString()
+    assert text.count("Exchange") == 1 and "REPARTITION_BY_NUM" in text and "Join" not in text
+    assert re.search(r"Exchange hashpartitioning\(index#\d+L, vals#\d+, 30\)", text)
+    counts = collections.Counter()
+    for r in rows.collect():
+        counts[r["index"], None if r.vals is None else tuple(r.vals)] += 1 if r.side == "pred" else -1
+    found = {(r["index"], None if r.vals is None else tuple(r.vals)): (r.side, r.n_rows) for r in ev.surplus_rows(rows).collect()}
+    assert found == {k: ("pred" if n > 0 else "gold", abs(n)) for k, n in counts.items() if n}
