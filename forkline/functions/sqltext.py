@@ -32,11 +32,15 @@ TYPE_KEYWORDS = (
     "BOOLEAN", "BOOL",
 )
 
-# Fixed patterns: table references, and what one token looks like.
-PLAIN_REF = r"(?iU)\b(FROM|JOIN)\s+([a-zA-Z_][a-zA-Z0-9_]*)\s+(?:AS\s+)?([a-zA-Z_][a-zA-Z0-9_]*)\b"
-IDENT = r"[A-Za-z_][\w$]*"
-DOTTED = rf"[A-Za-z_][\w$]*+(?:\.[A-Za-z_][\w$]*+)*+"
-TABLE_REF = rf"(?iU)\b(FROM|JOIN)\s+({DOTTED})\s+(?:AS\s+)?({IDENT})\b"
+# Fixed patterns: table references, and what one token looks like. A Unicode class or boundary
+# asks for property after property, so that plain letters are told apart first: a word character
+# by its range, a boundary by the letter or digit that must stand behind it.
+_WORD = r"[A-Za-z0-9_$[\x{80}-\x{10ffff}&&\w]]"
+_REF_AHEAD = r"(?-iU:(?=[FfJj]))"
+PLAIN_REF = rf"(?iU){_REF_AHEAD}\b(FROM|JOIN)\s+([a-zA-Z_][a-zA-Z0-9_]*)\s+(?:AS\s+)?([a-zA-Z_][a-zA-Z0-9_]*)\b"
+IDENT = rf"[A-Za-z_]{_WORD}*"
+DOTTED = rf"[A-Za-z_]{_WORD}*+(?:\.[A-Za-z_]{_WORD}*+)*+"
+TABLE_REF = rf"(?iU){_REF_AHEAD}\b(FROM|JOIN)\s+({DOTTED})\s+(?:AS\s+)?({IDENT})\b"
 
 # A replaced part that must keep its place in the raw text is fenced by two Unicode
 # noncharacters, which never occur in interchanged text.
@@ -58,7 +62,7 @@ def _token_pattern(identifier: str) -> str:
             r"/\*.*?\*/",
             _quoted("'"),
             _quoted('"'),
-            r"\b\d+(?:\.\d+)?\b",
+            r"(?=[0-9[\x{80}-\x{10ffff}&&\d]])\b\d+(?:\.\d+)?\b",
             identifier,
             "<=|>=|<>|!=|==",
             r"[(),;.*=<>+\-/]",
@@ -68,7 +72,8 @@ def _token_pattern(identifier: str) -> str:
 
 TOKEN = "(?Us)" + _token_pattern(DOTTED)
 # An identifier may go on behind a fenced part, as it does once that part is gone.
-_FENCED_IDENT = rf"[A-Za-z_](?:(?:{FENCED})*+[\w$])*+(?:(?:{FENCED})*+\.[A-Za-z_](?:(?:{FENCED})*+[\w$])*+)*+"
+_FENCED_WORD = rf"(?:{_WORD}++|(?:{FENCED})++{_WORD})*+"
+_FENCED_IDENT = rf"[A-Za-z_]{_FENCED_WORD}(?:(?:{FENCED})*+\.[A-Za-z_]{_FENCED_WORD})*+"
 COVER = f"(?Us){FENCED}|({_token_pattern(_FENCED_IDENT)})|."
 
 
@@ -83,12 +88,13 @@ def _any_of(values: tuple[str, ...]) -> str:
 # Group 1 is a reference that stays whole because its "alias" is a keyword; group 2 is
 # the part to keep of any other reference and group 3 the alias part to drop.
 _ALIAS_DEFINITION = (
-    rf"(?iU)(\b(?:FROM|JOIN)\s+{DOTTED}\s+(?:AS\s+(?=[A-Za-z_])|(?!AS\s+[A-Za-z_])){_any_of(SQL_KEYWORDS)})"
-    rf"|(\b(?:FROM|JOIN)\s+{DOTTED})(\s+(?:AS\s+)?{IDENT}\b)"
+    rf"(?iU){_REF_AHEAD}(?:(\b(?:FROM|JOIN)\s+{DOTTED}\s+(?:AS\s+(?=[A-Za-z_])|(?!AS\s+[A-Za-z_])){_any_of(SQL_KEYWORDS)})"
+    rf"|(\b(?:FROM|JOIN)\s+{DOTTED})(\s+(?:AS\s+)?{IDENT}\b))"
 )
 # Group 1 is "AS type", kept; group 2 a column alias, dropped.
 _COLUMN_ALIAS = rf"(?iU)(\s+AS\s+{_any_of(TYPE_KEYWORDS)})|(\s+AS\s+{IDENT}\b)"
-_SELECT_LIST = r"(?isU)\A(.*?\bSELECT\b)(.*?)(\bFROM\b.*)\z"
+_AS = r"(?iU)\sAS\s"
+_SELECT_LIST = r"(?isU)\A(.*?(?-iU:(?=[Ss\u017f]))\bSELECT\b)(.*?)((?-iU:(?=[Ff]))\bFROM\b.*)\z"
 
 
 def _refs(sql: Column, pattern: str, skip_keywords: bool) -> Column:
@@ -144,14 +150,16 @@ def _qualify(sql: Column) -> Column:
 
 def _without_select_aliases(sql: Column, replacement: str) -> Column:
     """Apply ``replacement`` to the column aliases between the first SELECT and its FROM."""
-    part = F.regexp_replace(F.regexp_extract(sql, _SELECT_LIST, 2), _COLUMN_ALIAS, replacement)
-    whole = F.concat(
-        F.regexp_extract(sql, _SELECT_LIST, 1), part, F.regexp_extract(sql, _SELECT_LIST, 3)
-    )
-    # Texts with no AS at all, the usual case, skip the three extractions.
-    return F.when(
-        F.rlike(sql, F.lit(r"(?iU)\sAS\s")) & F.rlike(sql, F.lit(_SELECT_LIST)), whole
-    ).otherwise(sql)
+    def whole(part: Column) -> Column:
+        bare = F.concat(
+            F.regexp_extract(sql, _SELECT_LIST, 1),
+            F.regexp_replace(part, _COLUMN_ALIAS, replacement),
+            F.regexp_extract(sql, _SELECT_LIST, 3),
+        )
+        return F.when(F.rlike(part, F.lit(_AS)), bare).otherwise(sql)
+
+    # Most texts have no AS at all or none in that part, and are taken apart no further.
+    return F.when(F.rlike(sql, F.lit(_AS)), let(F.regexp_extract(sql, _SELECT_LIST, 2), whole)).otherwise(sql)
 
 
 def remove_aliases(sql: Column) -> Column:
@@ -215,9 +223,13 @@ def divergence_reason(index: Column, pred: Column, gold: Column) -> Column:
 
 def covering_pieces(sql: Column) -> Column:
     """(piece, token) pairs; the pieces join back to the input, a gap has token ''."""
-    pieces = F.regexp_extract_all(sql, F.lit(COVER), F.lit(0))
-    found = F.regexp_extract_all(sql, F.lit(COVER), F.lit(1))
-    return F.zip_with(pieces, found, lambda p, t: F.struct(p.alias("piece"), t.alias("token")))
+
+    def pairs(text: Column) -> Column:
+        pieces = F.regexp_extract_all(text, F.lit(COVER), F.lit(0))
+        found = F.regexp_extract_all(text, F.lit(COVER), F.lit(1))
+        return F.zip_with(pieces, found, lambda p, t: F.struct(p.alias("piece"), t.alias("token")))
+
+    return let(sql, pairs)
 
 
 def token_offset(sql: Column, index: Column) -> Column:

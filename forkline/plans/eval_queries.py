@@ -233,7 +233,7 @@ _CLASS_LIST = (
 
 def _classified(spark: SparkSession, sf: str) -> DataFrame:
     return cl.classify(
-        fx.exec_rows(spark, sf), fx.divergence_rows(spark, sf), fx.token_vectors(spark, sf)
+        fx.exec_rows(spark, sf, dealt=True), fx.divergence_rows(spark, sf), fx.token_vectors(spark, sf)
     )
 
 
@@ -256,7 +256,7 @@ def classes(spark: SparkSession, sf: str) -> DataFrame:
 def sizes(spark: SparkSession, sf: str) -> DataFrame:
     """Sizes need the flags only, so the wide rows are not joined back."""
     failed = ev.failed_rows(
-        ev.join_divergences(fx.exec_rows(spark, sf), fx.divergence_rows(spark, sf))
+        ev.join_divergences(fx.exec_rows(spark, sf, dealt=True), fx.divergence_rows(spark, sf))
     )
     return cl.class_sizes(cl.class_flags(failed, fx.token_vectors(spark, sf)))
 
@@ -275,7 +275,7 @@ def union(spark: SparkSession, sf: str) -> DataFrame:
 )
 def remainders(spark: SparkSession, sf: str) -> DataFrame:
     failed = ev.failed_rows(
-        ev.join_divergences(fx.exec_rows(spark, sf), fx.divergence_rows(spark, sf))
+        ev.join_divergences(fx.exec_rows(spark, sf, dealt=True), fx.divergence_rows(spark, sf))
     )
     return cl.with_features(failed).select(
         "index", "remainder", F.array_join("matches", "|").alias("matches")

@@ -124,10 +124,15 @@ def derived(spark: SparkSession, sf: str, sql: str) -> DataFrame:
     return spark.sql(sql, **{n: table(spark, sf, n) for n in names})
 
 
+#: Pairs whose texts one task works on, where there are more than four such tasks for each core.
+PAIRS_IN_TASK = 100_000
+
+
 def spread(pairs: DataFrame) -> DataFrame:
     """The keys of a small file dealt to all cores, as the work on the texts of a pair by far
     outweighs its bytes."""
-    return pairs.repartition(4 * pairs.sparkSession.sparkContext.defaultParallelism, "o_orderkey")
+    tasks = max(4 * pairs.sparkSession.sparkContext.defaultParallelism, -(-pairs.count() // PAIRS_IN_TASK))
+    return pairs.repartition(tasks, "o_orderkey")
 
 
 def wide_pairs(spark: SparkSession, sf: str) -> DataFrame:
@@ -192,13 +197,15 @@ def divergence_rows(spark: SparkSession, sf: str) -> DataFrame:
         F.array().cast("array<bigint>").alias("top5_token_ids"),
         F.array().cast("array<double>").alias("top5_probs"),
     ).cast(STEP_TYPE)
-    pairs = sql_pairs(spark, sf)
-    rows = diverge(normalize_pairs(pairs))
+    rows = diverge(normalize_pairs(spread_pairs(spark, sf)))
     return rows.withColumn("logits_top5", F.array(step)).drop("db_id", "exec_match", "error")
 
 
-def exec_rows(spark: SparkSession, sf: str) -> DataFrame:
-    return sql_pairs(spark, sf).select(
+def exec_rows(spark: SparkSession, sf: str, dealt: bool = False) -> DataFrame:
+    """Outcomes of the pairs; ``dealt``: as :func:`divergence_rows` are, so that the two meet without
+    another shuffle."""
+    pairs = spread_pairs(spark, sf) if dealt else sql_pairs(spark, sf)
+    return pairs.select(
         "index", "prompt", "predict", "label", "exec_match", "error", F.col("label").alias("gold_sql"), "db_id"
     )
 

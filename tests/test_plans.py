@@ -2,6 +2,7 @@
 
 import ast
 import pathlib
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -184,3 +185,18 @@ def test_lengths_of_batches_build_no_masks(spark, small):
 def test_wide_pairs_are_dealt_to_all_cores(spark, small):
     rows = all_queries()["compare_wide"](spark, small)
     assert rows.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_text_work_of_divergences_is_dealt_by_rows(spark, small, monkeypatch):
+    """Keys move to all cores before any text is made, and both sides of the join meet there."""
+    n_pairs = fx.table(spark, small, "orders").count()
+    monkeypatch.setattr(fx, "PAIRS_IN_TASK", 20)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = all_queries()["gold_remainder"](spark, small)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    tasks = -(-n_pairs // 20)
+    assert tasks > 4 * spark.sparkContext.defaultParallelism
+    assert len(re.findall(rf"Exchange hashpartitioning\(o_orderkey#\d+L, {tasks}\), REPARTITION_BY_NUM", text)) == 2
+    assert text.count("Exchange ") == 2
