@@ -9,6 +9,7 @@ before go to the library.
 from __future__ import annotations
 
 import json
+import os
 import re
 from collections.abc import Iterator
 from itertools import chain
@@ -86,6 +87,9 @@ class Encoder:
     def __init__(self, path: str, drops_blanks: bool):
         from tokenizers import Tokenizer
 
+        # A task has one core. Threads of the library's own take turns with those of other tasks,
+        # and burn more time waiting for pieces than the pieces take.
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True  # their strings in a text are ordinary text
         self.model = self.library.model

@@ -3,6 +3,7 @@
 import collections
 import itertools
 import math
+import os
 import random
 import re
 import zlib
@@ -566,3 +567,21 @@ def test_pipeline(spark, small, docs):
     found = corpus_pipeline.run(spark, small).collect()
     assert sorted((r["doc_id"], r["piece"], r["length"]) for r in found) == expected
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality rules", "SimHash near-dedup", "benchmark decontamination", "PII", "best-fit packing"]
+
+
+def test_the_tokenizers_library_starts_no_threads():
+    """Spark deals the work; a task that encodes keeps to its own core."""
+    import subprocess
+    import sys
+
+    code = (
+        "import os, forkline.llm.tokens as t, forkline.llm.packing as p\n"
+        "e = t.Encoder(p.tokenizer_path('byte_bpe_50k.json'), drops_blanks=False)\n"
+        "before = len(os.listdir('/proc/self/task'))\n"
+        "[*e.encode([' '.join(f'w{n}-{n}' for n in range(5000))])]\n"
+        "print(len(os.listdir('/proc/self/task')) - before)"
+    )
+    env = {k: v for k, v in os.environ.items() if k != "TOKENIZERS_PARALLELISM"}
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=root, env=env, check=True)
+    assert done.stdout.strip() == "0"
