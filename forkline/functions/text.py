@@ -91,7 +91,7 @@ def first_char_divergence(a: Column, b: Column) -> Column:
 
 
 def sorted_distinct(items: Column) -> Column:
-    return F.array_sort(F.array_distinct(items))
+    return F.sort_array(F.array_distinct(items))
 
 
 def list_difference(items: Column, other: Column) -> Column:

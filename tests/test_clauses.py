@@ -1,5 +1,7 @@
 """Clause lists and the first clause in which two texts differ."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -114,3 +116,63 @@ def test_white_space_classes_hold_the_same_characters(spark):
     got = df.filter(F.rlike("c", F.lit(rf"\A{WS}\z"))).collect()
     assert sorted(r["c"] for r in got) == sorted(STRIP_CHARS)
     assert df.filter(F.rlike("c", F.lit(rf"\A{NON_WS}\z"))).count() == len(chars) - len(STRIP_CHARS)
+
+
+def test_texts_are_split_by_what_stands_on_top_alone(spark):
+    got = sig(
+        spark,
+        "SELECT round(a.x, 2) z, coalesce(f(b, 1), 'x, y') \"o p\" FROM t a WHERE f(p AND q) AND x IN (1, 2)",
+        "SELECT CASE WHEN a, b THEN count( * ) END FROM t ORDER BY BYTES, f(a desc) DESC",
+        "SELECT t.a WHERE b FROM db.s.t LIMIT 2 OFFSET 3",
+        "SELECT a FROM t\x1fWHERE\x0bb\x1c=\n1",
+        "select a croß, in (1) from t WHERE lımıt AND 1",
+        "SELECT a FROM t WHERE b) AND (c",
+        "SELECT a FROM t WHERE f(b",
+        "SELECT a, b, 2 AND c FROM t GROUP BY d, 1 OR e",
+    )
+    assert got[0]["select"] == ["ROUND(T1.x, 2) AS z", "COALESCE(F(b, 1), 'x, y') AS \"o p\""]
+    assert got[0]["filters"] == ["F(p AND q)", "x IN (1, 2)"]
+    assert got[1]["select"] == ["CASE WHEN a, b THEN COUNT(*) END"]
+    assert got[1]["order_by"] == ["BYTES ASC", "F(a DESC) DESC"]
+    # clauses out of order, and names with several dots
+    assert got[2]["select"] == ["T1.a"] and got[2]["filters"] == ["b"] and got[2]["limit"] == 2
+    assert got[2]["tables"] == ["T1:t"]
+    # the marks of a text are white space, which never stands in it
+    assert got[3]["filters"] == ["b = 1"]
+    assert got[4]["select"] == ["a AS croß", "IN (1)"]
+    assert got[5]["filters"] == ["b) AND (c"] and got[6] is None
+    assert got[7]["select"] == ["a", "b", "2 AND c"] and got[7]["group_by"] == ["1 OR e", "d"]
+
+
+def test_long_form_takes_one_group_of_each_pair(spark, small):
+    from forkline.plans import all_queries
+
+    text = all_queries()["stage_compare_wide"](spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"ObjectHashAggregate\(keys=\[index#\d+L\]", text)) == 2
+    assert "stage#" not in "".join(re.findall(r"keys=\[[^\]]*\]", text)) and "Sort" not in text
+
+
+def test_equal_texts_are_taken_apart_once(spark):
+    cases = [("SELECT a FROM t", "SELECT a FROM t"), ("SELECT a FROM t", "SELECT b FROM t"), (None, None), (None, "SELECT a FROM t")]
+    df = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], PAIRS)
+    rows = {r["index"]: r for r in clauses.signatures(df).collect()}
+    assert [rows[i].gold_signature == rows[i].pred_signature for i in range(4)] == [True, False, True, False]
+    assert rows[3].gold_signature is None and rows[3].pred_signature.select == ["a"]
+    assert "CASE WHEN (label" in clauses.signatures(df)._jdf.queryExecution().analyzed().toString()
+
+
+@pytest.mark.parametrize("order", [1, -1])
+def test_long_form_compares_lists_in_any_order_of_rows(spark, order):
+    rows = [
+        (1, "gold", "select", 0, "a"), (1, "gold", "select", 1, "b"), (1, "pred", "select", 0, "a"),
+        (2, "gold", "filters", 0, "p"), (2, "pred", "filters", 0, "p"), (2, "pred", "tables", 0, "T1:t"),
+        (3, "gold", "having", 0, "x"), (3, "pred", "limit", 0, "5"), (3, "pred", "having", 0, "x"),
+        (4, "gold", "tables", 0, None), (4, "pred", "tables", 0, None),
+        (5, "gold", "joins", 0, "j"), (5, "pred", "having", 0, "h"),
+    ]
+    df = spark.createDataFrame(rows[::order], "index long, side string, stage string, pos int, item string")
+    got = {r["index"]: tuple(r)[1:] for r in clauses.stage_compare(df).collect()}
+    assert got == {
+        1: (False, "select", "a"), 2: (False, "tables", "T1:t"), 3: (False, "limit", "5"), 4: (True, None, None),
+        5: (False, "joins", "joins"),
+    }
